@@ -64,7 +64,7 @@ RUNS = """
 SELECT CAST(o_custkey AS STRING) AS user_id,
        CAST(o_orderkey AS STRING) AS analysis_id,
        concat('readings-', CAST(o_orderkey AS STRING), '.csv') AS filename,
-       CAST(o_totalprice AS BIGINT) AS total_consumers,
+       CAST(floor(o_totalprice) AS BIGINT) AS total_consumers,
        o_orderpriority = '1-URGENT' AS used_autoencoder,
        o_orderdate AS created_at
 FROM {orders}

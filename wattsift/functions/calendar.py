@@ -38,6 +38,4 @@ def display_time(ts: Column) -> Column:
 
 def iso_time(ts: Column) -> Column:
     """ISO text; the fraction appears, with six digits, only where there is one."""
-    return F.when(
-        F.extract(F.lit("MICROSECONDS"), ts) % 1000000 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    ).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
