@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wattsift import fixed_values as V
+from wattsift.functions.parsing import literal_map
 
 
 def status_of(score: Column) -> Column:
@@ -13,8 +14,7 @@ def status_of(score: Column) -> Column:
 
 
 def status_color(status: Column) -> Column:
-    colors = F.create_map(*[F.lit(x) for pair in V.STATUS_COLORS.items() for x in pair])
-    return F.coalesce(F.try_element_at(colors, status), F.lit(V.DEFAULT_COLOR))
+    return F.coalesce(F.try_element_at(literal_map(V.STATUS_COLORS), status), F.lit(V.DEFAULT_COLOR))
 
 
 def explanation(

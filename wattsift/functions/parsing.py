@@ -20,9 +20,21 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def blank_to_null(text: Column) -> Column:
-    """NULL for every text that means "missing" in a readings file."""
-    return F.when(~strip(text).isin(MISSING_TEXT), text)
+def sql_text(value: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + "".join(c if c.isprintable() and c not in "'\\" else f"\\u{ord(c):04x}" for c in value) + "'"
+
+
+def literal_map(values: dict[str, str]) -> Column:
+    """A constant map column."""
+    return F.expr(f"map({', '.join(sql_text(x) for pair in values.items() for x in pair)})")
+
+
+def blank_to_null(name: str) -> Column:
+    """The text column, NULL wherever the text means "missing" in a readings file."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    known = ", ".join(sql_text(t) for t in MISSING_TEXT)
+    return F.expr(f"CASE WHEN btrim({quoted}, {sql_text(BLANKS)}) NOT IN ({known}) THEN {quoted} END")
 
 
 def finite(number: Column) -> Column:

@@ -2,33 +2,24 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wattsift.fixed_values import (
     ACORN_LAYOUT, ACORN_ZONES, DEFAULT_ACORN_ZONE, STATE_NAMES, STATE_ZONES, UNKNOWN,
 )
-from wattsift.functions.parsing import strip
-
-
-def _first_match(rules: list[tuple[Column, str]], default: str) -> Column:
-    return F.coalesce(*[F.when(test, F.lit(label)) for test, label in rules], F.lit(default))
+from wattsift.functions.parsing import literal_map, strip
 
 
-def _contains_any(text: Column, parts: list[str]) -> Column:
-    return reduce(or_, [text.contains(part) for part in parts])
+def _zone_matching(text: Column, patterns: dict[str, str]) -> Column:
+    """The first zone whose pattern is found in the text, else NULL."""
+    return F.coalesce(*[F.when(text.rlike(pattern), F.lit(zone)) for zone, pattern in patterns.items()])
 
 
 def acorn_zone(group: Column) -> Column:
     """Zone of an ACORN group: first zone with a member inside the text, any case."""
-    text = F.lower(strip(group))
-    return _first_match(
-        [(_contains_any(text, [m.lower() for m in members]), zone) for zone, members in ACORN_ZONES.items()],
-        DEFAULT_ACORN_ZONE,
-    )
+    inside = {zone: "|".join(m.lower() for m in members) for zone, members in ACORN_ZONES.items()}
+    return F.coalesce(_zone_matching(F.lower(strip(group)), inside), F.lit(DEFAULT_ACORN_ZONE))
 
 
 def _pieces(codes: list[str]) -> list[str]:
@@ -43,18 +34,17 @@ def state_zone(code: Column) -> Column:
     zone by zone; full state names therefore land where their letters lead, which is kept.
     """
     text = F.upper(strip(code))
-    exact = [(text.isin(codes), zone) for zone, codes in STATE_ZONES.items()]
-    partial = [
-        (_contains_any(text, codes) | text.isin(_pieces(codes)), zone) for zone, codes in STATE_ZONES.items()
-    ]
-    return _first_match(exact + partial, UNKNOWN)
+    exact = literal_map({c: zone for zone, codes in STATE_ZONES.items() for c in codes})
+    partial = {
+        zone: f"{'|'.join(codes)}|^(?:{'|'.join(_pieces(codes))})$" for zone, codes in STATE_ZONES.items()
+    }
+    return F.coalesce(F.try_element_at(exact, text), _zone_matching(text, partial), F.lit(UNKNOWN))
 
 
 def state_name(code: Column) -> Column:
     """Full name of a state code; the upper-cased text itself when the code is not known."""
     text = F.upper(strip(code))
-    names = F.create_map(*[F.lit(x) for pair in STATE_NAMES.items() for x in pair])
-    return F.coalesce(F.try_element_at(names, text), text, F.lit(UNKNOWN))
+    return F.coalesce(F.try_element_at(literal_map(STATE_NAMES), text), text, F.lit(UNKNOWN))
 
 
 def region_source(columns: list[str], layout: str) -> str | None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from wattsift.operators.scoring import error_threshold
 from wattsift.operators.scaling import Scaler
+from wattsift.sources.staging import stage
 
 STATE_SCHEMA = "part int, rows long, state array<double>"
 # States that one task averages at once.
@@ -208,7 +209,10 @@ def average_states(states: DataFrame, parts: int) -> np.ndarray:
         states = states.groupBy(F.floor(F.col("part") / F.lit(step)).alias("g")).applyInPandas(
             _average, STATE_SCHEMA)
         parts = math.ceil(parts / FAN_IN)
-    return np.asarray(states.first()["state"], dtype=np.float64)
+    averaged = states.first()
+    if averaged is None:
+        raise ValueError("every row is held out: too few rows to train on")
+    return np.asarray(averaged["state"], dtype=np.float64)
 
 
 @dataclass(frozen=True)
@@ -274,15 +278,28 @@ def _network(params: AutoencoderParams, state: np.ndarray) -> Network:
 
 def fit_autoencoder(
     df: DataFrame, inputs: list[Column], params: AutoencoderParams, scaler: Scaler | None = None,
-    key: str = "consumer_id",
+    key: str = "consumer_id", rows: int | None = None,
 ) -> Autoencoder:
-    """Train on ``df``, which should be staged; ``inputs`` are finite, unscaled if a scaler is given.
+    """Train on ``df`` and set the threshold, a percentile of the errors of all rows.
 
-    A tenth of the rows, chosen by hash, is held out. The threshold is a percentile of the
-    errors of all rows.
+    ``df`` should be staged; ``inputs`` are finite, and unscaled if a scaler is given.
     """
+    fitted = train_autoencoder(df, inputs, params, scaler, key, rows)
+    return set_threshold(fitted, stage(fitted.error(df, inputs).select("ae_error"), "errors"), rows)
+
+
+def set_threshold(fitted: Autoencoder, errors: DataFrame, rows: int | None = None) -> Autoencoder:
+    cut = error_threshold(errors, "ae_error", fitted.params.percentile, rows=rows)
+    return replace(fitted, threshold=cut)
+
+
+def train_autoencoder(
+    df: DataFrame, inputs: list[Column], params: AutoencoderParams, scaler: Scaler | None = None,
+    key: str = "consumer_id", rows: int | None = None,
+) -> Autoencoder:
+    """Train without a threshold. A tenth of the rows, chosen by hash, is held out."""
     columns = inputs if scaler is None else scaler.columns(inputs)
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     if rows == 0:
         raise ValueError("no rows to fit an autoencoder on")
     parts = math.ceil(rows / params.part_rows)
@@ -290,21 +307,22 @@ def fit_autoencoder(
     share = F.pmod(F.xxhash64("key", F.lit(params.seed)), F.lit(10_000))
     training = vectors.filter(share >= int(params.held_out * 10_000)).withColumn(
         "part", F.pmod(F.xxhash64("key", F.lit(params.seed + 1)), F.lit(parts)).cast("int"))
-    if parts > 1:
-        training = training.repartition(parts, "part")
+    state = first_state(params)
+    if parts == 1:
+        # Nothing to average: all epochs run in one round.
+        return Autoencoder(params, scaler, _round(training, params, state, 0, params.epochs, parts))
     # Every round reads the same rows. What an executor loses is computed again from `df`.
-    training = training.persist(StorageLevel.MEMORY_AND_DISK)
+    training = training.repartition(parts, "part").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if training.isEmpty():
-            raise ValueError("every row is held out: too few rows to train on")
-        state = first_state(params)
-        # With one part there is nothing to average, so all epochs run in one round.
-        turns = [1] * params.epochs if parts > 1 else [params.epochs]
-        for turn, epochs in enumerate(turns):
-            states = training.groupBy("part").applyInPandas(_trainer(params, state, turn, epochs), STATE_SCHEMA)
-            state = average_states(states, parts)
+        for turn in range(params.epochs):
+            state = _round(training, params, state, turn, 1, parts)
     finally:
         training.unpersist()
-    fitted = Autoencoder(params, scaler, state)
-    return Autoencoder(params, scaler, state, error_threshold(
-        fitted.error(df, inputs).select("ae_error"), "ae_error", params.percentile))
+    return Autoencoder(params, scaler, state)
+
+
+def _round(
+    training: DataFrame, params: AutoencoderParams, state: np.ndarray, turn: int, epochs: int, parts: int
+) -> np.ndarray:
+    states = training.groupBy("part").applyInPandas(_trainer(params, state, turn, epochs), STATE_SCHEMA)
+    return average_states(states, parts)

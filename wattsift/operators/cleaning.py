@@ -22,8 +22,7 @@ NO_VALUE, NEGATIVE, NO_TIME = "null", "negative", "bad_timestamp"
 def drop_missing_markers(raw: DataFrame) -> DataFrame:
     """Text columns with "missing" markers as NULL."""
     return raw.select(*[
-        (blank_to_null(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`"))
-        .alias(f.name)
+        (blank_to_null(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")).alias(f.name)
         for f in raw.schema
     ])
 

@@ -58,7 +58,7 @@ class Population:
     q95_night: float | None = None
 
 
-def fit_population(features: DataFrame, **quantile_options) -> Population:
+def fit_population(features: DataFrame, rows: int | None = None, **quantile_options) -> Population:
     """All population values in one go; ``features`` should be staged."""
     wanted = {
         "q10_avg": ("avg_consumption", 0.1), "q70_avg": ("avg_consumption", 0.7),
@@ -66,10 +66,8 @@ def fit_population(features: DataFrame, **quantile_options) -> Population:
         "q95_night": ("night_day_ratio", 0.95),
     }
     wanted = {name: spec for name, spec in wanted.items() if spec[0] in features.columns}
-    values = exact_quantiles(features, wanted, **quantile_options) if wanted else {}
-    if "avg_consumption" in features.columns:
-        values["mean_avg"] = features.agg(F.avg("avg_consumption")).first()[0]
-    return Population(**values)
+    mean = {"mean_avg": F.avg("avg_consumption")} if "avg_consumption" in features.columns else {}
+    return Population(**exact_quantiles(features, wanted, rows, mean, **quantile_options)) if wanted else Population()
 
 
 def _value(number: float | None) -> Column:
@@ -91,25 +89,22 @@ def anomaly_flags(features: DataFrame, population: Population) -> DataFrame:
 
 def profile(columns: list[str], population: Population) -> Column:
     """Consumption profile: the last rule that applies, else Normal."""
-    have = set(columns)
-    avg = F.col("avg_consumption")
-    rules: list[tuple[str, bool, Column]] = []
-
-    def rule(label: str, needs: set[str], test) -> None:
-        if needs <= have:
-            rules.append((label, True, test()))
-
-    rule("Night Shifter", {"night_day_ratio"}, lambda: F.col("night_day_ratio") > 1.5)
-    rule("Weekend Heavy", {"weekend_weekday_ratio"}, lambda: F.col("weekend_weekday_ratio") > 1.5)
-    rule("Low Consumer", {"avg_consumption"}, lambda: avg < _value(population.q10_avg))
-    rule("High Consumer", {"avg_consumption"}, lambda: avg > _value(population.q90_avg))
-    rule("Irregular", {"cv_consumption"}, lambda: F.col("cv_consumption") > _value(population.q90_cv))
-    for label, code, word in V.TYPE_PROFILES:
-        rule(label, {"consumer_type"}, lambda code=code, word=word: (
-            (F.upper("consumer_type") == code) | F.lower("consumer_type").contains(word)))
-    rule("Summer AC Heavy", {"peak_usage_ratio", "avg_consumption"}, lambda: (
-        (F.col("peak_usage_ratio") > 0.6) & (avg > _value(population.q70_avg))))
-    return F.coalesce(*[F.when(test, F.lit(label)) for label, _, test in reversed(rules)], F.lit(V.NORMAL))
+    avg, kind = F.col("avg_consumption"), F.col("consumer_type")
+    rules = [
+        ("Night Shifter", ["night_day_ratio"], F.col("night_day_ratio") > 1.5),
+        ("Weekend Heavy", ["weekend_weekday_ratio"], F.col("weekend_weekday_ratio") > 1.5),
+        ("Low Consumer", ["avg_consumption"], avg < _value(population.q10_avg)),
+        ("High Consumer", ["avg_consumption"], avg > _value(population.q90_avg)),
+        ("Irregular", ["cv_consumption"], F.col("cv_consumption") > _value(population.q90_cv)),
+        *[
+            (label, ["consumer_type"], (F.upper(kind) == code) | F.lower(kind).contains(word))
+            for label, code, word in V.TYPE_PROFILES
+        ],
+        ("Summer AC Heavy", ["peak_usage_ratio", "avg_consumption"],
+         (F.col("peak_usage_ratio") > 0.6) & (avg > _value(population.q70_avg))),
+    ]
+    usable = [F.when(test, F.lit(label)) for label, needs, test in rules if set(needs) <= set(columns)]
+    return F.coalesce(*reversed(usable), F.lit(V.NORMAL))
 
 
 def add_profile(features: DataFrame, population: Population) -> DataFrame:

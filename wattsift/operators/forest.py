@@ -88,16 +88,18 @@ def load_forest(spark: SparkSession, path: str) -> Forest:
 
 def fit_forest(
     df: DataFrame, names: list[str], inputs: list[Column], trees: int = 100,
-    max_samples: int = MAX_SAMPLE, seed: int = 42, key: str = "consumer_id",
+    max_samples: int = MAX_SAMPLE, seed: int = 42, key: str = "consumer_id", rows: int | None = None,
 ) -> Forest:
     """Grow the forest; ``df`` should be staged, ``inputs`` are finite double columns."""
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     if rows == 0:
         raise ValueError("no rows to fit a forest on")
     params = ForestParams(list(names), trees, min(max_samples, rows), seed)
     if trees * (2 * params.sample - 1) > MAX_NODES:
         raise ValueError(f"{trees} trees of {params.sample} rows are more than {MAX_NODES} nodes")
-    drawn = draw_samples(df, inputs, params, rows, key)
+    # Few bytes but much work per tree, so the number of tasks must not follow the bytes.
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    drawn = draw_samples(df, inputs, params, rows, key).repartition(tasks, "tree_id")
     grown = drawn.groupBy("tree_id").applyInPandas(_grower(params), TREE_SCHEMA)
     nodes = grown.toPandas().sort_values(["tree_id", "node_id"], ignore_index=True)
     return Forest(params, nodes)
@@ -136,7 +138,7 @@ def _grower(params: ForestParams):
             low, high = here.min(axis=0), here.max(axis=0)
             usable = np.flatnonzero(high > low)
             if depth < deepest and len(usable):
-                feature = int(random.choice(usable))
+                feature = int(usable[random.integers(len(usable))])
                 at = random.uniform(low[feature], high[feature])
                 goes_left = here[:, feature] <= at
                 if goes_left.all():  # the draw fell on the upper end

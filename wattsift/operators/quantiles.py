@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Up to this many rows the built-in percentile, which keeps all distinct values in one task,
@@ -16,23 +16,30 @@ SKETCH_ACCURACY = 10_000
 def exact_quantiles(
     df: DataFrame,
     wanted: dict[str, tuple[str, float]],
+    rows: int | None = None,
+    also: dict[str, Column] | None = None,
     small_rows: int = SMALL_ROWS,
     accuracy: int = SKETCH_ACCURACY,
-) -> dict[str, float | None]:
+) -> dict[str, object]:
     """``{name: (column, p)}`` to ``{name: value}``; NULLs are ignored, no rows give None.
 
-    Makes several passes over ``df``: give it a staged table. Beyond ``small_rows`` a sketch
-    only says where to look, and exact counts of the rows there decide.
+    ``rows`` is the number of rows where the caller knows it, and ``also`` holds aggregates to
+    compute in the same pass. Makes several passes over ``df``: give it a staged table. Beyond
+    ``small_rows`` a sketch only says where to look, and exact counts of the rows there decide.
     """
-    columns = sorted({column for column, _ in wanted.values()})
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in columns]).first().asDict()
-    if max(counts.values()) <= small_rows:
-        row = df.agg(*[
+    extra = [column.alias(name) for name, column in (also or {}).items()]
+    if rows is None:
+        rows = df.count()
+    if rows <= small_rows:
+        row = df.agg(*extra, *[
             F.percentile(F.col(column).cast("double"), F.lit(float(p))).alias(name)
             for name, (column, p) in wanted.items()
         ]).first().asDict()
-        return {name: _number(row[name]) for name in wanted}
-    return _from_counts(df, wanted, counts, accuracy)
+        return {name: _number(row[name]) if name in wanted else row[name] for name in row}
+    columns = sorted({column for column, _ in wanted.values()})
+    row = df.agg(*extra, *[F.count(F.col(c)).alias(f"_count_{c}") for c in columns]).first().asDict()
+    counts = {c: row.pop(f"_count_{c}") for c in columns}
+    return row | _from_counts(df, wanted, counts, accuracy)
 
 
 def _number(value: float | None) -> float | None:

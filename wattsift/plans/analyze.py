@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from wattsift.functions.labels import explanation, status_of
 from wattsift.functions.zones import region_of, region_source
-from wattsift.operators.autoencoder import Autoencoder, AutoencoderParams, fit_autoencoder
+from wattsift.operators.autoencoder import (
+    Autoencoder, AutoencoderParams, set_threshold, train_autoencoder,
+)
 from wattsift.operators.cleaning import report_from_counts, tag_readings
 from wattsift.operators.consumers import REJECT_COUNTS, aggregate_tagged
 from wattsift.operators.features import (
@@ -23,7 +25,7 @@ from wattsift.operators.forest import Forest, fit_forest
 from wattsift.operators.results import summarize
 from wattsift.operators.scaling import fit_scaler
 from wattsift.operators.scoring import (
-    blend, check_contamination, forest_threshold, label_errors, normalize_scores,
+    blend, check_contamination, label_errors, normalized, score_statistics,
 )
 from wattsift.sources.layouts import detect_layout, rename_standard
 from wattsift.sources.runs import new_analysis_id
@@ -60,31 +62,37 @@ def analyze(
     if bind not in ("defaults", "columns"):
         raise ValueError(f"bind must be defaults or columns, not {bind}")
     counted = stage(count_consumers(raw), "consumers")
-    consumers = counted.filter(F.col("consumer_id").isNotNull() & (F.col("reading_count") > 0)).drop(*REJECT_COUNTS)
-    if counted.agg(F.sum("reading_count")).first()[0] in (None, 0):
+    used = F.col("consumer_id").isNotNull() & (F.col("reading_count") > 0)
+    readings, rows = counted.agg(F.sum("reading_count"), F.count_if(used)).first()
+    if not readings:
         raise ValueError("no valid readings after cleaning")
-    if consumers.isEmpty():
+    if not rows:
         raise ValueError("no consumers after aggregation")
 
-    ratios = ratio_features(consumers)
-    population = fit_population(ratios)
+    ratios = ratio_features(counted.filter(used).drop(*REJECT_COUNTS))
+    population = fit_population(ratios, rows)
     features = anomaly_flags(ratios, population)
     names, inputs = model_columns(features), model_inputs(features)
     # One scaler serves both models; a forest does not react to scaling.
     scaler = fit_scaler(features, names, inputs)
-    forest = fit_forest(features, names, scaler.columns(inputs), seed=seed)
-    scored = forest.score(features, scaler.columns(inputs))
-    autoencoder = None
+    scaled = scaler.columns(inputs)
+    forest = fit_forest(features, names, scaled, seed=seed, rows=rows)
+    scored, autoencoder = forest.score(features, scaled), None
     if use_autoencoder:
         params = AutoencoderParams(names, seed=seed, **(autoencoder_params or {}))
-        autoencoder = fit_autoencoder(features, inputs, params, scaler)
+        autoencoder = train_autoencoder(features, inputs, params, scaler, rows=rows)
         scored = autoencoder.error(scored, inputs)
     scored = stage(scored, "scored")
 
-    cut = F.lit(forest_threshold(scored, "raw_score", contamination)).cast("double")
-    results = normalize_scores(scored, "raw_score").withColumn("is_anomaly", F.col("raw_score") < cut)
+    found = score_statistics(scored, "raw_score", contamination, rows=rows)
+    raw_score = F.col("raw_score")
+    results = scored.withColumns({
+        "anomaly_score": normalized(raw_score, found["low"], found["high"], low_is_anomalous=True),
+        "is_anomaly": raw_score < F.lit(found["cut"]),
+    })
     if autoencoder is not None:
         # The blend replaces score and status; the flag stays the forest's.
+        autoencoder = set_threshold(autoencoder, scored, rows)
         results = label_errors(results, "ae_error", autoencoder.threshold)
         results = results.withColumn("ensemble_score", blend(F.col("anomaly_score"), F.col("ae_anomaly_score")))
         results = results.withColumn("anomaly_score", F.col("ensemble_score"))
