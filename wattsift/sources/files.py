@@ -14,23 +14,27 @@ LABEL_COLUMNS = ["Consumer_ID", "Is_Anomaly", "Anomaly_Type"]
 def read_readings_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Raw readings with every column as text; cleaning types them.
 
-    Schema inference would read the files twice and guess per file. Column names keep their
-    letter case, so two names that differ only in case stay two columns.
+    Schema inference would read the files twice and guess per file. Where names differ only in
+    letter case, the first keeps its name and the others carry their position.
     """
     if not path.endswith(".csv"):
         raise ValueError(f"not a .csv path: {path}")
-    before = spark.conf.get("spark.sql.caseSensitive")
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    try:
-        frame = (
-            spark.read.option("header", True).option("inferSchema", False)
-            .option("escape", '"').option("multiLine", multiline).csv(path)
-        )
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", before)
+    reader = spark.read.option("inferSchema", False).option("escape", '"').option("multiLine", multiline)
+    frame = reader.option("header", True).csv(path)
     if frame.isEmpty():
         raise ValueError(f"no rows in {path}")
-    return frame
+    return frame.toDF(*_first_keeps_name(list(reader.option("header", False).csv(path).first()), frame.columns))
+
+
+def _first_keeps_name(header: list[str | None], unique: list[str]) -> list[str]:
+    """Spark adds the position to every one of a set of equal names; undo that for the first."""
+    taken: set[str] = set()
+    names = []
+    for written, safe in zip(header, unique):
+        key = (written or "").lower()
+        names.append(safe if not key or key in taken else written)
+        taken.add(key)
+    return names
 
 
 def preview(df: DataFrame, rows: int = 5) -> dict[str, object]:
