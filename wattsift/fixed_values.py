@@ -69,7 +69,6 @@ MISSING_TEXT = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-MISSING_CONSUMPTION_TEXT = "Null"
 
 # --- model inputs -------------------------------------------------------------------------
 MODEL_FEATURES = [

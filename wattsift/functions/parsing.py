@@ -6,12 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattsift.fixed_values import MISSING_CONSUMPTION_TEXT, MISSING_TEXT
+from wattsift.fixed_values import MISSING_TEXT
 
 # Characters that Python's str.strip removes from ASCII text.
 BLANKS = " \t\n\r\x0b\x0c"
 
-NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
+# Type suffixes, hexadecimal text and NaN, which a cast to double would read.
+NOT_A_DECIMAL = r"(?i)[0-9.][df]\s*$|x|nan"
 SLASHED = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})(.*)$"
 YEAR_FIRST = r"^(\d{4})/(\d{1,2})/(\d{1,2})(.*)$"
 
@@ -43,17 +44,15 @@ def finite(number: Column) -> Column:
 
 
 def nan_to_null(number: Column) -> Column:
-    return F.when(~F.isnan(number), number)
+    return F.nullif(number, F.lit(float("nan")))
 
 
 def read_number(column: Column, kind: T.DataType) -> Column:
     """Consumption as double. Bad text and NaN become NULL; infinities stay."""
     if isinstance(kind, T.NumericType):
         return nan_to_null(column.cast("double"))
-    text = strip(column.cast("string"))
-    # Without the pattern Spark would also read 1.5d, 1.5f and hexadecimal text.
-    accepted = F.when(text.rlike(NUMBER) & (text != MISSING_CONSUMPTION_TEXT), text)
-    return accepted.try_cast("double")
+    text = column.cast("string")
+    return F.when(~text.rlike(NOT_A_DECIMAL), text.try_cast("double"))
 
 
 def read_timestamp(column: Column, kind: T.DataType) -> Column:
@@ -64,13 +63,15 @@ def read_timestamp(column: Column, kind: T.DataType) -> Column:
     """
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         return column.cast("timestamp_ntz")
-    text = strip(column.cast("string"))
-    month_first = F.regexp_replace(text, SLASHED, "$3-$1-$2$4")
-    day_first = F.regexp_replace(text, SLASHED, "$3-$2-$1$4")
-    year_first = F.regexp_replace(text, YEAR_FIRST, "$1-$2-$3$4")
+    text = column.cast("string")
+
+    def rearranged(pattern: str, order: str) -> Column:
+        # Text that does not match stays as it is, and has already failed as ISO.
+        return F.regexp_replace(strip(text), pattern, order).try_cast("timestamp_ntz")
+
     return F.coalesce(
         text.try_cast("timestamp_ntz"),
-        F.when(text.rlike(SLASHED), F.coalesce(
-            month_first.try_cast("timestamp_ntz"), day_first.try_cast("timestamp_ntz"))),
-        F.when(text.rlike(YEAR_FIRST), year_first.try_cast("timestamp_ntz")),
+        rearranged(SLASHED, "$3-$1-$2$4"),
+        rearranged(SLASHED, "$3-$2-$1$4"),
+        rearranged(YEAR_FIRST, "$1-$2-$3$4"),
     )

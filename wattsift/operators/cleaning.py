@@ -7,7 +7,7 @@ record per map task, and the removed copies are known without a second pass.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,27 +29,34 @@ def drop_missing_markers(raw: DataFrame) -> DataFrame:
 
 def distinct_readings(raw: DataFrame) -> DataFrame:
     """Distinct raw rows under standard names, with the number of copies of each."""
-    named = drop_missing_markers(rename_standard(raw))
-    return named.groupBy(*[F.col(f"`{c}`") for c in named.columns]).agg(F.count(F.lit(1)).alias(COPIES))
+    return _distinct(rename_standard(raw))
+
+
+def _distinct(named: DataFrame) -> DataFrame:
+    known = drop_missing_markers(named)
+    return known.groupBy(*[F.col(f"`{c}`") for c in known.columns]).agg(F.count(F.lit(1)).alias(COPIES))
+
+
+def typed_columns(df: DataFrame) -> dict[str, Column]:
+    """Consumption as double and timestamp as time, NULL where unreadable."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    readers = {"consumption": read_number, "timestamp": read_timestamp}
+    return {name: read(F.col(name), kinds[name]) for name, read in readers.items() if name in kinds}
 
 
 def tag_readings(raw: DataFrame) -> DataFrame:
-    """Distinct readings, typed, each with the reason for which cleaning drops it, or NULL.
+    """Distinct typed readings, each with the reason for which cleaning drops it, or NULL.
 
     The first reason that applies is kept: no consumption, negative consumption, no time.
     """
     frame = distinct_readings(raw)
-    kinds = {f.name: f.dataType for f in frame.schema}
+    frame = frame.withColumns(typed_columns(frame))
     reasons = []
-    if "consumption" in kinds:
-        frame = frame.withColumn("consumption", read_number(F.col("consumption"), kinds["consumption"]))
-        reasons.append(F.when(F.col("consumption").isNull(), NO_VALUE))
-        reasons.append(F.when(F.col("consumption") < 0, NEGATIVE))
-    if "timestamp" in kinds:
-        frame = frame.withColumn("timestamp", read_timestamp(F.col("timestamp"), kinds["timestamp"]))
+    if "consumption" in frame.columns:
+        reasons.append(F.when(F.col("consumption").isNull(), NO_VALUE).when(F.col("consumption") < 0, NEGATIVE))
+    if "timestamp" in frame.columns:
         reasons.append(F.when(F.col("timestamp").isNull(), NO_TIME))
-    reason = F.coalesce(*reasons) if reasons else F.lit(None).cast("string")
-    return frame.withColumn(REJECT, reason)
+    return frame.withColumn(REJECT, F.coalesce(*reasons) if reasons else F.lit(None).cast("string"))
 
 
 def add_region(readings: DataFrame, layout: str) -> DataFrame:
@@ -57,10 +64,21 @@ def add_region(readings: DataFrame, layout: str) -> DataFrame:
 
 
 def clean_readings(raw: DataFrame) -> DataFrame:
-    """Valid distinct readings with typed values, their region and their layout."""
+    """Valid distinct readings with typed values, their region and their layout.
+
+    Validity depends on one row alone, so invalid rows leave before the distinct shuffles. The
+    test is written on the raw columns: on the distinct rows, Spark would push it down all the
+    same, but with every step in between repeated inside it.
+    """
     layout = detect_layout(raw.columns)
-    kept = tag_readings(raw).filter(F.col(REJECT).isNull()).drop(COPIES, REJECT)
-    return add_region(kept, layout).withColumn("_data_format", F.lit(layout))
+    named = rename_standard(raw, layout)
+    typed = typed_columns(named)
+    if "consumption" in typed:
+        named = named.filter(typed["consumption"] >= 0)
+    if "timestamp" in typed:
+        named = named.filter(typed["timestamp"].isNotNull())
+    kept = _distinct(named).drop(COPIES)
+    return add_region(kept.withColumns(typed_columns(kept)), layout).withColumn("_data_format", F.lit(layout))
 
 
 def clean_report(raw: DataFrame) -> DataFrame:

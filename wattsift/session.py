@@ -31,6 +31,8 @@ def build_session(
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # No call-site capture per column expression: plans of many columns build faster.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     if partitions is not None:
         settings["spark.sql.shuffle.partitions"] = str(partitions)
