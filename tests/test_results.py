@@ -57,6 +57,17 @@ def test_pages(results):
     assert G.page_totals(results, 4, region="none").first().asDict() == {"total": 0, "total_pages": 0}
 
 
+@pytest.mark.parametrize("descending", [True, False])
+def test_deep_pages_equal_shallow_ones(spark, monkeypatch, descending):
+    df = spark.range(1000).selectExpr(
+        "concat('c', id) AS consumer_id", "IF(id % 7 = 0, NULL, CAST(id % 13 AS DOUBLE)) AS anomaly_score").repartition(6)
+    for page, limit in [(1, 10), (4, 130), (8, 130), (9, 130), (100, 10)]:
+        shallow = ids(G.page_of(df, "anomaly_score", descending, page, limit))
+        with monkeypatch.context() as m:
+            m.setattr(G, "DEEP_ROWS", 0)
+            assert ids(G.page_of(df, "anomaly_score", descending, page, limit)) == shallow
+
+
 @pytest.mark.parametrize("page, limit", [(0, 10), (1, 0), (1, 501)])
 def test_page_ranges(results, page, limit):
     with pytest.raises(ValueError):

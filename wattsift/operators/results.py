@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattsift.sources.staging import stage
+
 MAX_PAGE_ROWS = 500
 TOP_ZONES = 5
+# Up to here a page is a top-k, whose rows the driver holds.
+DEEP_ROWS = 100_000
 
 
 def with_status(results: DataFrame, status: str) -> DataFrame:
@@ -101,13 +105,17 @@ def zone_statistics(results: DataFrame) -> DataFrame:
     )
 
 
-def sort_results(results: DataFrame, sort_by: str = "anomaly_score", descending: bool = True) -> DataFrame:
-    """Sorted with missing values last; an unknown column leaves only the order by consumer."""
+def _order(results: DataFrame, sort_by: str, descending: bool) -> list[Column]:
     order = [F.col("consumer_id")]
     if sort_by in results.columns:
         by = F.col(sort_by)
         order.insert(0, by.desc_nulls_last() if descending else by.asc_nulls_last())
-    return results.orderBy(*order)
+    return order
+
+
+def sort_results(results: DataFrame, sort_by: str = "anomaly_score", descending: bool = True) -> DataFrame:
+    """Sorted with missing values last; an unknown column leaves only the order by consumer."""
+    return results.orderBy(*_order(results, sort_by, descending))
 
 
 def page_of(
@@ -118,7 +126,29 @@ def page_of(
         raise ValueError(f"page starts at 1, not {page}")
     if not 1 <= limit <= MAX_PAGE_ROWS:
         raise ValueError(f"limit must be 1 to {MAX_PAGE_ROWS}, not {limit}")
-    return sort_results(results, sort_by, descending).offset((page - 1) * limit).limit(limit)
+    start, order = (page - 1) * limit, _order(results, sort_by, descending)
+    if start + limit > DEEP_ROWS:
+        return _deep_page(results, order, start, limit)
+    return results.orderBy(*order).offset(start).limit(limit)
+
+
+def _deep_page(results: DataFrame, order: list[Column], start: int, limit: int) -> DataFrame:
+    """A page far down, which a top-k would hold together with all rows before it.
+
+    The sorted rows are staged with a number that tells their partition and their place in it;
+    the partitions' row counts then say which numbers the page has.
+    """
+    bits = 33  # monotonically_increasing_id keeps the partition above these
+    numbered = stage(results.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "pages")
+    counts = numbered.groupBy(F.shiftright("_at", bits).alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    wanted, before = F.lit(False), 0
+    for part, rows in sorted(tuple(r) for r in counts.collect()):
+        low, high = max(start - before, 0), min(start + limit - before, rows)
+        if low < high:
+            first = part << bits
+            wanted = wanted | F.col("_at").between(first + low, first + high - 1)
+        before += rows
+    return numbered.filter(wanted).orderBy("_at").drop("_at")
 
 
 def _or(name: str, default: object, results: DataFrame) -> Column:
