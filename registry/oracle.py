@@ -55,13 +55,18 @@ CTE = {
         JOIN acorn_map a ON r.acorn_group IS NOT DISTINCT FROM a.acorn_group""",
 }
 
+# Valid readings out of the raw ones; the raw fixture has two states and readings without one.
+CTE["cz"] = """SELECT consumer_id, ts, kwh AS consumption,
+    CASE state WHEN 'UP' THEN 'North India' WHEN 'KA' THEN 'South India' ELSE 'Unknown' END AS zone
+    FROM typed WHERE kwh >= 0 AND NOT isnan(kwh) AND ts IS NOT NULL AND consumer_id IS NOT NULL"""
+
 AGGREGATE = """SELECT consumer_id, avg(consumption) AS avg_consumption, stddev_samp(consumption) AS std_consumption,
     min(consumption) AS min_consumption, max(consumption) AS max_consumption, sum(consumption) AS total_consumption,
     count(*) AS reading_count, list({zone} ORDER BY ts, {zone})[1] AS region,
     avg(CASE WHEN hour(ts) >= 22 OR hour(ts) < 6 THEN 1 ELSE 0 END) AS night_usage_ratio,
     avg(CASE WHEN isodow(ts) IN (6, 7) THEN 1 ELSE 0 END) AS weekend_readings_ratio,
     avg(CASE WHEN hour(ts) BETWEEN 7 AND 9 OR hour(ts) BETWEEN 18 AND 21 THEN 1 ELSE 0 END) AS peak_usage_ratio
-    FROM zr GROUP BY consumer_id"""
+    FROM {source} GROUP BY consumer_id"""
 RATIOS = """SELECT *, std_consumption / (avg_consumption + 1e-6) AS cv_consumption,
     max_consumption - min_consumption AS range_consumption,
     (max_consumption - min_consumption) / (avg_consumption + 1e-6) AS range_ratio,
@@ -73,6 +78,11 @@ POPULATION = """SELECT avg(avg_consumption) AS mean_avg, quantile_cont(avg_consu
     quantile_cont(cv_consumption, 0.9) AS q90_cv, quantile_cont(night_day_ratio, 0.95) AS q95_night FROM {source}"""
 
 
+FLAGS = """SELECT *, CASE WHEN avg_consumption < (SELECT mean_avg FROM {p}) * 0.3 THEN 1 ELSE 0 END AS low_consumption_flag,
+    CASE WHEN cv_consumption > (SELECT q90_cv FROM {p}) THEN 1 ELSE 0 END AS high_variability_flag,
+    CASE WHEN night_day_ratio > (SELECT q95_night FROM {p}) THEN 1 ELSE 0 END AS unusual_night_flag FROM {source}"""
+
+
 def _profile(source: str, typed: bool) -> str:
     kinds = """WHEN upper(consumer_type) = 'COM' OR consumer_type ILIKE '%commercial%' THEN 'Commercial'
         WHEN upper(consumer_type) = 'IND' OR consumer_type ILIKE '%industrial%' THEN 'Industrial'
@@ -103,14 +113,12 @@ def _status(score: str) -> str:
 
 CTE |= {
     # consumers by state zone
-    "c": AGGREGATE.format(zone="state_zone"),
+    "c": AGGREGATE.format(zone="state_zone", source="zr"),
     "f": RATIOS.format(source="c"),
     "p": POPULATION.format(source="f"),
-    "fl": """SELECT *, CASE WHEN avg_consumption < (SELECT mean_avg FROM p) * 0.3 THEN 1 ELSE 0 END AS low_consumption_flag,
-        CASE WHEN cv_consumption > (SELECT q90_cv FROM p) THEN 1 ELSE 0 END AS high_variability_flag,
-        CASE WHEN night_day_ratio > (SELECT q95_night FROM p) THEN 1 ELSE 0 END AS unusual_night_flag FROM f""",
+    "fl": FLAGS.format(source="f", p="p"),
     # consumers by ACORN zone, scored by a formula
-    "ca": AGGREGATE.format(zone="acorn_zone"),
+    "ca": AGGREGATE.format(zone="acorn_zone", source="zr"),
     "fa": RATIOS.format(source="ca"),
     "pa": POPULATION.format(source="fa"),
     "m": "SELECT avg(avg_consumption) AS m, stddev_pop(avg_consumption) AS sd FROM fa",
@@ -123,6 +131,11 @@ CTE |= {
     "res": f"""SELECT *, raw_score < (SELECT quantile_cont(raw_score, {CONTAMINATION}) FROM sc) AS is_anomaly,
         {_status('anomaly_score')} AS status, {_say('0', '1', '0')} AS ai_explanation,
         {_profile('pa', False)} AS consumption_profile FROM n""",
+    # consumers out of the raw readings
+    "cr": AGGREGATE.format(zone="zone", source="cz"),
+    "xr": RATIOS.format(source="cr"),
+    "pr": POPULATION.format(source="xr"),
+    "flr": FLAGS.format(source="xr", p="pr"),
     # readings against their consumer
     "fr": f"""SELECT r.consumer_id, r.ts, r.consumption AS raw_consumption, round(r.consumption, 4) AS consumption,
         CASE WHEN r.consumption <= 0.005 THEN {_text(V.READING_ZERO)}
@@ -138,7 +151,8 @@ NEEDS = {
     "named": ["raw"], "d": ["named"], "typed": ["d"], "state_map": ["r", "state_codes"],
     "acorn_map": ["r", "acorn_codes"], "zr": ["state_map", "acorn_map"], "c": ["zr"], "f": ["c"], "p": ["f"],
     "fl": ["f", "p"], "ca": ["zr"], "fa": ["ca"], "pa": ["fa"], "m": ["fa"], "sc": ["m"], "n": ["sc"],
-    "res": ["n", "pa"], "fr": ["r", "ca"],
+    "res": ["n", "pa"], "fr": ["r", "ca"], "cz": ["typed"], "cr": ["cz"], "xr": ["cr"], "pr": ["xr"],
+    "flr": ["xr", "pr"],
 }
 
 
@@ -193,6 +207,14 @@ def _vector(template: str) -> str:
     return ", ".join(template.format(c=c) for c in V.MODEL_FEATURES)
 
 
+CLEAN_REPORT = _sql(
+        """SELECT CAST(sum(copies) AS BIGINT) AS original_rows, 5 AS original_columns,
+        CAST(sum(copies) - count(*) AS BIGINT) AS removed_duplicates,
+        count(*) FILTER (kwh IS NULL) AS removed_nulls, count(*) FILTER (kwh < 0) AS removed_negative,
+        count(*) FILTER (kwh >= 0 AND ts IS NULL) AS removed_bad_timestamp,
+        count(*) FILTER (kwh >= 0 AND ts IS NOT NULL) AS final_rows,
+        round(count(*) FILTER (kwh >= 0 AND ts IS NOT NULL) / sum(copies), 6) AS cleaning_ratio FROM typed""", "typed")
+
 ORACLE = {
     "standardize_columns": _sql(
         f"SELECT Consumer_ID AS consumer_id, DateTime AS timestamp, KWH AS consumption, State AS state, "
@@ -203,13 +225,8 @@ ORACLE = {
         CASE state WHEN 'UP' THEN 'North India' WHEN 'KA' THEN 'South India' ELSE 'Unknown' END AS region,
         '{V.STATE_LAYOUT}' AS _data_format
         FROM typed WHERE kwh >= 0 AND NOT isnan(kwh) AND ts IS NOT NULL""", "typed"),
-    "clean_report": _sql(
-        """SELECT CAST(sum(copies) AS BIGINT) AS original_rows, 5 AS original_columns,
-        CAST(sum(copies) - count(*) AS BIGINT) AS removed_duplicates,
-        count(*) FILTER (kwh IS NULL) AS removed_nulls, count(*) FILTER (kwh < 0) AS removed_negative,
-        count(*) FILTER (kwh >= 0 AND ts IS NULL) AS removed_bad_timestamp,
-        count(*) FILTER (kwh >= 0 AND ts IS NOT NULL) AS final_rows,
-        round(count(*) FILTER (kwh >= 0 AND ts IS NOT NULL) / sum(copies), 6) AS cleaning_ratio FROM typed""", "typed"),
+    "clean_report": CLEAN_REPORT,
+    "analyzed_report": CLEAN_REPORT,
     "zone_from_acorn": _sql(
         "SELECT acorn_group, acorn_zone AS zone, count(*) AS readings FROM zr GROUP BY 1, 2", "zr"),
     "zone_from_state": _sql("SELECT state, state_zone AS zone, count(*) AS readings FROM zr GROUP BY 1, 2", "zr"),
@@ -358,6 +375,13 @@ ORACLE = {
         UNION ALL SELECT 'Average Anomaly Score', printf('%.3f', avg(anomaly_score)) FROM res
         UNION ALL SELECT 'High Risk Zones', (SELECT string_agg(region, ', ' ORDER BY flagged DESC, region) FROM
           (SELECT * FROM {ZONE_COUNTS} ORDER BY flagged DESC, region LIMIT 5))""", "res"),
+    "analyzed_consumers": _sql(
+        f"""SELECT consumer_id, region, reading_count, {_r(*[c for c in SUMMARY_FEATURES if c != 'reading_count'])},
+        low_consumption_flag, high_variability_flag, unusual_night_flag,
+        {_profile('pr', False)} AS consumption_profile FROM flr""", "flr", "pr"),
+    "forest_shape": _sql(
+        """SELECT 100 AS trees, 100 * least(256, count(*)) AS root_rows, 100 * least(256, count(*)) AS leaf_rows,
+        false AS too_deep FROM c""", "c"),
     "user_history": _sql(
         """SELECT user_id, analysis_id, filename, total_consumers, used_autoencoder,
         CAST(created_at AS VARCHAR) AS created_at FROM runs

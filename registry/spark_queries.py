@@ -493,4 +493,25 @@ def q_analyze_with_autoencoder(spark, sf):
     return analyze(raw(spark, sf), use_autoencoder=True).results
 
 
+def q_analyzed_consumers(spark, sf):
+    """What a whole analysis says of every consumer apart from the scores."""
+    found = analyze(raw(spark, sf)).results
+    return rounded(found.drop("anomaly_score", "is_anomaly", "status", "ai_explanation"))
+
+
+def q_analyzed_report(spark, sf):
+    return rounded(analyze(raw(spark, sf)).cleaning_report)
+
+
+def q_forest_shape(spark, sf):
+    """Trees, rows at their roots and in their leaves, and whether none is too deep."""
+    nodes = M.fit_forest(*_model_inputs(spark, sf)).node_table(spark)
+    per_tree = nodes.groupBy("tree_id").agg(
+        F.max(F.when(F.col("depth") == 0, F.col("size"))).alias("root"),
+        F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("leaves"), F.max("depth").alias("depth"))
+    return per_tree.agg(
+        F.count(F.lit(1)).alias("trees"), F.sum("root").alias("root_rows"), F.sum("leaves").alias("leaf_rows"),
+        F.max(F.col("depth") > F.ceil(F.log2("root"))).alias("too_deep"))
+
+
 QUERIES = {name[2:]: call for name, call in list(globals().items()) if name.startswith("q_")}

@@ -75,6 +75,13 @@ def test_typed_input(spark):
     assert [(r.timestamp, r.consumption) for r in C.clean_readings(df).collect()] == [(dt.datetime(2024, 1, 1), 1.5)]
 
 
+def test_times_outside_the_span_are_no_times(spark):
+    rows = [("a", t, "1") for t in ("1600-01-01", "2024-01-01", "2300-01-01", "202401")]
+    df = spark.createDataFrame(rows, "LCLid string, DateTime string, kwh string")
+    assert [r.timestamp for r in C.clean_readings(df).collect()] == [dt.datetime(2024, 1, 1)]
+    assert C.clean_report(df).first().removed_bad_timestamp == 3
+
+
 def test_many_copies_of_one_row_meet_on_the_map_side(spark):
     """The distinct must aggregate before its shuffle, or one row's copies would be one task's work."""
     raw = spark.range(1000).selectExpr(*[f"'{v}' AS {n}" for n, v in zip(

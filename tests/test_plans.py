@@ -1,28 +1,18 @@
-"""What the plans of the queries must and must not hold."""
+"""What the plans of single operators must and must not hold."""
 
 import re
 
-import pytest
-
-import __spark_entry__ as entry_points
 from registry.fixtures import readings
 from wattsift.operators import cleaning, consumers, readings as single
 from wattsift.operators.results import sort_results
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_query_joins_every_row_with_every_row(spark, name):
-    plan = plan_of(QUERIES[name](spark, SMALL))
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-
-
 def test_scans_read_only_what_they_need(spark):
     plan = plan_of(consumers.region_counts(consumers.aggregate_consumers(
         cleaning.add_region(readings(spark, SMALL), "india_smart_meters"))))

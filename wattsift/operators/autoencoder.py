@@ -60,7 +60,8 @@ class Network:
         per_layer = [a * b + b + (2 * b if n else 0) for (a, b), n in zip(self.shapes, self.normed)]
         self.trained = np.zeros(sum(per_layer))
         self.moving = np.zeros(sum(2 * b for (_, b), n in zip(self.shapes, self.normed) if n))
-        self.layers = self._views(self.trained)
+        self.slope = np.zeros_like(self.trained)
+        self.layers, self.slopes = self._views(self.trained), self._views(self.slope)
         self.stats = []
         at = 0
         for (_, b), normed in zip(self.shapes, self.normed):
@@ -103,8 +104,11 @@ class Network:
         return x
 
     def gradient(self, x: np.ndarray, dropout: float, random: np.random.Generator) -> tuple[float, np.ndarray]:
-        """Mean squared error on one batch and its gradient; updates the moving statistics."""
-        target, kept, last = x, [], len(self.layers) - 1
+        """Mean squared error on one batch and its gradient; updates the moving statistics.
+
+        The gradient is a buffer of this object that the next call fills anew.
+        """
+        target, kept, last, rows = x, [], len(self.layers) - 1, len(x)
         for i, (layer, stat) in enumerate(zip(self.layers, self.stats)):
             before = x
             x = x @ layer["weight"] + layer["bias"]
@@ -113,33 +117,32 @@ class Network:
                 x = x * active
             normal = scale = mask = None
             if stat:
-                mean, var = x.mean(axis=0), x.var(axis=0)
-                stat[0][:] = self.DECAY * stat[0] + (1 - self.DECAY) * mean
-                stat[1][:] = self.DECAY * stat[1] + (1 - self.DECAY) * var
+                mean = x.sum(axis=0) / rows
+                normal = x - mean
+                var = np.einsum("ij,ij->j", normal, normal) / rows
+                stat[0][:] += (1 - self.DECAY) * (mean - stat[0])
+                stat[1][:] += (1 - self.DECAY) * (var - stat[1])
                 scale = 1.0 / np.sqrt(var + self.FLOOR)
-                normal = (x - mean) * scale
+                normal *= scale
                 mask = (random.random(x.shape) >= dropout) / (1.0 - dropout)
                 x = (normal * layer["gain"] + layer["offset"]) * mask
             kept.append((before, active, normal, scale, mask))
         miss = x - target
-        flat = np.zeros_like(self.trained)
-        grads = self._views(flat)
         back = 2.0 * miss / miss.size
         for layer, grad, (before, active, normal, scale, mask) in zip(
-            reversed(self.layers), reversed(grads), reversed(kept)
+            reversed(self.layers), reversed(self.slopes), reversed(kept)
         ):
             if normal is not None:
                 back = back * mask
-                grad["gain"][:] = (back * normal).sum(axis=0)
+                grad["gain"][:] = np.einsum("ij,ij->j", back, normal)
                 grad["offset"][:] = back.sum(axis=0)
-                back = back * layer["gain"]
-                back = scale * (back - back.mean(axis=0) - normal * (back * normal).mean(axis=0))
+                back = layer["gain"] * scale * (back - grad["offset"] / rows - normal * (grad["gain"] / rows))
             if active is not None:
                 back = back * active
-            grad["weight"][:] = before.T @ back
+            np.matmul(before.T, back, out=grad["weight"])
             grad["bias"][:] = back.sum(axis=0)
             back = back @ layer["weight"].T
-        return float(np.mean(miss * miss)), flat
+        return float(np.mean(miss * miss)), self.slope
 
     def load(self, state: np.ndarray) -> None:
         self.trained[:] = state[:len(self.trained)]

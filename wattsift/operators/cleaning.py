@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattsift.functions.parsing import blank_to_null, read_number, read_timestamp
+from wattsift.functions.parsing import blank_to_null, is_time, read_number, read_timestamp
 from wattsift.functions.zones import region_of, region_source
 from wattsift.sources.layouts import detect_layout, rename_standard
 
@@ -55,7 +55,7 @@ def tag_readings(raw: DataFrame) -> DataFrame:
     if "consumption" in frame.columns:
         reasons.append(F.when(F.col("consumption").isNull(), NO_VALUE).when(F.col("consumption") < 0, NEGATIVE))
     if "timestamp" in frame.columns:
-        reasons.append(F.when(F.col("timestamp").isNull(), NO_TIME))
+        reasons.append(F.when(~is_time(F.col("timestamp")), NO_TIME))
     return frame.withColumn(REJECT, F.coalesce(*reasons) if reasons else F.lit(None).cast("string"))
 
 
@@ -76,7 +76,7 @@ def clean_readings(raw: DataFrame) -> DataFrame:
     if "consumption" in typed:
         named = named.filter(typed["consumption"] >= 0)
     if "timestamp" in typed:
-        named = named.filter(typed["timestamp"].isNotNull())
+        named = named.filter(is_time(typed["timestamp"]))
     kept = _distinct(named).drop(COPIES)
     return add_region(kept.withColumns(typed_columns(kept)), layout).withColumn("_data_format", F.lit(layout))
 
