@@ -69,10 +69,10 @@ def test_adam_first_step_is_the_rate():
     assert weights == pytest.approx([0.999, 1.001], rel=1e-4)
 
 
-@pytest.mark.parametrize("part_rows, epochs", [(50_000, 40), (100, 40)])
-def test_learns_and_ranks_far_points_on_top(spark, part_rows, epochs):
+@pytest.mark.parametrize("part_rows, epochs, rate", [(50_000, 40, 0.001), (200, 12, 0.005)])
+def test_learns_and_ranks_far_points_on_top(spark, part_rows, epochs, rate):
     df = frame(spark)
-    params = A.AutoencoderParams(NAMES, epochs=epochs, part_rows=part_rows)
+    params = A.AutoencoderParams(NAMES, epochs=epochs, part_rows=part_rows, learning_rate=rate)
     fitted = A.fit_autoencoder(df, inputs(), params, fit_scaler(df, NAMES, inputs()))
     blank = A.Autoencoder(params, fitted.scaler, A.first_state(params))
     found = errors(df, fitted)

@@ -13,8 +13,8 @@ BLANKS = " \t\n\r\x0b\x0c"
 
 # Type suffixes, hexadecimal text and NaN, which a cast to double would read.
 NOT_A_DECIMAL = r"(?i)[0-9.][df]\s*$|x|nan"
-# The span that nanosecond timestamps can hold; times outside of it count as unreadable.
-FIRST_TIME, LAST_TIME = "1677-09-21 00:12:44", "2262-04-11 23:47:16"
+# Days to either side of 1970 that nanosecond timestamps can hold; other times count as unreadable.
+LAST_DAY = 106_751
 
 SLASHED = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})(.*)$"
 YEAR_FIRST = r"^(\d{4})/(\d{1,2})/(\d{1,2})(.*)$"
@@ -81,6 +81,5 @@ def read_timestamp(column: Column, kind: T.DataType) -> Column:
 
 
 def is_time(ts: Column) -> Column:
-    """Whether a timestamp was read, and lies in the span."""
-    first, last = (F.lit(t).cast("timestamp_ntz") for t in (FIRST_TIME, LAST_TIME))
-    return F.coalesce(ts.between(first, last), F.lit(False))
+    """Whether a timestamp was read, and lies in the span. Uses ``ts`` once, since it may be costly."""
+    return F.coalesce(F.abs(F.unix_date(ts.cast("date"))) <= LAST_DAY, F.lit(False))
