@@ -227,7 +227,7 @@ class Autoencoder:
 
     def error(self, df: DataFrame, inputs: list[Column], out: str = "ae_error") -> DataFrame:
         """Add the mean squared reconstruction error of every row."""
-        shared = df.sparkSession.sparkContext.broadcast((self.params, self.state))
+        shared = self._broadcast(df)
 
         @F.pandas_udf("double")
         def ae_error(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -240,7 +240,7 @@ class Autoencoder:
 
     def encode(self, df: DataFrame, inputs: list[Column], out: str = "encoding") -> DataFrame:
         """Add the bottleneck vector of every row."""
-        shared = df.sparkSession.sparkContext.broadcast((self.params, self.state))
+        shared = self._broadcast(df)
 
         @F.pandas_udf("array<double>")
         def encoding(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -251,6 +251,11 @@ class Autoencoder:
 
         return df.withColumn(out, encoding(*self._scaled(inputs)))
 
+    def _broadcast(self, df: DataFrame):
+        # Plain values only: a broadcast is pickled by reference, and executors may lack this package.
+        values = (len(self.params.names), self.params.hidden, self.params.code, self.state)
+        return df.sparkSession.sparkContext.broadcast(values)
+
     def _scaled(self, inputs: list[Column]) -> list[Column]:
         return inputs if self.scaler is None else self.scaler.columns(inputs)
 
@@ -273,8 +278,8 @@ def load_autoencoder(spark: SparkSession, path: str) -> Autoencoder:
         AutoencoderParams(**json.loads(row["params"])), scaler, np.asarray(row["weights"]), row["threshold"])
 
 
-def _network(params: AutoencoderParams, state: np.ndarray) -> Network:
-    net = Network(len(params.names), params.hidden, params.code)
+def _network(inputs: int, hidden: list[int], code: int, state: np.ndarray) -> Network:
+    net = Network(inputs, hidden, code)
     net.load(state)
     return net
 
