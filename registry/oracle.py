@@ -171,7 +171,7 @@ def _sql(body: str, *needs: str) -> str:
 
 
 def _r(*columns: str) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+    return ", ".join(f"round({c} + 1e-9, 6) AS {c}" for c in columns)
 
 
 CONSUMER_NUMBERS = [
@@ -189,7 +189,7 @@ TOTALS = """count(*) AS total_consumers, count(*) FILTER (is_anomaly) AS anomali
     count(*) FILTER (status = 'High Risk') AS high_risk_count,
     count(*) FILTER (status = 'Suspicious') AS suspicious_count,
     count(*) FILTER (status = 'Review Needed') AS review_needed_count,
-    round(avg(anomaly_score), 6) AS avg_anomaly_score, round(max(anomaly_score), 6) AS max_anomaly_score"""
+    round(avg(anomaly_score) + 1e-9, 6) AS avg_anomaly_score, round(max(anomaly_score) + 1e-9, 6) AS max_anomaly_score"""
 ZONE_COUNTS = """(SELECT region, count(*) FILTER (is_anomaly) AS flagged FROM res WHERE region IS NOT NULL
     GROUP BY region HAVING count(*) FILTER (is_anomaly) > 0)"""
 DETAIL = """consumer_id, region, round(avg_consumption, 3) AS avg_consumption,
@@ -213,7 +213,7 @@ CLEAN_REPORT = _sql(
         count(*) FILTER (kwh IS NULL) AS removed_nulls, count(*) FILTER (kwh < 0) AS removed_negative,
         count(*) FILTER (kwh >= 0 AND ts IS NULL) AS removed_bad_timestamp,
         count(*) FILTER (kwh >= 0 AND ts IS NOT NULL) AS final_rows,
-        round(count(*) FILTER (kwh >= 0 AND ts IS NOT NULL) / sum(copies), 6) AS cleaning_ratio FROM typed""", "typed")
+        round(count(*) FILTER (kwh >= 0 AND ts IS NOT NULL) / sum(copies) + 1e-9, 6) AS cleaning_ratio FROM typed""", "typed")
 
 ORACLE = {
     "standardize_columns": _sql(
@@ -221,7 +221,7 @@ ORACLE = {
         f"Consumer_Type AS consumer_type, '{V.STATE_LAYOUT}' AS _data_format FROM raw", "raw"),
     "dedup_rows": _sql("SELECT * FROM d", "d"),
     "clean_readings": _sql(
-        f"""SELECT consumer_id, CAST(ts AS VARCHAR) AS timestamp, round(kwh, 6) AS consumption, state, consumer_type,
+        f"""SELECT consumer_id, CAST(ts AS VARCHAR) AS timestamp, round(kwh + 1e-9, 6) AS consumption, state, consumer_type,
         CASE state WHEN 'UP' THEN 'North India' WHEN 'KA' THEN 'South India' ELSE 'Unknown' END AS region,
         '{V.STATE_LAYOUT}' AS _data_format
         FROM typed WHERE kwh >= 0 AND NOT isnan(kwh) AND ts IS NOT NULL""", "typed"),
@@ -249,64 +249,64 @@ ORACLE = {
     "consumer_aggregate": _sql(
         f"SELECT consumer_id, {_r(*CONSUMER_NUMBERS)}, reading_count, region FROM c", "c"),
     "dataset_statistics": _sql(
-        """SELECT count(*) AS total_consumers, round(avg(avg_consumption), 6) AS avg_consumption_mean,
-        round(stddev_samp(avg_consumption), 6) AS avg_consumption_std,
+        """SELECT count(*) AS total_consumers, round(avg(avg_consumption) + 1e-9, 6) AS avg_consumption_mean,
+        round(stddev_samp(avg_consumption) + 1e-9, 6) AS avg_consumption_std,
         CAST(sum(reading_count) AS BIGINT) AS total_readings FROM c""", "c"),
     "region_counts": _sql("SELECT region, count(*) AS consumers FROM c GROUP BY region", "c"),
     "region_map": _sql("SELECT region, count(*) AS consumers FROM c GROUP BY region", "c"),
     "feature_summary": _sql(
         " UNION ALL ".join(
-            f"""SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
-            round(CAST(min({c}) AS DOUBLE), 6) AS min, round(CAST(max({c}) AS DOUBLE), 6) AS max,
-            round(median({c}), 6) AS median FROM f""" for c in SUMMARY_FEATURES), "f"),
+            f"""SELECT '{c}' AS feature, round(avg({c}) + 1e-9, 6) AS mean, round(stddev_samp({c}) + 1e-9, 6) AS std,
+            round(CAST(min({c}) AS DOUBLE) + 1e-9, 6) AS min, round(CAST(max({c}) AS DOUBLE) + 1e-9, 6) AS max,
+            round(median({c}) + 1e-9, 6) AS median FROM f""" for c in SUMMARY_FEATURES), "f"),
     "basic_statistics": _sql(
-        """SELECT round(avg(consumption), 6) AS mean, round(stddev_pop(consumption), 6) AS std,
-        round(min(consumption), 6) AS min, round(max(consumption), 6) AS max,
-        round(median(consumption), 6) AS median FROM r""", "r"),
+        """SELECT round(avg(consumption) + 1e-9, 6) AS mean, round(stddev_pop(consumption) + 1e-9, 6) AS std,
+        round(min(consumption) + 1e-9, 6) AS min, round(max(consumption) + 1e-9, 6) AS max,
+        round(median(consumption) + 1e-9, 6) AS median FROM r""", "r"),
     "variability_features": _sql(
         f"SELECT consumer_id, {_r('cv_consumption', 'range_consumption', 'range_ratio')} FROM f", "f"),
     "behavior_features": _sql(
         f"SELECT consumer_id, {_r('night_day_ratio', 'weekend_weekday_ratio', 'off_peak_ratio')} FROM f", "f"),
     "population_thresholds": _sql(
-        "SELECT name, round(value, 6) AS value FROM (UNPIVOT p ON COLUMNS(*) INTO NAME name VALUE value)", "p"),
+        "SELECT name, round(value + 1e-9, 6) AS value FROM (UNPIVOT p ON COLUMNS(*) INTO NAME name VALUE value)", "p"),
     "anomaly_flags": _sql(
         "SELECT consumer_id, low_consumption_flag, high_variability_flag, unusual_night_flag FROM fl", "fl"),
     "feature_vector": _sql(
-        f"SELECT consumer_id, {_vector('round(CAST(coalesce({c}, 0) AS DOUBLE), 6) AS {c}')} FROM fl", "fl"),
+        f"SELECT consumer_id, {_vector('round(CAST(coalesce({c}, 0) AS DOUBLE) + 1e-9, 6) AS {c}')} FROM fl", "fl"),
     "prepare_features": _sql(
         "SELECT consumer_id, " + ", ".join(
-            f"round(coalesce({c}, (SELECT avg({c}) FROM c), 0), 6) AS {c}" for c in V.BASIC_MODEL_FEATURES) + " FROM c",
+            f"round(coalesce({c}, (SELECT avg({c}) FROM c), 0) + 1e-9, 6) AS {c}" for c in V.BASIC_MODEL_FEATURES) + " FROM c",
         "c"),
     "scale_standard": _sql(
         "SELECT consumer_id, " + _vector(
             "round(CASE WHEN (SELECT stddev_pop(coalesce({c}, 0)) FROM fl) = 0 THEN 0.0 ELSE "
             "(coalesce({c}, 0) - (SELECT avg(coalesce({c}, 0)) FROM fl)) "
-            "/ (SELECT stddev_pop(coalesce({c}, 0)) FROM fl) END, 6) AS {c}") + " FROM fl", "fl"),
+            "/ (SELECT stddev_pop(coalesce({c}, 0)) FROM fl) END + 1e-9, 6) AS {c}") + " FROM fl", "fl"),
     "scale_minmax": _sql(
         "SELECT consumer_id, " + _vector(
             "round(CASE WHEN (SELECT max(coalesce({c}, 0)) = min(coalesce({c}, 0)) FROM fl) THEN 0.0 ELSE "
             "(coalesce({c}, 0) - (SELECT min(coalesce({c}, 0)) FROM fl)) * 1.0 "
-            "/ (SELECT max(coalesce({c}, 0)) - min(coalesce({c}, 0)) FROM fl) END, 6) AS {c}") + " FROM fl", "fl"),
+            "/ (SELECT max(coalesce({c}, 0)) - min(coalesce({c}, 0)) FROM fl) END + 1e-9, 6) AS {c}") + " FROM fl", "fl"),
     "profiles": _sql(f"SELECT consumer_id, {_profile('p', False)} AS consumption_profile FROM f", "f", "p"),
     "profiles_with_type": _sql(
         f"""SELECT consumer_id, consumer_type, {_profile('p', True)} AS consumption_profile FROM f
         JOIN (SELECT consumer_id, max(consumer_type) AS consumer_type FROM r GROUP BY consumer_id) USING (consumer_id)""",
         "f", "p"),
     "reading_flags": _sql(
-        """SELECT consumer_id, CAST(ts AS VARCHAR) AS timestamp, round(consumption, 6) AS consumption,
+        """SELECT consumer_id, CAST(ts AS VARCHAR) AS timestamp, round(consumption + 1e-9, 6) AS consumption,
         anomaly_reason IS NOT NULL AS is_anomalous, anomaly_reason FROM fr""", "fr"),
     "anomalous_readings": _sql(
-        """SELECT consumer_id, CAST(ts AS VARCHAR) AS timestamp, round(consumption, 6) AS consumption,
+        """SELECT consumer_id, CAST(ts AS VARCHAR) AS timestamp, round(consumption + 1e-9, 6) AS consumption,
         true AS is_anomalous, anomaly_reason FROM fr WHERE anomaly_reason IS NOT NULL""", "fr"),
     "reading_counts": _sql(
         """SELECT consumer_id, count(*) AS total_records, count(anomaly_reason) AS anomalous_record_count
         FROM fr GROUP BY consumer_id""", "fr"),
     "first_n_readings": _sql(
-        f"""SELECT consumer_id, CAST(ts AS VARCHAR) AS timestamp, round(consumption, 6) AS consumption
+        f"""SELECT consumer_id, CAST(ts AS VARCHAR) AS timestamp, round(consumption + 1e-9, 6) AS consumption
         FROM (SELECT *, row_number() OVER (PARTITION BY consumer_id ORDER BY ts, consumption) AS rn FROM r)
         WHERE rn <= {FIRST_READINGS}""", "r"),
     "consumer_timeseries": _sql(
-        """SELECT consumer_id, CAST(ts AS VARCHAR) AS timestamp, round(consumption, 6) AS consumption FROM r
+        """SELECT consumer_id, CAST(ts AS VARCHAR) AS timestamp, round(consumption + 1e-9, 6) AS consumption FROM r
         WHERE consumer_id = (SELECT consumer_id FROM r GROUP BY consumer_id ORDER BY count(*) DESC, consumer_id LIMIT 1)
         ORDER BY ts, consumption""", "r"),
     "consumer_detail": _sql(
@@ -318,21 +318,21 @@ ORACLE = {
         f"""SELECT {DETAIL} FROM res JOIN {SHOWN_COUNTS} USING (consumer_id)
         ORDER BY res.anomaly_score DESC, consumer_id LIMIT 1""", "res", "fr"),
     "score_range": _sql(
-        "SELECT round(min(raw_score), 6) AS low, round(max(raw_score), 6) AS high FROM sc", "sc"),
+        "SELECT round(min(raw_score) + 1e-9, 6) AS low, round(max(raw_score) + 1e-9, 6) AS high FROM sc", "sc"),
     "score_threshold": _sql(
-        f"SELECT round(quantile_cont(raw_score, {CONTAMINATION}), 6) AS threshold FROM sc", "sc"),
-    "normalize_scores": _sql("SELECT consumer_id, round(anomaly_score, 6) AS anomaly_score FROM n", "n"),
+        f"SELECT round(quantile_cont(raw_score, {CONTAMINATION}) + 1e-9, 6) AS threshold FROM sc", "sc"),
+    "normalize_scores": _sql("SELECT consumer_id, round(anomaly_score + 1e-9, 6) AS anomaly_score FROM n", "n"),
     "label_by_contamination": _sql("SELECT consumer_id, is_anomaly FROM res", "res"),
     "outlier_label": _sql("SELECT consumer_id, CASE WHEN is_anomaly THEN -1 ELSE 1 END AS label FROM res", "res"),
     "label_by_threshold": _sql(f"SELECT consumer_id, anomaly_score >= {THRESHOLD} AS is_anomaly FROM n", "n"),
     "label_errors": _sql(
-        """SELECT consumer_id, round(ae_anomaly_score, 6) AS ae_anomaly_score,
+        """SELECT consumer_id, round(ae_anomaly_score + 1e-9, 6) AS ae_anomaly_score,
         std_consumption >= (SELECT quantile_cont(std_consumption, 0.95) FROM sc) AS ae_is_anomaly FROM n""", "n"),
     "blend_scores": _sql(
-        f"""SELECT consumer_id, round(anomaly_score, 6) AS anomaly_score, round(ae_anomaly_score, 6) AS ae_anomaly_score,
-        round(anomaly_score * 0.6 + ae_anomaly_score * 0.4, 6) AS ensemble_score,
+        f"""SELECT consumer_id, round(anomaly_score + 1e-9, 6) AS anomaly_score, round(ae_anomaly_score + 1e-9, 6) AS ae_anomaly_score,
+        round(anomaly_score * 0.6 + ae_anomaly_score * 0.4 + 1e-9, 6) AS ensemble_score,
         {_status('(anomaly_score * 0.6 + ae_anomaly_score * 0.4)')} AS status FROM n""", "n"),
-    "status_from_score": _sql("SELECT consumer_id, round(anomaly_score, 6) AS anomaly_score, status FROM res", "res"),
+    "status_from_score": _sql("SELECT consumer_id, round(anomaly_score + 1e-9, 6) AS anomaly_score, status FROM res", "res"),
     "status_color": _sql(
         """SELECT status, CASE status WHEN 'High Risk' THEN '#DC2626' WHEN 'Suspicious' THEN '#F59E0B'
         WHEN 'Review Needed' THEN '#3B82F6' WHEN 'Normal' THEN '#10B981' ELSE '#6B7280' END AS color,
@@ -391,6 +391,6 @@ ORACLE = {
         CAST(created_at AS VARCHAR) AS created_at FROM runs ORDER BY runs.created_at DESC, analysis_id LIMIT 1""", "runs"),
     "stored_consumers_page": _sql(
         f"""SELECT 'run-1' AS analysis_ref, consumer_id, region, {_r('avg_consumption', 'anomaly_score')}, status,
-        is_anomaly, round(cv_consumption, 6) AS cv_consumption FROM res WHERE status = 'Normal'
+        is_anomaly, round(cv_consumption + 1e-9, 6) AS cv_consumption FROM res WHERE status = 'Normal'
         ORDER BY res.anomaly_score DESC, consumer_id LIMIT {PAGE_ROWS} OFFSET {(PAGE - 1) * PAGE_ROWS}""", "res"),
 }

@@ -40,9 +40,13 @@ PAGE, PAGE_ROWS = 2, 20
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles rounded, since two engines add them up in different orders; times as text."""
+    """Doubles rounded, since two engines add them up in different orders; times as text.
+
+    A mean over 32 readings can end exactly between two rounded values, where the order of the
+    sum would decide; both engines therefore add the same billionth first.
+    """
     return df.select(*[
-        F.round(f.name, places).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+        F.round(F.col(f.name) + 1e-9, places).alias(f.name) if isinstance(f.dataType, T.DoubleType)
         else F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType))
         else F.col(f.name)
         for f in df.schema
