@@ -309,6 +309,10 @@ ORACLE = {
         """SELECT consumer_id, CAST(ts AS VARCHAR) AS timestamp, round(consumption + 1e-9, 6) AS consumption FROM r
         WHERE consumer_id = (SELECT consumer_id FROM r GROUP BY consumer_id ORDER BY count(*) DESC, consumer_id LIMIT 1)
         ORDER BY ts, consumption""", "r"),
+    "stored_readings": _sql(
+        """SELECT consumer_id, CAST(ts AS VARCHAR) AS timestamp, round(consumption + 1e-9, 6) AS consumption FROM cz
+        WHERE consumer_id = (SELECT consumer_id FROM cz GROUP BY consumer_id ORDER BY count(*) DESC, consumer_id LIMIT 1)
+        """, "cz"),
     "consumer_detail": _sql(
         f"SELECT {DETAIL} FROM res JOIN {SHOWN_COUNTS} USING (consumer_id)", "res", "fr"),
     "consumer_detail_records": _sql(

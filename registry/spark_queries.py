@@ -32,6 +32,7 @@ from wattsift.sources.runs import (
     read_consumers, run_by_id, save_consumers, stored_consumers_page, user_runs,
 )
 from wattsift.sources.staging import stage, staging_folder
+from wattsift.sources.stored import read_readings, save_readings
 
 CONTAMINATION = 0.05
 THRESHOLD = 0.6
@@ -276,6 +277,15 @@ def q_consumer_timeseries(spark, sf):
     return rounded(D.consumer_timeseries(base, most["consumer_id"]))
 
 
+def q_stored_readings(spark, sf):
+    """The series of the consumer with most clean readings, out of the stored readings."""
+    path = scratch(spark, "readings")
+    save_readings(C.clean_readings(raw(spark, sf)), path)
+    stored = read_readings(spark, path)
+    most = stored.groupBy("consumer_id").count().orderBy(F.desc("count"), "consumer_id").first()
+    return rounded(D.consumer_timeseries(stored, most["consumer_id"]).select("consumer_id", "timestamp", "consumption"))
+
+
 def q_consumer_detail(spark, sf):
     return D.consumer_detail(readings(spark, sf), results(spark, sf)).drop("timeseries", "anomalous_records")
 

@@ -3,10 +3,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from wattsift.operators.readings import consumer_timeseries
 from wattsift.operators.results import summarize
 from wattsift.sources import files, runs
 from wattsift.sources.layouts import standard_names
 from wattsift.sources.staging import stage, staging_folder
+from wattsift.sources.stored import read_readings, save_readings
 
 
 def write(path, text):
@@ -98,3 +100,19 @@ def test_stored_consumers(spark, folder, results):
     assert rows[0].features == {"cv_consumption": 31.5} and rows[0].analysis_ref == "0012"
     assert "PartitionFilters: [isnotnull(analysis_ref" in page._jdf.queryExecution().executedPlan().toString()
     assert runs.page_count(15, 4) == 4
+
+
+def test_stored_readings_are_clustered_by_consumer(spark, folder):
+    rows = spark.range(0, 20_000, 1, 4).selectExpr(
+        "IF(id % 2 = 0, 'hot', CONCAT('c', id % 500)) AS consumer_id",
+        "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, id) AS timestamp", "CAST(id AS DOUBLE) AS consumption")
+    path = f"{folder}/readings"
+    save_readings(rows, path, files=8)
+    stored = read_readings(spark, path)
+    assert sorted(stored.collect()) == sorted(rows.collect())
+    places = stored.select("consumer_id", F.input_file_name().alias("file")).distinct()
+    files = places.groupBy("consumer_id").agg(F.count(F.lit(1)).alias("files"))
+    assert files.filter("consumer_id = 'hot'").first().files >= 3  # half of the rows, several files
+    assert files.filter("files > 2 AND consumer_id <> 'hot'").count() == 0
+    plan = consumer_timeseries(stored, "c7")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(consumer_id,c7)" in plan

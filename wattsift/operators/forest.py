@@ -23,7 +23,7 @@ TREE_SCHEMA = (
 )
 MAX_SAMPLE = 256
 # All nodes of a forest travel to every executor, so their number is checked before growing.
-MAX_NODES = 5_000_000
+MAX_NODES = 1_000_000
 # Rows whose paths are followed at once; bounds the worker's memory, not the result.
 ROWS_AT_ONCE = 4096
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Up to this many rows the built-in percentile, which keeps all distinct values in one task,
 # is the cheaper way.
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 
 
