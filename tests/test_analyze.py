@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wattsift import analyze
 from wattsift.fixed_values import SAY_LOW
 from wattsift.operators.cleaning import clean_report
+from wattsift.sources import runs
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -47,6 +48,15 @@ def test_summary_and_report(raw, plain):
     assert plain.cleaning_report.first() == clean_report(raw).first()
 
 
+def test_recorded_run(spark, plain, folder):
+    runs.record_run(plain, "u1", "readings.csv", folder)
+    row = runs.user_runs(spark.read.parquet(f"{folder}/analyses"), "u1").first()
+    assert (row.analysis_id, row.filename, row.anomalies_detected) == (plain.analysis_id, "readings.csv", 3)
+    page, total = runs.stored_consumers_page(runs.read_consumers(spark, f"{folder}/consumers"), plain.analysis_id, limit=3)
+    top = page.collect()
+    assert total == 42 and top[0].anomaly_score == 1.0 and "cv_consumption" in top[0].features
+
+
 def test_autoencoder_changes_score_and_status_but_not_the_flag(raw, plain):
     both = analyze(raw, use_autoencoder=True, autoencoder_params={"epochs": 5}).results
     joined = both.alias("b").join(plain.results.alias("p"), "consumer_id")

@@ -42,7 +42,8 @@ def _per_consumer(
 ) -> DataFrame:
     # Two levels. The first has only fixed-width buffers, so it hash-aggregates on the map side
     # (a first-region buffer holds text and would sort all readings instead), and a consumer
-    # with a third of all readings leaves each map task as one row per region.
+    # with a third of all readings leaves each map task as one row per region. After a distinct,
+    # readings of most consumers meet only behind the shuffle, so the buffers are kept few.
     timed = "timestamp" in readings.columns
     valid = F.col(REJECT).isNull() if tagged else None
 
@@ -52,8 +53,8 @@ def _per_consumer(
     value, ts = kept(F.col("consumption")), kept(F.col("timestamp")) if timed else None
     code = F.col(region) if region else F.lit(None).cast("string")
     first_level = [
-        F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"),
-        F.var_pop(value).alias("var"), F.min(value).alias("low"), F.max(value).alias("high"),
+        F.count(value).alias("n"), F.sum(value).alias("total"), F.var_pop(value).alias("var"),
+        F.min(value).alias("low"), F.max(value).alias("high"),
     ]
     if timed:
         hour = F.hour(ts)
@@ -67,14 +68,16 @@ def _per_consumer(
         reject = F.col(REJECT)
         first_level += [
             F.sum(COPIES).alias("raw_rows"),
-            F.count(F.lit(1)).alias("distinct_rows"),
             F.count_if(reject == NO_VALUE).alias("rejected_null"),
             F.count_if(reject == NEGATIVE).alias("rejected_negative"),
             F.count_if(reject == NO_TIME).alias("rejected_timestamp"),
         ]
     by_region = readings.groupBy("consumer_id", code.alias("code")).agg(*first_level)
     zone = F.col("code") if classify is None else classify(F.col("code"))
-    by_region = by_region.withColumn("zone", zone)
+    by_region = by_region.withColumns({"zone": zone, "mean": F.try_divide("total", "n")})
+    if tagged:
+        rows = F.col("n") + F.col("rejected_null") + F.col("rejected_negative") + F.col("rejected_timestamp")
+        by_region = by_region.withColumn("distinct_rows", rows)
 
     # The region of the earliest reading; equal times go to the smaller name.
     dated = F.struct(F.col("first_ts"), F.col("zone")) if timed else F.struct(F.col("zone"))

@@ -42,6 +42,14 @@ def save_run(row: DataFrame, path: str) -> None:
     row.coalesce(1).write.mode("append").parquet(path)
 
 
+def record_run(analysis, user_id: str, filename: str, folder: str) -> None:
+    """Append a finished analysis to the history, and its consumers to the stored consumers."""
+    row = run_row(
+        analysis.summary, user_id, analysis.analysis_id, filename, analysis.contamination, analysis.used_autoencoder)
+    save_run(row, f"{folder}/analyses")
+    save_consumers(analysis.results, analysis.analysis_id, f"{folder}/consumers")
+
+
 def user_runs(runs: DataFrame, user_id: str) -> DataFrame:
     """One user's runs, newest first."""
     return runs.filter(F.col("user_id") == F.lit(str(user_id))).orderBy(F.desc("created_at"), "analysis_id")
