@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wattsift.llm.chat import chat_digests
+from wattsift.llm.decontaminate import contamination
+from wattsift.llm.html_text import main_text
 from wattsift.llm.packing import packed_pieces
 from wattsift.llm.quality import classify
+from wattsift.llm.simhash import near_duplicates
+from wattsift.llm.spotsigs import fingerprints_and_edits
 from wattsift.llm.tables import table
 from wattsift.llm.token_files import token_files
 
@@ -22,12 +26,28 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_and_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)], rows.schema)
     return chat_digests(rows.union(more))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
@@ -35,6 +55,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_decontamination": op3_decontamination,
+    "op5_spotsigs": op5_spotsigs,
     "op6_chat": op6_chat,
+    "op7_simhash": op7_simhash,
+    "op8_html": op8_html,
     "op10_token_files": op10_token_files,
 }

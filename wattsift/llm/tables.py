@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 # Rows are handled a few MB at a time inside a task, however many rows a batch has.
 PIECE_CHARS = 4_000_000
-# What `str.lower` would do beyond A-Z is not wanted anywhere here.
+# What `str.lower` would do beyond A-Z is not wanted anywhere here; this is for UTF-8 bytes.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
+ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
