@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wattsift.llm.anchors import remove_repeats
 from wattsift.llm.chat import chat_digests
 from wattsift.llm.decontaminate import contamination
 from wattsift.llm.html_text import main_text
@@ -48,6 +49,10 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
@@ -60,5 +65,6 @@ QUERIES = {
     "op6_chat": op6_chat,
     "op7_simhash": op7_simhash,
     "op8_html": op8_html,
+    "op9_anchors": op9_anchors,
     "op10_token_files": op10_token_files,
 }
