@@ -8,6 +8,7 @@ from wattsift.llm.anchors import remove_repeats
 from wattsift.llm.chat import chat_digests
 from wattsift.llm.decontaminate import contamination
 from wattsift.llm.html_text import main_text
+from wattsift.llm.ngram_model import score_texts
 from wattsift.llm.packing import packed_pieces
 from wattsift.llm.quality import classify
 from wattsift.llm.simhash import near_duplicates
@@ -31,6 +32,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_and_edits(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op4_ngram_model": op4_ngram_model,
     "op5_spotsigs": op5_spotsigs,
     "op6_chat": op6_chat,
     "op7_simhash": op7_simhash,

@@ -246,3 +246,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = placed.select("fp", "root").join(first, "root").select("fp", "component_id")
     return found.join(known, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """All columns of the document with the smallest id of each group of near-duplicates.
+
+    Rows that repeat the kept id all stay. Rows without an id stay only where their whole group has none.
+    """
+    found = near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
