@@ -5,8 +5,10 @@ import pytest
 import __spark_entry__ as entry_points
 from compare import compare
 from compare import database as open_database
+from registry.oracle import ORACLE as REGISTERED_SQL
+from registry.spark_queries import QUERIES as REGISTERED
 
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLE = REGISTERED, REGISTERED_SQL
 MEDIUM = "/root/testdata/sf0.01"
 
 
