@@ -131,6 +131,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     """All columns of the documents that share no window with the benchmark."""
     _, found = occurrences(docs, benchmark, window, gram)
     hit = found.select("doc_id", "text_hash").distinct()
-    keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = keyed["doc_id"].cast("long").eqNullSafe(hit["doc_id"]) & (keyed["text_hash"] == hit["text_hash"])
-    return keyed.join(hit, same, "left_anti").select(*docs.columns)
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = docs["doc_id"].cast("long").eqNullSafe(hit["doc_id"]) & (text_hash == hit["text_hash"])
+    return docs.join(hit, same, "left_anti")
