@@ -369,7 +369,8 @@ ORACLE = {
         f"""SELECT count(*) AS total, CAST(ceil(count(*) / {PAGE_ROWS}.0) AS BIGINT) AS total_pages
         FROM res WHERE status = 'Normal'""", "res"),
     "top_consumers": _sql(
-        f"SELECT {PAGE_COLUMNS} FROM res ORDER BY res.anomaly_score DESC, consumer_id LIMIT 20", "res"),
+        f"""SELECT row_number() OVER (ORDER BY res.anomaly_score DESC, consumer_id) AS place, {PAGE_COLUMNS}
+        FROM res ORDER BY res.anomaly_score DESC, consumer_id LIMIT 20""", "res"),
     "report_rows": _sql(f"SELECT {PAGE_COLUMNS} FROM res", "res"),
     "report_summary": _sql(
         f"""SELECT 'Total Consumers' AS metric, CAST(count(*) AS VARCHAR) AS value FROM res
@@ -398,3 +399,60 @@ ORACLE = {
         is_anomaly, round(cv_consumption + 1e-9, 6) AS cv_consumption FROM res WHERE status = 'Normal'
         ORDER BY res.anomaly_score DESC, consumer_id LIMIT {PAGE_ROWS} OFFSET {(PAGE - 1) * PAGE_ROWS}""", "res"),
 }
+
+ORACLE["deep_page"] = ORACLE["results_page"]
+CLEAN = """SELECT DISTINCT Consumer_ID AS consumer_id, CAST(date_trunc('second', ts) AS VARCHAR) AS timestamp,
+    round(value + 1e-9, 6) AS consumption, State AS state,
+    CASE State WHEN 'UP' THEN 'North India' WHEN 'KA' THEN 'South India' ELSE 'Unknown' END AS region
+    FROM (SELECT ts, value, {columns} FROM events)"""
+for _form in ("dayfirst", "monthfirst", "named", "compact"):
+    ORACLE[f"clean_readings_{_form}"] = CLEAN.format(columns="CAST(user_id AS STRING) AS Consumer_ID, "
+        "CASE user_id % 3 WHEN 0 THEN 'UP' WHEN 1 THEN 'KA' ELSE NULL END AS State")
+ALL_CONSUMERS = "(SELECT count(*) FROM cr)"
+# A quantile lies between two scores, so that as many are below it as the whole part of its rank says, and one more.
+FLAGGED = "(SELECT CAST(floor((count(*) - 1) * 0.05) AS BIGINT) + 1 FROM {source})"
+ORACLE |= {
+    "upload_preview_ordered": _sql(
+        """SELECT (SELECT count(*) FROM raw) AS rows, 'Consumer_ID,DateTime,KWH,State,Consumer_Type' AS columns, raw.* FROM raw
+        ORDER BY Consumer_ID NULLS FIRST, DateTime NULLS FIRST, KWH NULLS FIRST, State NULLS FIRST, Consumer_Type NULLS FIRST
+        LIMIT 5""", "raw"),
+    "consumer_aggregate_regions": f"""
+        SELECT CAST(user_id AS VARCHAR) AS consumer_id, round(stddev_samp(value) + 1e-9, 4) AS std_consumption,
+        count(*) AS reading_count, arg_min(CASE event_id % 3 WHEN 0 THEN 'North India' WHEN 1 THEN 'South India'
+        ELSE 'West India' END, ts) AS region FROM events GROUP BY user_id""",
+    "quantiles_counted": _sql(
+        """SELECT name, round(value + 1e-9, 6) AS value FROM (UNPIVOT p ON COLUMNS(*) INTO NAME name VALUE value)
+        WHERE name <> 'mean_avg'""", "p"),
+    "all_readings_flagged_by_consumer": _sql(
+        """SELECT consumer_id, CAST(ts AS VARCHAR) AS timestamp, round(consumption + 1e-9, 6) AS consumption,
+        anomaly_reason IS NOT NULL AS is_anomalous, anomaly_reason FROM fr
+        WHERE consumer_id = (SELECT consumer_id FROM res ORDER BY anomaly_score DESC, consumer_id LIMIT 1)""", "fr", "res"),
+    "stored_consumers_long_page": _sql(
+        f"""SELECT consumer_id, {_r('anomaly_score')}, (SELECT count(*) FROM res) AS total FROM res
+        ORDER BY res.anomaly_score DESC, consumer_id LIMIT 1000""", "res"),
+    "json_round_trip": _sql("SELECT * FROM raw", "raw"),
+    "csv_round_trip": _sql("SELECT * REPLACE (nullif(KWH, '') AS KWH) FROM raw", "raw"),
+    "labels_round_trip": _sql(
+        "SELECT consumer_id AS Consumer_ID, is_anomaly AS Is_Anomaly, status AS Anomaly_Type FROM res", "res"),
+    "runs_round_trip": _sql(
+        """SELECT 'u1' AS user_id, 'a1' AS analysis_id, 'f.csv' AS filename, count(*) AS total_consumers,
+        count(*) FILTER (is_anomaly) AS anomalies_detected, 0.05 AS contamination, count(*) AS stored,
+        count(*) FILTER (is_anomaly) AS flagged FROM res""", "res"),
+    "forest_importance_uniform": f"""SELECT unnest([{', '.join(_text(c) for c in V.MODEL_FEATURES)}]) AS feature,
+        round(1.0 / {len(V.MODEL_FEATURES)} + 1e-9, 6) AS importance""",
+    "forest_score_range": _sql("SELECT count(*) AS scores, count(*) AS in_range FROM c", "c"),
+    "forest_reload_labels": _sql(
+        f"""SELECT count(*) AS consumers, count(*) AS equal_scores, count(*) AS equal_labels,
+        {FLAGGED.format(source='c')} AS flagged FROM c""", "c"),
+    "autoencoder_parts": _sql(
+        f"SELECT count(*) AS errors, count(*) AS valid, {FLAGGED.format(source='c')} AS flagged FROM c", "c"),
+    "autoencoder_reload_equal": _sql("SELECT count(*) AS consumers, count(*) AS equal_errors FROM c", "c"),
+    "autoencoder_codes": _sql("SELECT consumer_id, 8 AS length, true AS valid FROM c", "c"),
+    "analyze_facts": _sql(
+        f"""SELECT {ALL_CONSUMERS} AS consumers, {ALL_CONSUMERS} AS in_range, {FLAGGED.format(source='cr')} AS flagged,
+        {ALL_CONSUMERS} AS right_status, {ALL_CONSUMERS} AS explained, 0.0 AS low, 1.0 AS high, true AS flags_are_the_top""", "cr"),
+    "analyze_with_autoencoder_facts": _sql(
+        f"""SELECT {ALL_CONSUMERS} AS consumers, {ALL_CONSUMERS} AS in_range, {FLAGGED.format(source='cr')} AS flagged,
+        {ALL_CONSUMERS} AS right_status, {ALL_CONSUMERS} AS explained, {ALL_CONSUMERS} AS blended,
+        {ALL_CONSUMERS} AS same_flags""", "cr"),
+}

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from registry.fixtures import raw, readings, runs
+from registry.fixtures import moving, raw, readings, runs, timed
 from wattsift.fixed_values import ACORN_LAYOUT, STATE_LAYOUT
 from wattsift.functions.calendar import (
     day_of_week, display_time, is_night_hour, is_peak_hour, is_weekend, iso_time, time_of_day,
@@ -25,11 +26,14 @@ from wattsift.operators import results as G
 from wattsift.operators import scoring as S
 from wattsift.operators.scaling import fit_scaler
 from wattsift.plans.analyze import analyze
-from wattsift.sources.files import preview_rows
+from wattsift.sources.files import (
+    preview, preview_rows, read_json, read_readings_csv, write_csv, write_json, write_labels_csv,
+)
 from wattsift.sources.layouts import standardize_columns
-from wattsift.sources.reports import summary_table
+from wattsift.operators.quantiles import exact_quantiles
+from wattsift.sources.reports import report_tables, summary_table
 from wattsift.sources.runs import (
-    read_consumers, run_by_id, save_consumers, stored_consumers_page, user_runs,
+    read_consumers, run_by_id, run_row, save_consumers, save_run, stored_consumers_page, user_runs,
 )
 from wattsift.sources.staging import stage, staging_folder
 from wattsift.sources.stored import read_readings, save_readings
@@ -101,6 +105,13 @@ def q_upload_preview(spark, sf):
     return preview_rows(raw(spark, sf))
 
 
+def q_upload_preview_ordered(spark, sf):
+    """Rows in all, column names, and the first five rows in order of their columns."""
+    whole = preview(raw(spark, sf))
+    return preview_rows(raw(spark, sf), ordered=True).select(
+        F.lit(whole["rows"]).alias("rows"), F.lit(",".join(whole["columns"])).alias("columns"), "*")
+
+
 def q_dedup_rows(spark, sf):
     return C.distinct_readings(raw(spark, sf)).withColumnRenamed(C.COPIES, "copies")
 
@@ -109,6 +120,26 @@ def q_clean_readings(spark, sf):
     return rounded(C.clean_readings(raw(spark, sf)))
 
 
+def _cleaned(spark, sf, form):
+    return rounded(C.clean_readings(timed(spark, sf, form)).drop("_data_format"))
+
+
+def q_clean_readings_dayfirst(spark, sf):
+    return _cleaned(spark, sf, "dayfirst")
+
+
+def q_clean_readings_monthfirst(spark, sf):
+    return _cleaned(spark, sf, "monthfirst")
+
+
+def q_clean_readings_named(spark, sf):
+    return _cleaned(spark, sf, "named")
+
+
+def q_clean_readings_compact(spark, sf):
+    return _cleaned(spark, sf, "compact")
+
+
 def q_clean_report(spark, sf):
     return rounded(C.clean_report(raw(spark, sf)))
 
@@ -168,6 +199,12 @@ def q_consumer_aggregate(spark, sf):
     return rounded(consumers(spark, sf))
 
 
+def q_consumer_aggregate_regions(spark, sf):
+    """Deviations of consumers whose state changes, at a level where differences of squares fail."""
+    found = U.aggregate_consumers(C.add_region(moving(spark, sf), STATE_LAYOUT))
+    return rounded(found.select("consumer_id", "std_consumption", "reading_count", "region"), 4)
+
+
 def q_dataset_statistics(spark, sf):
     return rounded(U.dataset_statistics(consumers(spark, sf)))
 
@@ -185,7 +222,8 @@ def q_feature_summary(spark, sf):
 
 
 def q_basic_statistics(spark, sf):
-    return rounded(U.basic_statistics(stage(readings(spark, sf).select("consumption"), "values"), "consumption"))
+    # A scan of one column, which Parquet prunes: nothing is gained by a copy.
+    return rounded(U.basic_statistics(readings(spark, sf).select("consumption"), "consumption"))
 
 
 # --- features -------------------------------------------------------------------------------
@@ -207,6 +245,15 @@ def q_population_thresholds(spark, sf):
         [(k, v) for k, v in sorted(found.__dict__.items())], "name string, value double"))
 
 
+def q_quantiles_counted(spark, sf):
+    """The population's quantiles by counting, as beyond the size of the built-in percentile."""
+    wanted = {
+        "q10_avg": ("avg_consumption", 0.1), "q70_avg": ("avg_consumption", 0.7), "q90_avg": ("avg_consumption", 0.9),
+        "q90_cv": ("cv_consumption", 0.9), "q95_night": ("night_day_ratio", 0.95)}
+    found = exact_quantiles(staged_features(spark, sf), wanted, small_rows=0)
+    return rounded(spark.createDataFrame(sorted(found.items()), "name string, value double"))
+
+
 def q_anomaly_flags(spark, sf):
     return flagged(spark, sf).select(
         "consumer_id", "low_consumption_flag", "high_variability_flag", "unusual_night_flag")
@@ -241,7 +288,9 @@ def q_profiles(spark, sf):
 
 
 def q_profiles_with_type(spark, sf):
-    kinds = readings(spark, sf).groupBy("consumer_id").agg(F.max("consumer_type").alias("consumer_type"))
+    # A text buffer would sort all readings; the distinct pairs are few.
+    pairs = readings(spark, sf).select("consumer_id", "consumer_type").distinct()
+    kinds = pairs.groupBy("consumer_id").agg(F.max("consumer_type").alias("consumer_type"))
     df = staged_features(spark, sf)
     return E.add_profile(df.join(kinds, "consumer_id"), E.fit_population(df)).select(
         "consumer_id", "consumer_type", "consumption_profile")
@@ -271,6 +320,14 @@ def q_first_n_readings(spark, sf):
     return rounded(D.first_readings(base, FIRST_READINGS))
 
 
+def q_all_readings_flagged_by_consumer(spark, sf):
+    """All readings, without a limit, of the consumer with the highest score."""
+    found = results(spark, sf)
+    top = found.orderBy(F.desc("anomaly_score"), "consumer_id").first()["consumer_id"]
+    shown = D.drill_down(readings(spark, sf).select("consumer_id", "timestamp", "consumption"), found, top, n=None)
+    return rounded(shown)
+
+
 def q_consumer_timeseries(spark, sf):
     base = readings(spark, sf).select("consumer_id", "timestamp", "consumption")
     most = base.groupBy("consumer_id").count().orderBy(F.desc("count"), "consumer_id").first()
@@ -400,6 +457,11 @@ def q_results_page(spark, sf):
     return G.results_page(results(spark, sf), PAGE, PAGE_ROWS)
 
 
+def q_deep_page(spark, sf):
+    """The same page by the way of deep pages."""
+    return G.results_page(results(spark, sf), PAGE, PAGE_ROWS, deep_rows=0)
+
+
 def q_results_filtered(spark, sf):
     return G.results_page(
         results(spark, sf), 1, 50, status="Normal", region="Zone F", sort_by="avg_consumption", descending=False)
@@ -409,12 +471,21 @@ def q_page_totals(spark, sf):
     return G.page_totals(results(spark, sf), PAGE_ROWS, status="Normal")
 
 
+def _report(spark, sf):
+    found = results(spark, sf)
+    return report_tables(found, G.summarize(found))
+
+
 def q_top_consumers(spark, sf):
-    return G.report_rows(G.top_by_score(results(spark, sf)))
+    """The report's table with the place of each row, so that its order is compared too."""
+    rows = _report(spark, sf)["top_consumers"].collect()
+    return spark.createDataFrame(
+        [(i + 1, *r) for i, r in enumerate(rows)],
+        "place int, consumer_id string, region string, avg_consumption double, anomaly_score double, status string")
 
 
 def q_report_rows(spark, sf):
-    return G.by_score(G.report_rows(results(spark, sf)))
+    return _report(spark, sf)["flagged_consumers"]
 
 
 def q_report_summary(spark, sf):
@@ -438,6 +509,48 @@ def q_run_by_id(spark, sf):
     return rounded(run_by_id(df, newest["analysis_id"], newest["user_id"]))
 
 
+def q_stored_consumers_long_page(spark, sf):
+    """A stored page of more than 500 rows."""
+    path = scratch(spark, "stored")
+    save_consumers(results(spark, sf), "run-1", path)
+    page, total = stored_consumers_page(read_consumers(spark, path), "run-1", 1, 1000)
+    return rounded(page.select("consumer_id", "anomaly_score").withColumn("total", F.lit(total)))
+
+
+def q_json_round_trip(spark, sf):
+    df, path = raw(spark, sf), scratch(spark, "json")
+    write_json(df, path)
+    return read_json(spark, path, df.schema)
+
+
+def q_csv_round_trip(spark, sf):
+    """Written and read again as text; an empty text and a missing one are alike in a CSV file."""
+    path = scratch(spark, "csv")
+    write_csv(raw(spark, sf), path)
+    return read_readings_csv(spark, path)
+
+
+def q_labels_round_trip(spark, sf):
+    path = scratch(spark, "labels")
+    found = results(spark, sf)
+    write_labels_csv(found.select(
+        F.col("consumer_id").alias("Consumer_ID"), F.col("is_anomaly").alias("Is_Anomaly"), F.col("status").alias("Anomaly_Type")), path)
+    return spark.read.option("header", True).csv(path).withColumn("Is_Anomaly", F.col("Is_Anomaly").cast("boolean"))
+
+
+def q_runs_round_trip(spark, sf):
+    """A run's row and its consumers, stored and read back by id."""
+    path = scratch(spark, "runs")
+    found = results(spark, sf)
+    save_run(run_row(G.summarize(found), "u1", "a1", "f.csv", CONTAMINATION, False), f"{path}/analyses")
+    save_consumers(found, "a1", f"{path}/consumers")
+    row = run_by_id(spark.read.parquet(f"{path}/analyses"), "a1", "u1")
+    stored = read_consumers(spark, f"{path}/consumers").filter("analysis_ref = 'a1'").groupBy("analysis_ref").agg(
+        F.count(F.lit(1)).alias("stored"), F.count_if("is_anomaly").alias("flagged"))
+    return rounded(row.join(stored, row["analysis_id"] == stored["analysis_ref"]).select(
+        "user_id", "analysis_id", "filename", "total_consumers", "anomalies_detected", "contamination", "stored", "flagged"))
+
+
 def q_stored_consumers_page(spark, sf):
     path = scratch(spark, "stored")
     save_consumers(results(spark, sf), "run-1", path)
@@ -475,12 +588,65 @@ def q_forest_importance(spark, sf):
         forest.importance(spark, "splits").withColumnRenamed("importance", "split_share"), "feature")
 
 
-def _autoencoder(spark, sf):
+def q_forest_importance_uniform(spark, sf):
+    return rounded(M.fit_forest(*_model_inputs(spark, sf)).importance(spark))
+
+
+def q_forest_score_range(spark, sf):
+    """How many raw scores there are, and how many lie between -1 and 0."""
+    df, names, inputs = _model_inputs(spark, sf)
+    return M.fit_forest(df, names, inputs).score(df, inputs).agg(
+        F.count("raw_score").alias("scores"), F.count_if(F.col("raw_score").between(-1, 0)).alias("in_range"))
+
+
+def q_forest_reload_labels(spark, sf):
+    """A reloaded forest scores and labels as the one that was saved, with its own scaler and offset."""
     df, names, inputs = _model_inputs(spark, sf)
-    fitted = A.fit_autoencoder(df, inputs, A.AutoencoderParams(names), fit_scaler(df, names, inputs))
+    scaler = fit_scaler(df, names, inputs)
+    forest = M.fit_forest(df, names, scaler.columns(inputs))
+    scores = forest.score(df, scaler.columns(inputs))
+    forest = replace(forest, scaler=scaler, contamination=CONTAMINATION, offset=S.forest_threshold(scores, "raw_score", CONTAMINATION))
+    path = scratch(spark, "forest")
+    forest.save(spark, path)
+    before = forest.label(df, inputs).select("consumer_id", F.col("raw_score").alias("was"), F.col("label").alias("said"))
+    after = M.load_forest(spark, path).label(df, inputs)
+    return after.join(before, "consumer_id").agg(
+        F.count(F.lit(1)).alias("consumers"), F.count_if(F.col("raw_score") == F.col("was")).alias("equal_scores"),
+        F.count_if(F.col("label") == F.col("said")).alias("equal_labels"), F.count_if(F.col("label") == -1).alias("flagged"))
+
+
+def _autoencoder(spark, sf, **params):
+    df, names, inputs = _model_inputs(spark, sf)
+    fitted = A.fit_autoencoder(df, inputs, A.AutoencoderParams(names, **params), fit_scaler(df, names, inputs))
     return df, inputs, fitted
 
 
+def q_autoencoder_parts(spark, sf):
+    """Trained in parts of 40 rows: every consumer has an error that is not negative, 5 % are at the threshold or above."""
+    df, inputs, fitted = _autoencoder(spark, sf, part_rows=40, epochs=5)
+    errors = stage(fitted.error(df, inputs).select("consumer_id", "ae_error"), "errors")
+    return errors.agg(
+        F.count("ae_error").alias("errors"), F.count_if(F.col("ae_error") >= 0).alias("valid"),
+        F.count_if(F.col("ae_error") >= F.lit(fitted.threshold)).alias("flagged"))
+
+
+def q_autoencoder_reload_equal(spark, sf):
+    """Consumers, and those whose error is the same after saving and reloading."""
+    df, inputs, fitted = _autoencoder(spark, sf, epochs=5)
+    path = scratch(spark, "autoencoder")
+    fitted.save(spark, path)
+    before = fitted.error(df, inputs, "was").select("consumer_id", "was")
+    return A.load_autoencoder(spark, path).error(df, inputs).join(before, "consumer_id").agg(
+        F.count(F.lit(1)).alias("consumers"), F.count_if(F.col("ae_error") == F.col("was")).alias("equal_errors"))
+
+
+def q_autoencoder_codes(spark, sf):
+    """Each consumer's code: its length, and whether all of it is finite and not negative."""
+    df, inputs, fitted = _autoencoder(spark, sf, epochs=5)
+    fine = F.forall("encoding", lambda x: (x >= 0) & (x < float("inf")))
+    return fitted.encode(df, inputs).select("consumer_id", F.size("encoding").alias("length"), fine.alias("valid"))
+
+
 def q_autoencoder_scores(spark, sf):
     df, inputs, fitted = _autoencoder(spark, sf)
     scores = stage(fitted.error(df, inputs).select("consumer_id", "ae_error"), "errors")
@@ -507,6 +673,37 @@ def q_analyze_with_autoencoder(spark, sf):
     return analyze(raw(spark, sf), use_autoencoder=True).results
 
 
+def _analysis_facts(found):
+    """What has to hold of any analysis, whatever the scores are."""
+    score = F.col("anomaly_score")
+    return found.agg(
+        F.count(F.lit(1)).alias("consumers"), F.count_if(score.between(0, 1)).alias("in_range"),
+        F.count_if("is_anomaly").alias("flagged"), F.count_if(F.col("status") == status_of(score)).alias("right_status"),
+        F.count_if(F.length("ai_explanation") > 0).alias("explained"))
+
+
+def q_analyze_facts(spark, sf):
+    found = stage(analyze(raw(spark, sf)).results, "results")
+    ends = found.agg(F.min("anomaly_score").alias("low"), F.max("anomaly_score").alias("high"))
+    worst = found.filter("is_anomaly").agg(F.min("anomaly_score")).first()[0]
+    rest = found.filter("NOT is_anomaly").agg(F.max("anomaly_score")).first()[0]
+    low, high = ends.first()
+    return _analysis_facts(found).withColumns({
+        "low": F.lit(low), "high": F.lit(high), "flags_are_the_top": F.lit(worst > rest)})
+
+
+def q_analyze_with_autoencoder_facts(spark, sf):
+    """The blend is that of both scores, and the flags are those without an autoencoder."""
+    both = stage(analyze(raw(spark, sf), use_autoencoder=True, autoencoder_params={"epochs": 5}).results, "results")
+    alone = stage(analyze(raw(spark, sf)).results, "results").select(
+        "consumer_id", F.col("anomaly_score").alias("forest_score"), F.col("is_anomaly").alias("was_flagged"))
+    mixed = F.col("forest_score") * 0.6 + F.col("ae_anomaly_score") * 0.4
+    joined = both.join(alone, "consumer_id").agg(
+        F.count_if(F.abs(F.col("anomaly_score") - mixed) < 1e-9).alias("blended"),
+        F.count_if(F.col("is_anomaly") == F.col("was_flagged")).alias("same_flags")).first()
+    return _analysis_facts(both).withColumns({k: F.lit(v) for k, v in joined.asDict().items()})
+
+
 def q_analyzed_consumers(spark, sf):
     """What a whole analysis says of every consumer apart from the scores."""
     found = analyze(raw(spark, sf)).results

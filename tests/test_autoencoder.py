@@ -101,7 +101,7 @@ def test_a_last_batch_of_one_row_joins_the_one_before():
     import pandas as pd
 
     part = pd.DataFrame({"part": [0] * 9, "key": list("abcdefghi"), "x0": np.arange(9.0)})
-    after = A._trainer(params, A.first_state(params), 0, 1)(part)
+    after = A._trainer(params, A.first_state(params), 0, 2)(part)
     assert after["state"][0][-1] == 2.0  # two steps, of 4 and 5 rows
 
 

@@ -8,7 +8,7 @@ from wattsift import fixed_values as V
 from wattsift.functions import calendar as K
 from wattsift.functions import labels as L
 from wattsift.functions import zones as Z
-from wattsift.functions.parsing import blank_to_null, finite, read_number, read_timestamp
+from wattsift.functions.parsing import blank_to_null, day_comes_first, finite, read_number, read_timestamp
 
 INF = float("inf")
 
@@ -26,13 +26,33 @@ def test_missing_markers(spark):
     assert kept == [None] * (len(V.MISSING_TEXT) + 1) + ["Null", "nAn", "0"]
 
 
-def test_timestamps_in_mixed_formats(values):
+def test_timestamps_in_known_formats(values):
     rows = [
-        "2024-01-13 10:30:00", "2024-01-13T10:30:00", "2024-01-13 10:30", "01/13/2024 10:30", "13/01/2024 10:30",
-        "13-01-2024 10:30", "2024/01/13 10:30:00", " 2024-01-13 10:30:00.000 ", "bad", "2024-02-30", "", None]
-    want = dt.datetime(2024, 1, 13, 10, 30)
-    assert values(rows, "string", lambda c: read_timestamp(c, T.StringType())) == [want] * 8 + [None] * 4
-    assert values(["02/03/2024"], "string", lambda c: read_timestamp(c, T.StringType())) == [dt.datetime(2024, 2, 3)]
+        "2024-01-13 10:30:00", "2024-01-13T10:30:00", "2024-01-13 10:30", "2024/01/13 10:30:00", " 2024-01-13 10:30:00.000 ",
+        "13-Jan-2024 10:30", "13 January 2024 10:30 am", "Jan 13, 2024 10:30:00 AM", "2024-01-13 10:30 a.m.", "20240113 1030",
+        "20240113103000", "20240113T103000"]
+    want, none = dt.datetime(2024, 1, 13, 10, 30), ["bad", "2024-02-30", "", "13-Foo-2024", "2024-01-13 13:30 PM", "99999999", None]
+    for day_first in (False, True):
+        read = lambda c: read_timestamp(c, T.StringType(), day_first)  # noqa: E731, B023
+        assert values([*rows, *none], "string", read) == [want] * len(rows) + [None] * len(none)
+    half = ["2024-01-13 12:05 AM", "2024-01-13 12:05 PM", "2024-01-13 1:05:07 pm", "20240113"]
+    assert values(half, "string", lambda c: read_timestamp(c, T.StringType())) == [
+        dt.datetime(2024, 1, 13, 0, 5), dt.datetime(2024, 1, 13, 12, 5), dt.datetime(2024, 1, 13, 13, 5, 7), dt.datetime(2024, 1, 13)]
+
+
+def test_a_column_has_one_order_of_day_and_month(values):
+    rows = ["05/10/2024", "13/10/2024", "10-13-2024 1:30 PM", "5.10.2024 01:30"]
+    month = values(rows, "string", lambda c: read_timestamp(c, T.StringType()))
+    assert month == [dt.datetime(2024, 5, 10), None, dt.datetime(2024, 10, 13, 13, 30), dt.datetime(2024, 5, 10, 1, 30)]
+    day = values(rows, "string", lambda c: read_timestamp(c, T.StringType(), True))
+    assert day == [dt.datetime(2024, 10, 5), dt.datetime(2024, 10, 13), None, dt.datetime(2024, 10, 5, 1, 30)]
+
+
+def test_the_column_shows_its_order(spark):
+    def found(*rows):
+        return spark.createDataFrame([(r,) for r in rows], "t string").agg(day_comes_first(F.col("t"))).first()[0]
+
+    assert found("05/10/2024", " 13/10/2024", None) and not found("05/10/2024", "10/13/2024", "2024-13-01") and not found()
 
 
 def test_timestamps_do_not_depend_on_the_session_zone(spark, values):

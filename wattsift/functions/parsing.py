@@ -16,8 +16,15 @@ NOT_A_DECIMAL = r"(?i)[0-9.][df]\s*$|x|nan"
 # Days to either side of 1970 that nanosecond timestamps can hold; other times count as unreadable.
 LAST_DAY = 106_751
 
-SLASHED = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})(.*)$"
-YEAR_FIRST = r"^(\d{4})/(\d{1,2})/(\d{1,2})(.*)$"
+# Day, month and year in either order; year first; year, month and day without separators; and with the month's name.
+SLASHED = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(.*)$"
+YEAR_FIRST = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(.*)$"
+COMPACT = r"^(\d{4})(\d{2})(\d{2})((?:[ T]?\d{4}(?:\d{2})?)?)$"
+SECONDS, MINUTES = r"^[ T]?(\d{2})(\d{2})(\d{2})$", r"^[ T]?(\d{2})(\d{2})$"
+DAY_NAME = r"^(\d{1,2})[ -]([A-Za-z]{3,9})[.,]?[ -](\d{4})(.*)$"
+NAME_DAY = r"^([A-Za-z]{3,9})[.]? (\d{1,2}),? (\d{4})(.*)$"
+TWELVE_HOURS = r"^(.*?)[ T]+(\d{1,2})(:\d{2}(?::\d{2}(?:[.]\d+)?)?)\s*([AaPp])[.]?[Mm][.]?$"
+MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 
 
 def strip(text: Column) -> Column:
@@ -62,26 +69,61 @@ def read_number(column: Column, kind: T.DataType) -> Column:
     return F.when(~text.rlike(NOT_A_DECIMAL), text.try_cast("double"))
 
 
-def read_timestamp(column: Column, kind: T.DataType) -> Column:
+def day_comes_first(text: Column) -> Column:
+    """Aggregate: whether dates like 13/10/2024 occur, which settles the order for a whole column."""
+    first = F.regexp_extract(strip(text), SLASHED, 1)
+    return F.coalesce(F.bool_or(F.when(first != "", first.cast("int") > 12)), F.lit(False))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _month(name: Column) -> Column:
+    """Number of a month by the first three letters of its name, else a text that is no number."""
+    at = F.position(F.upper(F.substring(name, 1, 3)), F.lit(MONTHS))
+    return F.when(at % 3 == 1, F.lpad(((at + 2) / 3).cast("int").cast("string"), 2, "0")).otherwise("x")
+
+
+def _iso(text: Column, day_first: bool) -> Column:
+    """The date part of a known form as ISO, the rest as it is."""
+
+    def written(pattern: str, *order: int, month: bool = False) -> Column:
+        year, middle, day, rest = (F.regexp_extract(text, pattern, i) for i in order)
+        return F.concat(year, F.lit("-"), _month(middle) if month else middle, F.lit("-"), day, rest)
+
+    clock = F.regexp_replace(F.regexp_extract(text, COMPACT, 4), SECONDS, " $1:$2:$3")
+    clock = F.regexp_replace(clock, MINUTES, " $1:$2")
+    return (
+        F.when(text.rlike(SLASHED), written(SLASHED, 3, *((2, 1) if day_first else (1, 2)), 4))
+        .when(text.rlike(YEAR_FIRST), written(YEAR_FIRST, 1, 2, 3, 4))
+        .when(text.rlike(COMPACT), F.concat(F.regexp_replace(text, COMPACT, "$1-$2-$3"), clock))
+        .when(text.rlike(DAY_NAME), written(DAY_NAME, 3, 2, 1, 4, month=True))
+        .when(text.rlike(NAME_DAY), written(NAME_DAY, 3, 1, 2, 4, month=True))
+        .otherwise(text))
+
+
+def _twenty_four(text: Column) -> Column:
+    """1:30 PM as 13:30."""
+    date, hour, rest, half = (F.regexp_extract(text, TWELVE_HOURS, i) for i in (1, 2, 3, 4))
+    shown = hour.cast("int") % 12 + F.when(F.upper(half) == "P", 12).otherwise(0)
+    clock = F.concat(date, F.lit(" "), F.lpad(shown.cast("string"), 2, "0"), rest)
+    return F.when(~text.rlike(TWELVE_HOURS), text).when(hour.cast("int").between(1, 12), clock)
+
+
+def read_timestamp(column: Column, kind: T.DataType, day_first: bool = False) -> Column:
     """Wall-clock time without zone; NULL where the text is no time.
 
-    ISO text is cast as it is. Month-first and day-first text is brought to ISO and cast,
-    month first where both would do. No format depends on the session time zone.
+    ISO text is cast as it is; other forms are brought to ISO and cast. All of a column has one
+    order of day and month, ``day_first``; a date that does not fit it is not a time. No format
+    depends on the session time zone.
     """
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         return column.cast("timestamp_ntz")
     text = column.cast("string")
-
-    def rearranged(pattern: str, order: str) -> Column:
-        # Text that does not match stays as it is, and has already failed as ISO.
-        return F.regexp_replace(strip(text), pattern, order).try_cast("timestamp_ntz")
-
-    return F.coalesce(
-        text.try_cast("timestamp_ntz"),
-        rearranged(SLASHED, "$3-$1-$2$4"),
-        rearranged(SLASHED, "$3-$2-$1$4"),
-        rearranged(YEAR_FIRST, "$1-$2-$3$4"),
-    )
+    iso = _bound(strip(text), lambda t: _iso(t, day_first))
+    return F.coalesce(text.try_cast("timestamp_ntz"), _bound(iso, _twenty_four).try_cast("timestamp_ntz"))
 
 
 def is_time(ts: Column) -> Column:

@@ -4,6 +4,10 @@ Consumers are split into parts by a hash of their id. In each round every part t
 own rows from the common state, as one group of a grouped map, and the states are averaged with
 the parts' row counts as weights. A part has a bounded number of rows, and what reaches the
 driver between rounds is one state of a few thousand numbers, whatever the number of rows.
+
+There is a round per epoch, and every part makes the same number of steps in it: as many as one
+pass over all rows has, or over ``round_rows`` where there are more. So the same data in one part or in four
+are trained alike, and a part of full size sees its rows once a round.
 """
 
 from __future__ import annotations
@@ -40,6 +44,7 @@ class AutoencoderParams:
     held_out: float = 0.1
     percentile: float = 95.0
     part_rows: int = 50_000
+    round_rows: int = 50_000
     seed: int = 42
 
 
@@ -171,7 +176,7 @@ def first_state(params: AutoencoderParams) -> np.ndarray:
     return np.concatenate([net.trained, net.moving, np.zeros(2 * len(net.trained) + 1)])
 
 
-def _trainer(params: AutoencoderParams, state: np.ndarray, turn: int, epochs: int):
+def _trainer(params: AutoencoderParams, state: np.ndarray, turn: int, steps: int):
     def train(part: pd.DataFrame) -> pd.DataFrame:
         number = int(part["part"].iloc[0])
         ordered = part.sort_values("key")
@@ -186,11 +191,13 @@ def _trainer(params: AutoencoderParams, state: np.ndarray, turn: int, epochs: in
         edges = list(range(0, len(x), params.batch))
         if len(edges) > 1 and len(x) - edges[-1] == 1:
             edges.pop()  # a single row has no spread to normalise by
-        for _ in range(epochs):
+        left = steps
+        while left > 0:
             mixed = x[random.permutation(len(x))]
-            for start, end in zip(edges, [*edges[1:], len(x)]):
+            for start, end in list(zip(edges, [*edges[1:], len(x)]))[:left]:
                 _, gradient = net.gradient(mixed[start:end], params.dropout, random)
                 adam.step(net.trained, gradient)
+            left -= len(edges)
         after = np.concatenate([net.trained, net.moving, adam.mean, adam.square, [adam.steps]])
         return pd.DataFrame({"part": [number], "rows": [len(x)], "state": [after]})
 
@@ -316,21 +323,19 @@ def train_autoencoder(
     training = vectors.filter(share >= int(params.held_out * 10_000)).withColumn(
         "part", F.pmod(F.xxhash64("key", F.lit(params.seed + 1)), F.lit(parts)).cast("int"))
     state = first_state(params)
-    if parts == 1:
-        # Nothing to average: all epochs run in one round.
-        return Autoencoder(params, scaler, _round(training, params, state, 0, params.epochs, parts))
+    steps = math.ceil(min(rows * (1 - params.held_out), params.round_rows) / params.batch)
     # Every round reads the same rows. What an executor loses is computed again from `df`.
     training = training.repartition(parts, "part").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for turn in range(params.epochs):
-            state = _round(training, params, state, turn, 1, parts)
+            state = _round(training, params, state, turn, steps, parts)
     finally:
         training.unpersist()
     return Autoencoder(params, scaler, state)
 
 
 def _round(
-    training: DataFrame, params: AutoencoderParams, state: np.ndarray, turn: int, epochs: int, parts: int
+    training: DataFrame, params: AutoencoderParams, state: np.ndarray, turn: int, steps: int, parts: int
 ) -> np.ndarray:
-    states = training.groupBy("part").applyInPandas(_trainer(params, state, turn, epochs), STATE_SCHEMA)
+    states = training.groupBy("part").applyInPandas(_trainer(params, state, turn, steps), STATE_SCHEMA)
     return average_states(states, parts)

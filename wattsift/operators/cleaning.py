@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattsift.functions.parsing import blank_to_null, is_time, read_number, read_timestamp
+from wattsift.functions.parsing import blank_to_null, day_comes_first, is_time, read_number, read_timestamp
 from wattsift.functions.zones import region_of, region_source
 from wattsift.sources.layouts import detect_layout, rename_standard
 
@@ -37,20 +37,31 @@ def _distinct(named: DataFrame) -> DataFrame:
     return known.groupBy(*[F.col(f"`{c}`") for c in known.columns]).agg(F.count(F.lit(1)).alias(COPIES))
 
 
-def typed_columns(df: DataFrame) -> dict[str, Column]:
+def find_day_first(named: DataFrame) -> bool:
+    """Whether the day comes first in the time column: one aggregate over that column alone, all rows."""
+    kinds = {f.name: f.dataType for f in named.schema}
+    if not isinstance(kinds.get("timestamp"), T.StringType):
+        return False
+    return named.agg(day_comes_first(F.col("timestamp"))).first()[0]
+
+
+def typed_columns(df: DataFrame, day_first: bool = False) -> dict[str, Column]:
     """Consumption as double and timestamp as time, NULL where unreadable."""
     kinds = {f.name: f.dataType for f in df.schema}
-    readers = {"consumption": read_number, "timestamp": read_timestamp}
+    readers = {"consumption": read_number, "timestamp": lambda column, kind: read_timestamp(column, kind, day_first)}
     return {name: read(F.col(name), kinds[name]) for name, read in readers.items() if name in kinds}
 
 
-def tag_readings(raw: DataFrame) -> DataFrame:
+def tag_readings(raw: DataFrame, day_first: bool | None = None) -> DataFrame:
     """Distinct typed readings, each with the reason for which cleaning drops it, or NULL.
 
-    The first reason that applies is kept: no consumption, negative consumption, no time.
+    The first reason that applies is kept: no consumption, negative consumption, no time. Dates like 5/10/2024
+    are read as ``day_first`` says, or as the column itself shows where that is None.
     """
+    if day_first is None:
+        day_first = find_day_first(rename_standard(raw))
     frame = distinct_readings(raw)
-    frame = frame.withColumns(typed_columns(frame))
+    frame = frame.withColumns(typed_columns(frame, day_first))
     reasons = []
     if "consumption" in frame.columns:
         reasons.append(F.when(F.col("consumption").isNull(), NO_VALUE).when(F.col("consumption") < 0, NEGATIVE))
@@ -63,7 +74,7 @@ def add_region(readings: DataFrame, layout: str) -> DataFrame:
     return readings.withColumn("region", region_of(region_source(readings.columns, layout), layout))
 
 
-def clean_readings(raw: DataFrame) -> DataFrame:
+def clean_readings(raw: DataFrame, day_first: bool | None = None) -> DataFrame:
     """Valid distinct readings with typed values, their region and their layout.
 
     Validity depends on one row alone, so invalid rows leave before the distinct shuffles. The
@@ -72,19 +83,21 @@ def clean_readings(raw: DataFrame) -> DataFrame:
     """
     layout = detect_layout(raw.columns)
     named = rename_standard(raw, layout)
-    typed = typed_columns(named)
+    if day_first is None:
+        day_first = find_day_first(named)
+    typed = typed_columns(named, day_first)
     if "consumption" in typed:
         named = named.filter(typed["consumption"] >= 0)
     if "timestamp" in typed:
         named = named.filter(is_time(typed["timestamp"]))
     kept = _distinct(named).drop(COPIES)
-    return add_region(kept.withColumns(typed_columns(kept)), layout).withColumn("_data_format", F.lit(layout))
+    return add_region(kept.withColumns(typed_columns(kept, day_first)), layout).withColumn("_data_format", F.lit(layout))
 
 
-def clean_report(raw: DataFrame) -> DataFrame:
+def clean_report(raw: DataFrame, day_first: bool | None = None) -> DataFrame:
     """One row: rows before, rows removed by each rule, rows left."""
     reject = F.col(REJECT)
-    counts = tag_readings(raw).agg(
+    counts = tag_readings(raw, day_first).agg(
         F.sum(COPIES).alias("raw_rows"),
         F.count(F.lit(1)).alias("distinct_rows"),
         F.count_if(reject == NO_VALUE).alias("rejected_null"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,7 +74,11 @@ def _per_consumer(
         ]
     by_region = readings.groupBy("consumer_id", code.alias("code")).agg(*first_level)
     zone = F.col("code") if classify is None else classify(F.col("code"))
-    by_region = by_region.withColumns({"zone": zone, "mean": F.try_divide("total", "n")})
+    # Deviations of the regions are merged about the consumer's mean; a difference of large squares would lose them.
+    # The window needs the same clustering as the second level, so it costs no shuffle of its own.
+    whole = Window.partitionBy("consumer_id")
+    own = F.try_divide("total", "n") - F.try_divide(F.sum("total").over(whole), F.sum("n").over(whole))
+    by_region = by_region.withColumns({"zone": zone, "away": own})
     if tagged:
         rows = F.col("n") + F.col("rejected_null") + F.col("rejected_negative") + F.col("rejected_timestamp")
         by_region = by_region.withColumn("distinct_rows", rows)
@@ -84,10 +88,7 @@ def _per_consumer(
     first_zone = F.min(F.when(F.col("zone").isNotNull() & (F.col("n") > 0), dated))
     second_level = [
         F.sum("n").alias("n"), F.sum("total").alias("total"),
-        F.count_if(F.col("n") > 0).alias("parts"),
-        F.sum(F.col("var") * F.col("n")).alias("within"),
-        F.sum(F.col("mean") * F.col("n")).alias("weighted"),
-        F.sum(F.col("mean") * F.col("mean") * F.col("n")).alias("squared"),
+        F.sum((F.col("var") + F.col("away") * F.col("away")) * F.col("n")).alias("spread"),
         F.min("low").alias("low"), F.max("high").alias("high"),
         first_zone.getField("zone").alias("region"),
     ]
@@ -98,15 +99,11 @@ def _per_consumer(
     one = by_region.groupBy("consumer_id").agg(*second_level)
 
     n = F.col("n")
-    between = F.greatest(
-        F.col("squared") - F.try_divide(F.col("weighted") * F.col("weighted"), n), F.lit(0.0)
-    )
-    spread = F.col("within") + F.when(F.col("parts") > 1, between).otherwise(0.0)
     shares = [("night_usage_ratio", "night"), ("weekend_readings_ratio", "weekend"), ("peak_usage_ratio", "peak")]
     return one.select(
         "consumer_id",
         nan_to_null(F.try_divide(F.col("total"), n)).alias("avg_consumption"),
-        nan_to_null(F.when(n > 1, F.sqrt(F.try_divide(spread, n - 1)))).alias("std_consumption"),
+        nan_to_null(F.when(n > 1, F.sqrt(F.try_divide("spread", n - 1)))).alias("std_consumption"),
         F.col("low").alias("min_consumption"),
         F.col("high").alias("max_consumption"),
         nan_to_null(F.col("total")).alias("total_consumption"),

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattsift.operators.scaling import Scaler
+
 TREE_SCHEMA = (
     "tree_id int, node_id int, left int, right int, feature int, threshold double, size long, depth int"
 )
@@ -38,8 +40,23 @@ class ForestParams:
 
 @dataclass(frozen=True)
 class Forest:
+    """Trees, and what scoring and labelling new rows needs: scaler, contamination, fitted offset."""
+
     params: ForestParams
     nodes: pd.DataFrame = field(repr=False)
+    scaler: Scaler | None = None
+    contamination: float | None = None
+    offset: float | None = None
+
+    def scaled(self, inputs: list[Column]) -> list[Column]:
+        return inputs if self.scaler is None else self.scaler.columns(inputs)
+
+    def label(self, df: DataFrame, inputs: list[Column], out: str = "label") -> DataFrame:
+        """Score unscaled inputs and label them by the offset of training: -1 below it, else 1."""
+        if self.offset is None:
+            raise ValueError("the forest has no fitted offset")
+        scored = self.score(df, self.scaled(inputs))
+        return scored.withColumn(out, F.when(F.col("raw_score") < F.lit(self.offset), -1).otherwise(1))
 
     def score(self, df: DataFrame, inputs: list[Column], out: str = "raw_score") -> DataFrame:
         """Add the raw score: between -1 and 0, lower is more anomalous."""
@@ -76,14 +93,17 @@ class Forest:
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.node_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-        kept = json.dumps(self.params.__dict__)
-        spark.createDataFrame([(kept,)], "params string").write.mode("overwrite").parquet(f"{path}/params")
+        scaler = None if self.scaler is None else json.dumps(self.scaler.__dict__)
+        row = json.dumps(self.params.__dict__), scaler, self.contamination, self.offset
+        spark.createDataFrame([row], "params string, scaler string, contamination double, offset double").write.mode(
+            "overwrite").parquet(f"{path}/params")
 
 
 def load_forest(spark: SparkSession, path: str) -> Forest:
-    params = ForestParams(**json.loads(spark.read.parquet(f"{path}/params").first()[0]))
+    row = spark.read.parquet(f"{path}/params").first()
     nodes = spark.read.parquet(f"{path}/nodes").orderBy("tree_id", "node_id").toPandas()
-    return Forest(params, nodes)
+    scaler = None if row["scaler"] is None else Scaler(**json.loads(row["scaler"]))
+    return Forest(ForestParams(**json.loads(row["params"])), nodes, scaler, row["contamination"], row["offset"])
 
 
 def fit_forest(
@@ -112,12 +132,33 @@ def draw_samples(df: DataFrame, inputs: list[Column], params: ForestParams, rows
     below 1e-25, and it would then be grown on the rows there are.
     """
     share = 1.0 if rows <= 2 * params.sample else 2.0 * params.sample / rows
-    cut = int(min(share, 1.0) * 2.0 ** 62)
     vector = [c.alias(f"x{i}") for i, c in enumerate(inputs)]
     keyed = df.select(F.col(key).alias("key"), *vector)
-    drawn = keyed.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(params.trees - 1)))).withColumn(
-        "draw", F.shiftrightunsigned(F.xxhash64("key", "tree_id", F.lit(params.seed)), 2))
-    return drawn if share >= 1.0 else drawn.filter(F.col("draw") < F.lit(cut))
+    every = F.sequence(F.lit(0), F.lit(params.trees - 1))
+    trees = every
+    if share < 1.0:
+        # How many trees a row enters is binomial; one hash decides it, and most rows leave before anything is exploded.
+        many = F.pmod(F.xxhash64("key", F.lit(params.seed + 1)), F.lit(1 << 53)).cast("double") / float(1 << 53)
+        steps = _binomial_steps(params.trees, share)
+        keyed = keyed.withColumn("_u", many).filter(F.col("_u") >= steps[0])
+        number = F.size(F.filter(F.array(*map(F.lit, steps)), lambda step: F.col("_u") >= step))
+        # Which ones: those with the smallest hashes.
+        mixed = F.array_sort(F.transform(every, lambda t: F.struct(
+            F.xxhash64("key", t, F.lit(params.seed + 2)).alias("h"), t.alias("t"))))
+        trees = F.slice(mixed, F.lit(1), number)["t"]
+    return keyed.withColumn("tree_id", F.explode(trees)).withColumn(
+        "draw", F.shiftrightunsigned(F.xxhash64("key", "tree_id", F.lit(params.seed)), 2)).drop("_u")
+
+
+def _binomial_steps(trees: int, share: float) -> list[float]:
+    """Distribution function of the number of trees that a row enters, up to where nothing is left."""
+    steps, upto = [], 0.0
+    for k in range(trees):
+        upto += math.comb(trees, k) * share**k * (1.0 - share) ** (trees - k)
+        steps.append(min(upto, 1.0))
+        if upto >= 1.0 - 2.0**-53:
+            break
+    return steps
 
 
 def _grower(params: ForestParams):

@@ -11,9 +11,13 @@ from wattsift.functions.labels import reading_reason
 READINGS_SHOWN = 500
 
 
+def of_consumer(readings: DataFrame, consumer_id: object) -> DataFrame:
+    return readings.filter(F.col("consumer_id").cast("string") == F.lit(str(consumer_id)))
+
+
 def consumer_timeseries(readings: DataFrame, consumer_id: object) -> DataFrame:
     """One consumer's readings in time order. Ids compare as text."""
-    mine = readings.filter(F.col("consumer_id").cast("string") == F.lit(str(consumer_id)))
+    mine = of_consumer(readings, consumer_id)
     return mine.orderBy("timestamp", "consumption") if "timestamp" in readings.columns else mine
 
 
@@ -25,13 +29,15 @@ def find_consumer(results: DataFrame, consumer_id: object) -> DataFrame:
     return found
 
 
-def first_readings(readings: DataFrame, n: int = READINGS_SHOWN) -> DataFrame:
-    """Every consumer's first ``n`` readings by time, equal times by consumption.
+def first_readings(readings: DataFrame, n: int | None = READINGS_SHOWN) -> DataFrame:
+    """Every consumer's first ``n`` readings by time, equal times by consumption; all of them without ``n``.
 
     Spark keeps at most ``n`` rows per consumer on the map side as long as ``n`` is within its
     window group limit. Beyond that the first ``n`` of each slice of a consumer's readings are
     taken first, so that a consumer with a large share of all rows is never sorted by one task.
     """
+    if n is None:
+        return readings
     order = ["timestamp", "consumption"]
     limit = int(readings.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
     if n > limit:
@@ -81,21 +87,19 @@ def consumer_detail(readings: DataFrame, results: DataFrame, n: int = READINGS_S
     Filter ``results`` to one consumer for a single drill-down; the readings are filtered with
     it. The list of a consumer is bounded by ``n``.
     """
+    levels = results.select("consumer_id", "avg_consumption", "std_consumption")
     shown = first_readings(readings.select("consumer_id", "timestamp", "consumption"), n)
-    series = shown.groupBy("consumer_id").agg(
-        F.sort_array(F.collect_list(F.struct("timestamp", "consumption"))).alias("_series"))
+    # Flags are columns of rows, in compiled code, before the rows become a list.
+    flagged = shown.join(levels, "consumer_id").withColumn("anomaly_reason", reading_reason(
+        F.col("consumption"), F.col("timestamp"), F.col("avg_consumption"), F.col("std_consumption")))
+    record = F.struct(
+        iso_time(F.col("timestamp")).alias("timestamp"), F.round("consumption", 4).alias("consumption"),
+        F.col("anomaly_reason").isNotNull().alias("is_anomalous"), "anomaly_reason")
+    series = flagged.groupBy("consumer_id").agg(F.sort_array(F.collect_list(
+        F.struct("timestamp", F.col("consumption").alias("_exact"), record.alias("record")))).alias("_series"))
     joined = results.join(series, "consumer_id", "left")
-
-    def record(r: Column) -> Column:
-        reason = reading_reason(r["consumption"], r["timestamp"], F.col("avg_consumption"), F.col("std_consumption"))
-        return F.struct(
-            iso_time(r["timestamp"]).alias("timestamp"),
-            F.round(r["consumption"], 4).alias("consumption"),
-            reason.isNotNull().alias("is_anomalous"),
-            reason.alias("anomaly_reason"),
-        )
-
-    listed = joined.withColumn("timeseries", F.transform(F.coalesce("_series", F.array()), record))
+    none = F.array().cast(series.schema["_series"].dataType)
+    listed = joined.withColumn("timeseries", F.coalesce("_series", none)["record"])
     listed = listed.withColumn("anomalous_records", F.filter("timeseries", lambda r: r["is_anomalous"]))
     have = set(results.columns)
     columns = [
@@ -115,7 +119,12 @@ def consumer_detail(readings: DataFrame, results: DataFrame, n: int = READINGS_S
     return listed.select(*columns)
 
 
-def drill_down(readings: DataFrame, results: DataFrame, consumer_id: object, n: int = READINGS_SHOWN) -> DataFrame:
-    """One consumer's record; raises when the consumer has no result."""
-    return consumer_detail(
-        consumer_timeseries(readings, consumer_id), find_consumer(results, consumer_id), n)
+def drill_down(
+    readings: DataFrame, results: DataFrame, consumer_id: object, n: int | None = READINGS_SHOWN
+) -> DataFrame:
+    """One consumer's record; raises when the consumer has no result.
+
+    Without ``n`` all its readings are meant, which are rows with flags and not a nested list.
+    """
+    mine, found = of_consumer(readings, consumer_id), find_consumer(results, consumer_id)
+    return flag_readings(mine, found) if n is None else consumer_detail(mine, found, n)

@@ -119,15 +119,14 @@ def sort_results(results: DataFrame, sort_by: str = "anomaly_score", descending:
 
 
 def page_of(
-    results: DataFrame, sort_by: str = "anomaly_score", descending: bool = True, page: int = 1, limit: int = 50
+    results: DataFrame, sort_by: str = "anomaly_score", descending: bool = True, page: int = 1, limit: int = 50,
+    deep_rows: int = DEEP_ROWS,
 ) -> DataFrame:
-    """One page, counted from 1."""
-    if page < 1:
-        raise ValueError(f"page starts at 1, not {page}")
-    if not 1 <= limit <= MAX_PAGE_ROWS:
-        raise ValueError(f"limit must be 1 to {MAX_PAGE_ROWS}, not {limit}")
+    """One page, counted from 1. Below ``deep_rows`` rows from the top it is a top-k."""
+    if page < 1 or limit < 1:
+        raise ValueError(f"page and limit start at 1, not {page} and {limit}")
     start, order = (page - 1) * limit, _order(results, sort_by, descending)
-    if start + limit > DEEP_ROWS:
+    if start + limit > deep_rows:
         return _deep_page(results, order, start, limit)
     return results.orderBy(*order).offset(start).limit(limit)
 
@@ -170,10 +169,12 @@ def page_rows(results: DataFrame) -> DataFrame:
 
 def results_page(
     results: DataFrame, page: int = 1, limit: int = 50, status: str | None = None, region: str | None = None,
-    sort_by: str = "anomaly_score", descending: bool = True,
+    sort_by: str = "anomaly_score", descending: bool = True, deep_rows: int = DEEP_ROWS,
 ) -> DataFrame:
+    if not 1 <= limit <= MAX_PAGE_ROWS:
+        raise ValueError(f"limit must be 1 to {MAX_PAGE_ROWS}, not {limit}")
     chosen = filtered_results(results, status, region)
-    return page_rows(page_of(chosen, sort_by, descending, page, limit))
+    return page_rows(page_of(chosen, sort_by, descending, page, limit, deep_rows))
 
 
 def filtered_results(results: DataFrame, status: str | None = None, region: str | None = None) -> DataFrame:

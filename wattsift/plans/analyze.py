@@ -6,7 +6,7 @@ that one job, whose result, one row per consumer, is staged. All later work is o
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,16 +52,18 @@ def analyze(
     seed: int = 42,
     bind: str = "defaults",
     autoencoder_params: dict | None = None,
+    day_first: bool | None = None,
 ) -> Analysis:
     """Analyse raw readings in either layout.
 
-    ``bind="columns"`` lets the explanation use the consumer's own level, weekend ratio and
+    ``day_first`` settles dates like 5/10/2024; without it the time column is read once before, for those
+    that tell. ``bind="columns"`` lets the explanation use the consumer's own level, weekend ratio and
     deviation; otherwise those sentences work on their fixed defaults.
     """
     check_contamination(contamination)
     if bind not in ("defaults", "columns"):
         raise ValueError(f"bind must be defaults or columns, not {bind}")
-    counted = stage(count_consumers(raw), "consumers")
+    counted = stage(count_consumers(raw, day_first), "consumers")
     used = F.col("consumer_id").isNotNull() & (F.col("reading_count") > 0)
     readings, rows = counted.agg(F.sum("reading_count"), F.count_if(used)).first()
     if not readings:
@@ -76,7 +78,7 @@ def analyze(
     # One scaler serves both models; a forest does not react to scaling.
     scaler = fit_scaler(features, names, inputs)
     scaled = scaler.columns(inputs)
-    forest = fit_forest(features, names, scaled, seed=seed, rows=rows)
+    forest = replace(fit_forest(features, names, scaled, seed=seed, rows=rows), scaler=scaler, contamination=contamination)
     scored, autoencoder = forest.score(features, scaled), None
     if use_autoencoder:
         params = AutoencoderParams(names, seed=seed, **(autoencoder_params or {}))
@@ -85,6 +87,7 @@ def analyze(
     scored = stage(scored, "scored")
 
     found = score_statistics(scored, "raw_score", contamination, rows=rows)
+    forest = replace(forest, offset=found["cut"])
     raw_score = F.col("raw_score")
     results = scored.withColumns({
         "anomaly_score": normalized(raw_score, found["low"], found["high"], low_is_anomalous=True),
@@ -108,7 +111,7 @@ def analyze(
     )
 
 
-def count_consumers(raw: DataFrame) -> DataFrame:
+def count_consumers(raw: DataFrame, day_first: bool | None = None) -> DataFrame:
     """One row per consumer with its aggregate and its cleaning counts."""
     layout = detect_layout(raw.columns)
     columns = rename_standard(raw, layout).columns
@@ -117,4 +120,4 @@ def count_consumers(raw: DataFrame) -> DataFrame:
         raise ValueError(f"no column for {', '.join(missing)} among {raw.columns}")
     source = region_source(columns, layout)
 
-    return aggregate_tagged(tag_readings(raw), source, lambda code: region_of(source, layout, code))
+    return aggregate_tagged(tag_readings(raw, day_first), source, lambda code: region_of(source, layout, code))

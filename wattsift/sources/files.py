@@ -15,10 +15,12 @@ def read_readings_csv(spark: SparkSession, path: str, multiline: bool = False) -
     """Raw readings with every column as text; cleaning types them.
 
     Schema inference would read the files twice and guess per file. Where names differ only in
-    letter case, the first keeps its name and the others carry their position.
+    letter case, the first keeps its name and the others carry their position. A folder is read
+    whole; its files have the same header.
     """
-    if not path.endswith(".csv"):
-        raise ValueError(f"not a .csv path: {path}")
+    name = path.rstrip("/").rpartition("/")[2]
+    if "." in name and not name.endswith(".csv"):
+        raise ValueError(f"neither a .csv path nor a folder: {path}")
     reader = spark.read.option("inferSchema", False).option("escape", '"').option("multiLine", multiline)
     frame = reader.option("header", True).csv(path)
     if frame.isEmpty():
@@ -42,10 +44,12 @@ def preview(df: DataFrame, rows: int = 5) -> dict[str, object]:
     return {"rows": df.count(), "columns": list(df.columns), "preview": preview_rows(df, rows)}
 
 
-def preview_rows(df: DataFrame, rows: int = 5) -> DataFrame:
+def preview_rows(df: DataFrame, rows: int = 5, ordered: bool = False) -> DataFrame:
+    """The first rows as they come, or the first in order of all columns, missing values first."""
     floats = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     quoted = [(c, F.col(f"`{c}`")) for c in df.columns]
-    return df.limit(rows).select(*[(finite(col) if c in floats else col).alias(c) for c, col in quoted])
+    shown = df.orderBy(*[col.asc_nulls_first() for _, col in quoted]) if ordered else df
+    return shown.limit(rows).select(*[(finite(col) if c in floats else col).alias(c) for c, col in quoted])
 
 
 def write_csv(df: DataFrame, path: str) -> None:

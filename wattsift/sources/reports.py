@@ -27,12 +27,12 @@ def summary_table(summary: DataFrame, zones: int = 5) -> DataFrame:
 
 
 def report_tables(results: DataFrame, summary: DataFrame, top: int = 20) -> dict[str, DataFrame]:
-    rows = report_rows(results)
+    """All by the exact score; scores are rounded for display only after that."""
     return {
         "summary": summary_table(summary),
-        "top_consumers": top_by_score(rows, top),
-        "flagged_consumers": by_score(rows),
-        "all_consumers": rows,
+        "top_consumers": report_rows(top_by_score(results, top)),
+        "flagged_consumers": report_rows(by_score(results)),
+        "all_consumers": report_rows(results),
     }
 
 
