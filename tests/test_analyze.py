@@ -95,3 +95,13 @@ def test_readings_without_time(spark):
     raw = spark.createDataFrame([(f"c{i % 7}", str(i)) for i in range(70)], "LCLid string, kwh string")
     found = analyze(raw).results
     assert found.count() == 7 and "night_day_ratio" not in found.columns
+
+
+def test_close_deletes_what_was_staged(raw):
+    import os
+
+    found = analyze(raw)
+    paths = [f.removeprefix("file://") for df in found.staged for f in df.inputFiles()]
+    assert paths and all(map(os.path.exists, paths)) and found.forest.offset is not None
+    found.close()
+    assert not any(map(os.path.exists, paths))

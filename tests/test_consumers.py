@@ -95,3 +95,13 @@ def test_basic_statistics_use_the_population_deviation(spark):
     r = U.basic_statistics(df, "x").first()
     assert (r["mean"], r["min"], r["max"], r["median"]) == (4.0, 1.0, 9.0, 3.0)
     assert r["std"] == pytest.approx(statistics.pstdev([1, 2, 4, 9]))
+
+
+def test_deviation_over_regions_on_a_high_level(spark):
+    specs = [("a", h, 1e8 + h % 2, "X" if h % 2 else "Y") for h in range(1000)]
+    assert one(spark, *specs).std_consumption == pytest.approx(statistics.stdev(v for _, _, v, _ in specs))
+
+
+def test_regions_are_merged_without_a_shuffle_of_their_own(spark):
+    plan = U.aggregate_consumers(spark.createDataFrame(rows(("a", 0, 1.0, "X")), SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2

@@ -121,3 +121,35 @@ def test_reload_and_importance(spark, folder):
     assert shares == {n: pytest.approx(used[i]) for i, n in enumerate(NAMES)}
     with pytest.raises(ValueError):
         forest.importance(spark, "gain")
+
+
+def test_rows_are_chosen_before_they_are_exploded(spark):
+    df = frame(spark, 4000, far=0)
+    drawn = M.draw_samples(df, inputs(), M.ForestParams(NAMES, trees=100), 1_000_000, "consumer_id")
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Filter")  # printed from the top down
+    # A row enters no tree of a hundred with a chance of (1 - 512 / 1,000,000) ** 100.
+    assert 120 < drawn.select("key").distinct().count() < 280
+
+
+def test_binomial_steps():
+    steps = M._binomial_steps(10, 0.3)
+    assert steps[0] == pytest.approx(0.7**10) and steps[1] == pytest.approx(0.7**10 + 10 * 0.3 * 0.7**9) and steps[-1] <= 1.0
+
+
+def test_a_reloaded_forest_labels_new_rows(spark, folder):
+    from dataclasses import replace
+
+    from wattsift.operators.scaling import fit_scaler
+
+    df = frame(spark, 600)
+    scaler = fit_scaler(df, NAMES, inputs())
+    forest = M.fit_forest(df, NAMES, scaler.columns(inputs()))
+    with pytest.raises(ValueError):
+        forest.label(df, inputs())
+    forest = replace(forest, scaler=scaler, contamination=0.05, offset=-0.55)
+    forest.save(spark, f"{folder}/f")
+    back = M.load_forest(spark, f"{folder}/f")
+    assert (back.scaler, back.contamination, back.offset) == (scaler, 0.05, -0.55)
+    new = spark.createDataFrame([("near", 0.0, 0.1, 0.0), ("far", 15.0, 15.0, 15.0)], df.schema)
+    assert {r.consumer_id: r.label for r in back.label(new, inputs()).collect()} == {"near": 1, "far": -1}

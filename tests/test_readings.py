@@ -77,3 +77,16 @@ def test_drill_down(readings, results):
     assert D.drill_down(readings, results, 7).first().total_records == 1
     with pytest.raises(LookupError):
         D.drill_down(readings, results, "nobody")
+
+
+def test_drill_down_over_all_readings(readings, results):
+    assert D.first_readings(readings, None).count() == readings.count()
+    rows = D.drill_down(readings, results, "a", n=None).orderBy("timestamp").collect()
+    assert len(rows) == 48 and {"is_anomalous", "anomaly_reason"} <= set(rows[0].asDict())
+    with pytest.raises(LookupError):
+        D.drill_down(readings, results, "nobody", n=None)
+
+
+def test_drill_down_does_not_sort_all_readings(readings, results):
+    plan = D.drill_down(readings, results, "a")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan

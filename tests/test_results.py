@@ -58,14 +58,12 @@ def test_pages(results):
 
 
 @pytest.mark.parametrize("descending", [True, False])
-def test_deep_pages_equal_shallow_ones(spark, monkeypatch, descending):
+def test_deep_pages_equal_shallow_ones(spark, descending):
     df = spark.range(1000).selectExpr(
         "concat('c', id) AS consumer_id", "IF(id % 7 = 0, NULL, CAST(id % 13 AS DOUBLE)) AS anomaly_score").repartition(6)
     for page, limit in [(1, 10), (4, 130), (8, 130), (9, 130), (100, 10)]:
         shallow = ids(G.page_of(df, "anomaly_score", descending, page, limit))
-        with monkeypatch.context() as m:
-            m.setattr(G, "DEEP_ROWS", 0)
-            assert ids(G.page_of(df, "anomaly_score", descending, page, limit)) == shallow
+        assert ids(G.page_of(df, "anomaly_score", descending, page, limit, deep_rows=0)) == shallow
 
 
 @pytest.mark.parametrize("page, limit", [(0, 10), (1, 0), (1, 501)])
@@ -95,3 +93,12 @@ def test_report(results, folder, spark):
         assert spark.read.format(fmt).option("header", True).load(paths["all_consumers"]).count() == 6
     with pytest.raises(ValueError):
         R.write_report(results, summary, folder, "pdf")
+
+
+def test_reports_rank_by_the_exact_score(spark):
+    close = spark.createDataFrame(
+        [("a", 0.90001), ("b", 0.90004)], "consumer_id string, anomaly_score double").selectExpr(
+        "*", "'X' AS region", "1.0D AS avg_consumption", "'High Risk' AS status", "true AS is_anomaly")
+    tables = R.report_tables(close, G.summarize(close), top=1)
+    assert ids(tables["top_consumers"]) == ["b"] and ids(tables["flagged_consumers"]) == ["b", "a"]
+    assert tables["top_consumers"].first().anomaly_score == 0.9

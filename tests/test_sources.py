@@ -7,7 +7,7 @@ from wattsift.operators.readings import consumer_timeseries
 from wattsift.operators.results import summarize
 from wattsift.sources import files, runs
 from wattsift.sources.layouts import standard_names
-from wattsift.sources.staging import stage, staging_folder
+from wattsift.sources.staging import stage, staging_folder, unstage
 from wattsift.sources.stored import read_readings, save_readings
 
 
@@ -68,6 +68,23 @@ def test_stage_uses_the_shared_folder(spark):
     assert found.schema == df.schema or {f.dataType for f in found.schema} == {f.dataType for f in df.schema}
 
 
+def test_unstaged_tables_are_gone(spark):
+    import os
+
+    first, second = stage(spark.range(3), "first"), stage(spark.range(4), "second")
+    folder = os.path.dirname(first.inputFiles()[0].removeprefix("file://"))
+    unstage(first)
+    assert not os.path.exists(folder) and second.count() == 4
+
+
+def test_csv_folder(spark, folder):
+    files.write_csv(spark.range(100, numPartitions=4).selectExpr("CAST(id AS STRING) AS a", "'x,y' AS b"), f"{folder}/many")
+    found = files.read_readings_csv(spark, f"{folder}/many")
+    assert found.count() == 100 and found.columns == ["a", "b"] and found.first().b == "x,y"
+    with pytest.raises(ValueError):
+        files.read_readings_csv(spark, f"{folder}/x.txt")
+
+
 @pytest.fixture
 def results(spark):
     rows = [(f"c{i:02d}", "X", float(i), i / 30, "Normal" if i % 2 else "High Risk", i > 28, i * 1.5) for i in range(30)]

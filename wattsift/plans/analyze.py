@@ -29,7 +29,7 @@ from wattsift.operators.scoring import (
 )
 from wattsift.sources.layouts import detect_layout, rename_standard
 from wattsift.sources.runs import new_analysis_id
-from wattsift.sources.staging import stage
+from wattsift.sources.staging import stage, unstage
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,11 @@ class Analysis:
     population: Population = field(repr=False)
     forest: Forest = field(repr=False)
     autoencoder: Autoencoder | None = field(repr=False, default=None)
+    staged: tuple[DataFrame, ...] = field(repr=False, default=())
+
+    def close(self) -> None:
+        """Delete the tables that the results are read from. Save what is wanted before."""
+        unstage(*self.staged)
 
 
 def analyze(
@@ -107,7 +112,7 @@ def analyze(
     results = add_profile(results, population).drop("raw_score", "ae_error")
     return Analysis(
         new_analysis_id(), contamination, use_autoencoder, results, summarize(results),
-        report_from_counts(counted, len(raw.columns)), population, forest, autoencoder,
+        report_from_counts(counted, len(raw.columns)), population, forest, autoencoder, (counted, scored),
     )
 
 

@@ -2,7 +2,7 @@
 
 A staged table cuts lineage the way a checkpoint does, and stays columnar: later passes read
 only the columns they use. It lives in the folder that ``spark.checkpoint.dir`` names, so it
-outlasts any executor, and is cleaned up with that folder.
+outlasts any executor. It stays until it is unstaged, or that folder is cleaned up.
 """
 
 from __future__ import annotations
@@ -27,6 +27,17 @@ def staging_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def unstage(*frames: DataFrame) -> None:
+    """Delete the staged tables that frames read. What still needs them can no longer run."""
+    for df in frames:
+        spark = df.sparkSession
+        root = f"{staging_folder(spark)}/wattsift/"
+        inside = "/wattsift/"
+        for label in {f.rpartition(inside)[2].split("/")[0] for f in df.inputFiles() if inside in f}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root + label)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_folder(spark)}/wattsift/{label}-{uuid.uuid4().hex}"
