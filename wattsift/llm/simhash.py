@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattsift.llm.tables import ASCII_LOWER, kept, slices, texts
-from wattsift.sources.staging import stage
+from wattsift.sources.staging import stage, unstage
 
 SHINGLE = 3
 SEED = 42
@@ -214,6 +214,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = stage(edges, "star")
     while True:
+        before = edges
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = stage(
@@ -226,6 +227,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = stage(small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "star")
         changed = after.exceptAll(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).limit(1).count()
         edges = after
+        unstage(large, before)
         if not changed:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
