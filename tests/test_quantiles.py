@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wattsift.operators import quantiles
 from wattsift.operators.quantiles import exact_quantiles
 
 POINTS = [0.0, 0.1, 0.5, 0.7, 0.9, 0.95, 1.0]
@@ -52,3 +53,11 @@ def test_other_aggregates_come_along(spark):
     for small_rows in (100, 0):
         assert exact_quantiles(df, {"q": ("x", 0.5)}, also={"n": F.sum("x")}, small_rows=small_rows) == {
             "q": 5.0, "n": 55.0}
+
+
+def test_wide_brackets_are_narrowed(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MOST_IN_BRACKET", 3)
+    df = spark.range(5000).selectExpr("sqrt(id) * 7 - 100 AS x", "CAST(id % 3 AS DOUBLE) AS few", "IF(id = 7, 1e300, 1.0D * id) AS far")
+    wanted = {f"{c}{i}": (c, p) for c in ("x", "few", "far") for i, p in enumerate((0.0, 0.013, 0.5, 0.9, 1.0))}
+    exact = df.agg(*[F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in wanted.items()]).first().asDict()
+    assert exact_quantiles(df, wanted, small_rows=0, accuracy=50) == pytest.approx(exact)

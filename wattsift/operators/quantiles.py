@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # is the cheaper way.
 SMALL_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
+# Rows of a bracket whose values one task sorts, and the bins of a pass that narrows a wider one.
+MOST_IN_BRACKET = 100_000
+BINS = 1000
 
 
 def exact_quantiles(
@@ -62,7 +65,9 @@ def _from_counts(
             if below[n][0] <= math.floor(pos) and below[n][1] >= math.ceil(pos) + 1
         }
         if sure:
-            found.update(_select(df, {n: todo[n] for n in sure}, brackets, below, sure))
+            own = {n: todo[n] for n in sure}
+            brackets, below = _narrowed(df, own, brackets, below, sure)
+            found.update(_select(df, own, brackets, below, sure))
         ranks = {n: pos for n, pos in ranks.items() if n not in sure}
         margin *= 8
     return found
@@ -94,6 +99,65 @@ def _counts_around(df, wanted, brackets):
     return {n: (row[f"{n}_below"], row[f"{n}_upto"]) for n in wanted}
 
 
+def _narrowed(df, wanted, brackets, below, ranks):
+    """Brackets of at most MOST_IN_BRACKET rows around the ranks, wherever values can be told apart.
+
+    Each pass counts the rows of all wide brackets in equal bins and keeps the bins that hold the two
+    ranks, so what one task has to sort at the end does not grow with the data.
+    """
+    brackets, below = dict(brackets), dict(below)
+    stuck: set[str] = set()
+    while True:
+        wide = [n for n in ranks if n not in stuck and below[n][1] - below[n][0] > MOST_IN_BRACKET]
+        if not wide:
+            return brackets, below
+        brackets |= _closed(df, {n: wanted[n] for n in wide}, brackets)
+        bins = []
+        for i, n in enumerate(wide):
+            low, high = brackets[n]
+            x = F.col(wanted[n][0]).cast("double")
+            at = F.least(F.lit(BINS - 1), F.floor((x - low) / (high - low or 1.0) * BINS))
+            bins.append(F.when(x.between(low, high), F.struct(F.lit(i).alias("i"), at.cast("int").alias("bin"))))
+        # At most BINS rows per quantile.
+        counts = df.select(F.explode(F.array_compact(F.array(*bins))).alias("c")).groupBy("c.i", "c.bin").agg(
+            F.count(F.lit(1)).alias("rows")).collect()
+        narrower = {}
+        for i, n in enumerate(wide):
+            low, high = brackets[n]
+            upto, held = below[n][0], []
+            for _, at, rows in sorted(tuple(r) for r in counts if r["i"] == i):
+                if upto <= math.ceil(ranks[n]) and upto + rows > math.floor(ranks[n]):
+                    held.append(at)
+                upto += rows
+            step = (high - low) / BINS
+            # A little more on either side, for what rounding puts into the next bin.
+            narrower[n] = (
+                (max(low, low + step * (held[0] - 0.01)), min(high, low + step * (held[-1] + 1.01)))
+                if held and math.isfinite(step) else (low, high))
+        after = _counts_around(df, {n: wanted[n] for n in wide}, narrower)
+        for n in wide:
+            holds = after[n][0] <= math.floor(ranks[n]) and after[n][1] >= math.ceil(ranks[n]) + 1
+            if holds and after[n][1] - after[n][0] < below[n][1] - below[n][0]:
+                brackets[n], below[n] = narrower[n], after[n]
+            else:
+                stuck.add(n)
+
+
+def _closed(df, wanted, brackets):
+    """The same brackets with the lowest or highest value where a side is open."""
+    names = [n for n in wanted if None in brackets[n]]
+    if not names:
+        return {}
+    row = df.agg(*[
+        f(F.col(wanted[n][0]).cast("double")).alias(f"{n}_{side}")
+        for n in names for side, f in (("low", F.min), ("high", F.max))
+    ]).first()
+    return {
+        n: tuple(row[f"{n}_{side}"] if end is None else end for side, end in zip(("low", "high"), brackets[n]))
+        for n in names
+    }
+
+
 def _select(df, wanted, brackets, below, ranks):
     """Values at the two ranks next to each position, from counts per distinct value."""
     names = list(wanted)
