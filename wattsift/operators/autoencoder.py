@@ -5,9 +5,9 @@ own rows from the common state, as one group of a grouped map, and the states ar
 the parts' row counts as weights. A part has a bounded number of rows, and what reaches the
 driver between rounds is one state of a few thousand numbers, whatever the number of rows.
 
-There is a round per epoch, and every part makes the same number of steps in it: as many as one
-pass over all rows has, or over ``round_rows`` where there are more. So the same data in one part or in four
-are trained alike, and a part of full size sees its rows once a round.
+An epoch is as many steps as one pass over all rows has, or over ``round_rows`` where there are
+more, and every part makes as many. So the same data in one part or in four are trained alike, and a
+part of full size sees its rows once an epoch. The epochs are spread evenly over ``rounds``.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ class AutoencoderParams:
     percentile: float = 95.0
     part_rows: int = 50_000
     round_rows: int = 50_000
+    rounds: int = 10
     seed: int = 42
 
 
@@ -324,11 +325,12 @@ def train_autoencoder(
         "part", F.pmod(F.xxhash64("key", F.lit(params.seed + 1)), F.lit(parts)).cast("int"))
     state = first_state(params)
     steps = math.ceil(min(rows * (1 - params.held_out), params.round_rows) / params.batch)
+    rounds = min(params.rounds, params.epochs)
     # Every round reads the same rows. What an executor loses is computed again from `df`.
     training = training.repartition(parts, "part").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for turn in range(params.epochs):
-            state = _round(training, params, state, turn, steps, parts)
+        for turn in range(rounds):
+            state = _round(training, params, state, turn, math.ceil(steps * params.epochs / rounds), parts)
     finally:
         training.unpersist()
     return Autoencoder(params, scaler, state)
