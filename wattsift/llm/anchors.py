@@ -60,17 +60,15 @@ class Block:
     def __init__(self, texts: list[str]):
         from xxhash import xxh3_128_digest
 
-        split = [t.encode().split() for t in texts]
-        self.sizes = np.array([len(w) for w in split], np.int64)
-        self.begin = np.cumsum(self.sizes) - self.sizes
         place: dict[bytes, int] = {}
-        number = [place.setdefault(w, len(place)) for ws in split for w in ws]
-        self.split = split
-        self.words = np.array(number, np.int64)
+        numbers = [np.array([place.setdefault(w, len(place)) for w in t.encode().split()], np.int64) for t in texts]
+        self.sizes = np.array([len(n) for n in numbers], np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.words = np.concatenate([*numbers, np.zeros(0, np.int64)])
         seen = np.frombuffer(b"".join(map(xxh3_128_digest, place)), np.uint64).reshape(-1, 2)
         self.value = np.ascontiguousarray(seen.T) if len(place) else np.zeros((2, 0), np.uint64)
         # Document of each word, place in it, and how many words follow.
-        self.doc = np.repeat(np.arange(len(split)), self.sizes)
+        self.doc = np.repeat(np.arange(len(numbers)), self.sizes)
         self.at = np.arange(len(self.words)) - self.begin[self.doc]
         self.left = self.sizes[self.doc] - self.at
 
@@ -240,10 +238,11 @@ def remove_repeats(
         ids = table.column("doc_id")
         removed = np.bincount(b.doc[gone], minlength=len(own.texts)) if len(b.words) else np.zeros(len(own.texts), np.int64)
         kept = []
-        for words, n, begin in zip(b.split, removed.tolist(), b.begin.tolist()):
+        for text, n, begin in zip(own.texts, removed.tolist(), b.begin.tolist()):
+            words = text.encode().split() if n else []
             kept.append(b" ".join(w for w, g in zip(words, gone[begin : begin + len(words)].tolist()) if not g) if n else None)
         if digest:
-            sums = [hashlib.sha256(b" ".join(w) if k is None else k).hexdigest() for w, k in zip(b.split, kept)]
+            sums = [hashlib.sha256(b" ".join(t.encode().split()) if k is None else k).hexdigest() for t, k in zip(own.texts, kept)]
             return pa.table({"doc_id": ids, "n_words": pa.array(b.sizes), "n_removed": pa.array(removed.astype(np.int64)),
                              "kept_sha256": pa.array(sums, pa.string())})
         new = pa.array([t if k is None else k.decode() for t, k in zip(own.texts, kept)], pa.string())

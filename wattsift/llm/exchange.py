@@ -25,7 +25,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 12_000_000
+from wattsift.llm.tables import give_back
+
+BLOCK_CHARS = 5_000_000
+# Blocks to a shard: what a shard gathers is smaller than a block's text and words.
+BLOCKS_TO_A_SHARD = 3
 # So many blocks at least, for balance where there is little text.
 LEAST_BLOCKS = 32
 ASKED = "shard int, block int, kind int, asked binary"
@@ -89,10 +93,11 @@ def shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, int]:
-    """The rows with a block number, and how many blocks there are; `text` must not be null."""
+    """The rows with a block number, and how many shards there should be; `text` must not be null."""
     chars = docs.agg(F.sum(F.length("text").cast("long"))).collect()[0][0] or 0
     blocks = max(LEAST_BLOCKS, math.ceil(chars / block_chars))
-    return docs.withColumn("block", block_of(F.col("doc_id"), F.col("text"), blocks)), blocks
+    shards = max(LEAST_BLOCKS, blocks // BLOCKS_TO_A_SHARD)
+    return docs.withColumn("block", block_of(F.col("doc_id"), F.col("text"), blocks)), shards
 
 
 def block_of(doc_id: Column, text: Column, blocks: int) -> Column:
@@ -109,7 +114,9 @@ def ask(blocks: DataFrame, make: Callable[[pa.Table], list[tuple[int, int, bytes
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        return rows_of(["shard", "block", "kind", "asked"], [(s, block, k, a) for s, k, a in make(table)])
+        made = rows_of(["shard", "block", "kind", "asked"], [(s, block, k, a) for s, k, a in make(table)])
+        give_back()
+        return made
 
     return blocks.groupBy("block").applyInArrow(run, ASKED)
 
@@ -123,6 +130,7 @@ def answer(asked: DataFrame, reply: Callable[[int, list[bytes]], list[bytes]]) -
         for kind in sorted({r["kind"] for r in rows}):
             own = [r for r in rows if r["kind"] == kind]
             out += [(r["block"], r["shard"], kind, a) for r, a in zip(own, reply(kind, [r["asked"] for r in own]))]
+        give_back()
         return rows_of(["block", "shard", "kind", "answer"], out)
 
     return asked.groupBy("shard").applyInArrow(run, ANSWER)
@@ -137,6 +145,8 @@ def conclude(blocks: DataFrame, answers: DataFrame, make: Callable[[pa.Table, pa
     """Rows of each block from its documents and the answers that came to it; blocks without rows give none."""
 
     def run(docs: pa.Table, got: pa.Table) -> pa.Table:
-        return make(docs, got)
+        made = make(docs, got)
+        give_back()
+        return made
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

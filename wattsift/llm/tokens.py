@@ -11,7 +11,7 @@ import numpy as np
 from wattsift.llm.tables import kept
 
 WORD_FILE = "word_bpe_49k.json"
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 700_000
 # Stands between words that are encoded together. No word holds it: those that do go alone.
 MARK = "\x01"
 
