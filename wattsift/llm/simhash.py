@@ -60,7 +60,10 @@ def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
     """A bit is set where more than half of the hashes have it; zero for a text without words."""
-    hashes = shingle_hashes(_words(text), size)
+    return simhash_of(shingle_hashes(_words(text), size))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     # How often each byte value stands at each of the eight places; then the bits of the values.
@@ -250,10 +253,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """All columns of the document with the smallest id of each group of near-duplicates.
+def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """All columns of the document with the smallest id of each group (default: of near_duplicates).
 
     Rows that repeat the kept id all stay. Rows without an id stay only where their whole group has none.
     """
-    found = near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
+    groups = near_duplicates(docs) if groups is None else groups
+    found = groups.where("doc_id <=> component_id").select("doc_id").distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
