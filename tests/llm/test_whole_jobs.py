@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from wattsift.llm import near_copies
+from wattsift.llm import html_text, near_copies
 
 
 def test_pipeline_drops_planted_copies_from_0_8(spark, docs, small):
@@ -25,3 +25,23 @@ def test_pipeline_drops_planted_copies_from_0_8(spark, docs, small):
     made += [(9000, ""), (9001, None), (9002, "short text"), (9003, "short text")]
     got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(made), small).collect())
     assert got == [*range(40), *range(5000, 5040), 9000, 9002] and planted == 120
+
+
+def html_texts(spark, pages):
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_text.main_text(table).collect()}
+
+
+def test_copied_open_pages_keep_their_text(spark):
+    page = "<p>Site line<p>Story {0}<p>More of {0}<p>Site end"
+    pages = [(i, f"http://h.org/a?x={i}", page.format("one")) for i in range(1, 41)]
+    pages += [(50, "http://h.org/a?x=near", page.format("one").replace("More", "Much more"))]
+    pages += [(60 + i, "http://h.org/b", page.format("two")) for i in range(3)]
+    pages += [(70 + i, f"http://twice.org/?s={i}", page.format("alone")) for i in range(2)]
+    pages += [(80 + i, f"http://one.org/view?id={i}", page.format(i)) for i in range(2)]
+    got = html_texts(spark, pages)
+    assert {got[i] for i in range(1, 41)} == {"Story one\n\nMore of one"}
+    assert got[50] == "Story one\n\nMuch more of one"
+    assert {got[60 + i] for i in range(3)} == {"Story two\n\nMore of two"}
+    assert got[70] == got[71] == "Site line\n\nStory alone\n\nMore of alone\n\nSite end"
+    assert got[80] == "Story 0\n\nMore of 0"
