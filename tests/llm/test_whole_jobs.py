@@ -45,3 +45,19 @@ def test_copied_open_pages_keep_their_text(spark):
     assert {got[60 + i] for i in range(3)} == {"Story two\n\nMore of two"}
     assert got[70] == got[71] == "Site line\n\nStory alone\n\nMore of alone\n\nSite end"
     assert got[80] == "Story 0\n\nMore of 0"
+
+
+def test_names_of_wrappers_and_sections_keep_their_text(spark):
+    names = ["content has-sidebar", "no-ads", "header-fixed", "page-with-nav", "site search-enabled", "widget", "sidebar", "comments"]
+    pages = [(k, f"http://w{k}.org/", f"<div class='{c}'><article><p>Text</article></div><p>out") for k, c in enumerate(names)]
+    inside = "<article><p>Text {0}<div class='{1}'><p>Section {0}<p>Follow us</div><div class='ad'>Buy</div><div id=comments>Hi</div></article>"
+    sections = ["social-history", "share-price", "related-work", "notice"]
+    for k, c in enumerate(sections):
+        pages += [(100 + 2 * k + i, f"http://s{k}.org/{i}", inside.format(f"{c} {i}", c)) for i in range(2)]
+    pages += [(200, "http://t.org/", "<article>Text</article><div class=comments><article>Reader</article></div>"),
+              (201, "http://u.org/", "<div class=search><main>Found</main></div><article>Teaser</article>")]
+    got = html_texts(spark, pages)
+    assert [got[k] for k in range(len(names))] == ["Text"] * len(names)
+    for k, c in enumerate(sections):
+        assert got[100 + 2 * k] == f"Text {c} 0\n\nSection {c} 0"
+    assert got[200] == "Text" and got[201] == "Found\n\nTeaser"
