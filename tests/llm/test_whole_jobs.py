@@ -1,9 +1,12 @@
 """Small tests of places that once did less than the whole job."""
 
+import brute
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from wattsift.llm import html_text, near_copies
+from wattsift.llm import html_text, near_copies, ngram_model
+from wattsift.llm.queries import QUERIES
 
 
 def test_pipeline_drops_planted_copies_from_0_8(spark, docs, small):
@@ -61,3 +64,22 @@ def test_names_of_wrappers_and_sections_keep_their_text(spark):
     for k, c in enumerate(sections):
         assert got[100 + 2 * k] == f"Text {c} 0\n\nSection {c} 0"
     assert got[200] == "Text" and got[201] == "Found\n\nTeaser"
+
+
+def test_model_query_has_three_orders(spark, small, given):
+    import zlib
+
+    in_training = lambda d: zlib.crc32(str(d).encode()) % 7 != 2
+    want = {r[0]: r for r in brute.model_scores(given("documents", "doc_id, text"), in_training, 3, ngram_model.MU)}
+    for r in QUERIES["op4_ngram_model"](spark, small).collect():
+        assert r.score == pytest.approx(want[r.doc_id][5], abs=0.002 * r.n_tokens)
+
+
+def test_trie_walks_from_level_to_level(tmp_path):
+    pairs = np.array([[5, 7], [5, 8], [9, 7]], np.uint64).T
+    two = ngram_model.Level(f"{tmp_path}/2", *pairs, np.array([3, 1, 2], np.uint64))
+    places = two.find(np.array([9, 5, 5, 9], np.uint64), np.array([7, 8, 7, 8], np.uint64))
+    assert places.tolist() == [2, 1, 0, -1]
+    three = ngram_model.Level(f"{tmp_path}/3", places[[0, 2]], np.array([4, 6], np.uint64), np.array([2, 3], np.uint64), parents=3)
+    assert three.lookup(places, np.array([4, 4, 6, 4], np.uint64)).tolist() == [2, 0, 3, 0]
+    assert three.pointers.get(np.arange(4)).tolist() == [0, 1, 1, 2]

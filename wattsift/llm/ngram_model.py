@@ -2,10 +2,12 @@
 
 A token is a word, or the end that follows every text; the end also stands before the first word.
 Levels k = 2..order of a trie hold, for every context of k - 1 tokens, the sorted tokens that followed it in
-training. Contexts are a sorted list with monotone pointers to where their successors begin; pointers and
+training. Contexts of level 2 are a sorted list; those of a higher level are the entries of the one below, by their
+place. Monotone pointers say where a context's successors begin; pointers and
 successors are Elias-Fano sequences. A successor is stored relative to its context: context number times
 the size of the shard's vocabulary plus the token's number there, which makes the whole level one rising sequence. A
-lookup searches the successor of that number. Each entry has a quantised probability code.
+lookup walks from level to level: an entry's place leads to its pointers, and between them the successor of that number is
+searched. Each entry has a quantised probability code.
 
 Smoothing is Dirichlet's: P(w | h) = (c(h w) + mu P(w | h')) / (c(h) + mu), down to P(w) = (c(w) + 1) / (N + V + 1), where
 all unknown words share one. The code of an entry is its numerator's logarithm: counts are exact up to 64 and in steps of
@@ -13,7 +15,8 @@ all unknown words share one. The code of an entry is its numerator's logarithm:
 
 Nothing is held whole. Counts of single tokens and n-grams are asked from shards as in `exchange`: a shard
 adds up what all blocks bring, builds its part of the trie in memory-mapped files, looks up what each
-block asks, and deletes the files. Successors of one context are dealt to several shards, so a
+block asks, and deletes the files. An n-gram is asked where its first two tokens are, so that a block sends its own trie, without
+contexts above level 2. Successors of one token are dealt to several shards, so a
 very common word is no burden. What the blocks bring grows with the corpus.
 """
 
@@ -34,7 +37,7 @@ from wattsift.llm.exchange import (
 )
 from wattsift.llm.tables import ASCII_LOWER, texts
 
-ORDER = 2
+ORDER = 3
 MU = 200.0
 # Shards that share the successors of a context.
 SPREAD = 16
@@ -114,8 +117,9 @@ class EliasFano:
         high = (self._select(at, True) - at).astype(np.uint64)
         return (high << np.uint64(self.low_bits)) | self._low(at)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Place of each value, -1 where it is not there: the successor search, one bucket of equal high bits at a time."""
+    def find(self, values: np.ndarray, least: np.ndarray | int = 0, until: np.ndarray | int | None = None) -> np.ndarray:
+        """Place of each value, from `least` to before `until`, -1 where it is not there: the successor search, one bucket of
+        equal high bits at a time."""
         if not self.n:
             return np.full(len(values), -1)
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
@@ -125,6 +129,7 @@ class EliasFano:
         # Ones before the end of step `high - 1` and of step `high`.
         begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - high + 1, 0)
         end = np.minimum(self._select(high, False) - high, self.n)
+        begin, end = np.maximum(begin, least), np.minimum(end, self.n if until is None else until)
         low = values & np.uint64((1 << self.low_bits) - 1)
         out = np.full(len(values), -1)
         open_ = np.flatnonzero(inside & (begin < end))
@@ -143,24 +148,30 @@ class EliasFano:
 class Level:
     """Contexts, pointers, successors and codes of one order in memory-mapped files."""
 
-    def __init__(self, folder: str, contexts: np.ndarray, tokens: np.ndarray, counts: np.ndarray):
+    def __init__(self, folder: str, contexts: np.ndarray, tokens: np.ndarray, counts: np.ndarray, parents: int | None = None):
+        """With `parents`, contexts are the places of that many entries of the level below."""
+        os.makedirs(folder, exist_ok=True)
         order = np.lexsort((tokens, contexts))
         c, w, n = contexts[order], tokens[order], counts[order]
         new = np.ones(len(c), bool)
         new[1:] = (np.diff(c) != 0) | (np.diff(w) != 0)
         c, w, n = c[new], w[new], np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n
-        known, first = np.unique(c, return_index=True)
         vocabulary, number = np.unique(w, return_inverse=True)
         self.size = max(1, len(vocabulary))
-        np.save(f"{folder}/contexts.npy", known)
+        if parents is None:
+            known, first = np.unique(c, return_index=True)
+            owner = np.repeat(np.arange(len(known)), np.diff(first, append=len(c)))
+            np.save(f"{folder}/contexts.npy", known)
+            self.contexts = np.load(f"{folder}/contexts.npy", mmap_mode="r")
+        else:
+            owner, self.contexts = c.astype(np.int64), None
+            first = np.searchsorted(owner, np.arange(parents))
         np.save(f"{folder}/vocabulary.npy", vocabulary)
         np.save(f"{folder}/codes.npy", count_code(n).astype(np.uint16))
-        owner = np.repeat(np.arange(len(known)), np.diff(first, append=len(c)))
         self.successors = EliasFano(
-            folder, "successors", (owner * self.size + number).astype(np.uint64), len(known) * self.size)
+            folder, "successors", (owner * self.size + number).astype(np.uint64), len(first) * self.size)
         self.pointers = EliasFano(folder, "pointers", np.append(first, len(c)), len(c) + 1)
-        self.contexts, self.vocabulary, self.codes = (
-            np.load(f"{folder}/{p}.npy", mmap_mode="r") for p in ("contexts", "vocabulary", "codes"))
+        self.vocabulary, self.codes = (np.load(f"{folder}/{p}.npy", mmap_mode="r") for p in ("vocabulary", "codes"))
 
     @staticmethod
     def _place(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -169,16 +180,27 @@ class Level:
         at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
         return np.where(sorted_values[at] == wanted, at, -1)
 
-    def lookup(self, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """Codes of the wanted entries, 0 where there is none."""
-        c, w = self._place(self.contexts, contexts), self._place(self.vocabulary, tokens)
+    def find(self, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Places of the wanted entries, -1 where there is none; a context that is the place -1 has none."""
+        c = contexts if self.contexts is None else self._place(self.contexts, contexts)
+        w = self._place(self.vocabulary, tokens)
+        out = np.full(len(contexts), -1)
         there = np.flatnonzero((c >= 0) & (w >= 0))
-        at = self.successors.find((c[there] * self.size + w[there]).astype(np.uint64))
-        # A found entry lies in its context's range.
-        out = np.zeros(len(contexts), np.int64)
-        out[there[at >= 0]] = self.codes[at[at >= 0]]
+        c, w = c[there], w[there]
+        out[there] = self.successors.find(
+            (c * self.size + w).astype(np.uint64), self.pointers.get(c).astype(np.int64), self.pointers.get(c + 1).astype(np.int64))
+        return out
+
+    def codes_at(self, places: np.ndarray) -> np.ndarray:
+        """Codes of the entries, 0 for the place -1."""
+        out = np.zeros(len(places), np.int64)
+        out[places >= 0] = self.codes[places[places >= 0]]
         return out
 
+    def lookup(self, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Codes of the wanted entries, 0 where there is none."""
+        return self.codes_at(self.find(contexts, tokens))
+
     def successors_of(self, context: int) -> np.ndarray:
         """Tokens that follow a context, through its pointers."""
         at = self._place(self.contexts, np.array([context], np.uint64))
@@ -215,37 +237,56 @@ class Tokens:
         self.begin = np.cumsum(self.sizes) - self.sizes
         self.order = np.argsort(self.high, kind="stable")
 
-    def context(self, length: int) -> np.ndarray:
-        """Hash of the tokens before each position, at most `length`, the end before the first among them."""
-        at = np.arange(len(self.token)) - np.repeat(self.begin, self.sizes)
-        h = np.zeros(len(self.token), np.uint64)
-        for k in range(1, length + 1):
-            before = np.where(at >= k, self.token[np.maximum(np.arange(len(self.token)) - k, 0)], 0)
-            # Beyond the start there is nothing: such positions have a shorter context.
-            value = np.where(at >= k - 1, mix(self.high[before] + np.uint64(k)), np.uint64(0))
-            h = mix(h ^ value)
-        return h
-
-
-def _entries(own: Tokens, k: int):
-    """Distinct (context, token) pairs of order k: sorted hashes, training counts, and each position's pair."""
-    bits = np.uint64(64 - ID_BITS)
-    c, w = own.context(k - 1), own.high[own.token] >> bits
-    order = np.lexsort((w, c))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(c[order]) != 0) | (np.diff(w[order]) != 0)
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    first = order[new]
-    return c[first], w[first], np.bincount(group, own.training, len(first)).astype(np.uint64), group
-
-
-def _dealt(c: np.ndarray, w: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries in order of shards, and where each shard's begin. A context's successors go to several."""
-    spread = mix(c) + (w % np.uint64(SPREAD)) * np.uint64((1 << 64) // SPREAD)
-    shard = ((spread >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+class Grams:
+    """Distinct n-grams of one order in a block, in the order in which they are asked."""
+
+    def __init__(self, parent: np.ndarray, token: np.ndarray, counts: np.ndarray, shard: np.ndarray, where: np.ndarray, group: np.ndarray):
+        self.parent, self.token, self.counts, self.shard = parent, token, counts, shard
+        # Positions of the block that end such an n-gram, and which one.
+        self.where, self.group = where, group
+
+    def cut(self, shards: int) -> list[int]:
+        return np.searchsorted(self.shard, np.arange(shards + 1)).tolist()
+
+
+def _grams(own: Tokens, order: int, shards: int) -> tuple[np.ndarray, list[Grams]]:
+    """Sorted hashes of a block's tokens, and its n-grams of orders 2 to `order`, each under the one it continues.
+
+    Nothing here depends on the order of a block's rows: tokens are numbered by their hashes.
+    """
+    hashes, rank = np.unique(own.high >> np.uint64(64 - ID_BITS), return_inverse=True)
+    token = rank[own.token].astype(np.int64)
+    at = np.arange(len(token)) - np.repeat(own.begin, own.sizes)
+    # Before the first token stands the end.
+    parent = np.append(rank[0], token[:-1]).astype(np.int64)
+    parent[own.begin] = rank[0]
+    where = np.arange(len(token))
+    levels: list[Grams] = []
+    for k in range(2, order + 1):
+        found, group = np.unique(parent[where] * len(hashes) + token[where], return_inverse=True)
+        counts = np.bincount(group, own.training[where], len(found)).astype(np.uint64)
+        above, last = found // len(hashes), found % len(hashes)
+        if k == 2:
+            shard = _shard_of(hashes[above], hashes[last], shards)
+            by = np.argsort(shard, kind="stable")
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            above, last, counts, shard, group = above[by], last[by], counts[by], shard[by], place[group]
+        else:
+            shard = levels[-1].shard[above]
+        levels.append(Grams(above, last, counts, shard, where, group))
+        ends = np.full(len(token), -1)
+        ends[where] = group
+        parent = np.append(-1, ends[:-1])
+        where = np.flatnonzero(at >= k - 1)
+    return hashes, levels
+
+
+def _shard_of(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
+    """A token's successors go to several shards."""
+    spread = mix(first) + (second % np.uint64(SPREAD)) * np.uint64((1 << 64) // SPREAD)
+    return ((spread >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def _log_sums(values: np.ndarray, own: Tokens) -> np.ndarray:
@@ -260,7 +301,6 @@ def score_texts(docs: DataFrame, order: int = ORDER, mu: float = MU, training: C
     """
     given = texts(docs).withColumn("training", trained(F.col("doc_id")) if training is None else training)
     blocks, shards = in_blocks(given)
-    cut_bits = np.uint64(64 - ID_BITS)
 
     def questions(table: pa.Table):
         own = Tokens(table)
@@ -269,14 +309,21 @@ def score_texts(docs: DataFrame, order: int = ORDER, mu: float = MU, training: C
         cut = shard_cuts(own.high[o], shards).tolist()
         out = [(s, 1, pack_parts([pack_sorted(own.high[o[b:e]]), pack_numbers(own.low[o[b:e]]), pack_numbers(counts[o[b:e]])]))
                for s, (b, e) in enumerate(zip(cut, cut[1:]))]
-        for k in range(2, order + 1):
-            c, w, n, _ = _entries(own, k)
-            dealt, cut = _dealt(c, w, shards)
-            for s, (b, e) in enumerate(zip(cut.tolist(), cut[1:].tolist())):
-                i = dealt[b:e]
-                known, sizes = np.unique(c[i] >> cut_bits, return_counts=True)
-                out.append((s, k, pack_parts([
-                    pack_sorted(known), pack_numbers(sizes.astype(np.uint64)), pack_numbers(w[i]), pack_numbers(n[i])])))
+        hashes, levels = _grams(own, order, shards)
+        cuts = [g.cut(shards) for g in levels]
+        for s in range(shards if levels else 0):
+            parts = [slice(c[s], c[s + 1]) for c in cuts]
+            # Tokens are sent once; entries name them by their places.
+            used, place = np.unique(np.concatenate([g.token[p] for g, p in zip(levels, parts)]), return_inverse=True)
+            known, sizes = np.unique(levels[0].parent[parts[0]], return_counts=True)
+            sent = [pack_sorted(hashes[used]), pack_sorted(hashes[known])]
+            for k, (g, p) in enumerate(zip(levels, parts)):
+                if k:
+                    sizes = np.bincount(g.parent[p] - parts[k - 1].start, minlength=parts[k - 1].stop - parts[k - 1].start)
+                n = p.stop - p.start
+                sent += [pack_numbers(x.astype(np.uint64)) for x in (sizes, place[:n], g.counts[p])]
+                place = place[n:]
+            out.append((s, 2, pack_parts(sent)))
         return out
 
     def token_answers(asked: list[bytes]) -> list[bytes]:
@@ -298,13 +345,26 @@ def score_texts(docs: DataFrame, order: int = ORDER, mu: float = MU, training: C
 
     def trie_answers(asked: list[bytes]) -> list[bytes]:
         # What a block asks is sorted by (context, token), as it was sent.
-        parts = [[unpack_sorted(p[0]), *map(unpack_numbers, p[1:])] for p in map(unpack_parts, asked)]
-        contexts = [np.repeat(p[0], p[1].astype(np.int64)) for p in parts]
-        c, w, n = np.concatenate(contexts), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-        seen = n > 0
+        parts = [unpack_parts(a) for a in asked]
+        tokens = [unpack_sorted(p[0]) for p in parts]
+        contexts = [unpack_sorted(p[1]) for p in parts]
+        out: list[list[bytes]] = [[] for _ in parts]
+        parents = None
         with tempfile.TemporaryDirectory() as folder:
-            level = Level(folder, c[seen], w[seen], n[seen])
-            return [pack_numbers(level.lookup(x, p[2]).astype(np.uint64)) for x, p in zip(contexts, parts)]
+            for k in range(2, order + 1):
+                sent = [[unpack_numbers(x).astype(np.int64) for x in p[3 * k - 4 : 3 * k - 1]] for p in parts]
+                contexts = [np.repeat(c, x[0]) for c, x in zip(contexts, sent)]
+                last = [t[x[1]] for t, x in zip(tokens, sent)]
+                seen = [x[2] > 0 for x in sent]
+                level = Level(
+                    f"{folder}/{k}", *(np.concatenate([v[y] for v, y in zip(every, seen)]) for every in (contexts, last, [x[2] for x in sent])),
+                    parents=parents)
+                # The places found are the contexts of the next level.
+                contexts = [level.find(c, w) for c, w in zip(contexts, last)]
+                for o, c in zip(out, contexts):
+                    o.append(pack_numbers(level.codes_at(c).astype(np.uint64)))
+                parents = len(level.codes)
+        return [pack_parts(o) for o in out]
 
     def replies(kind: int, asked: list[bytes]) -> list[bytes]:
         return token_answers(asked) if kind == 1 else trie_answers(asked)
@@ -326,12 +386,10 @@ def score_texts(docs: DataFrame, order: int = ORDER, mu: float = MU, training: C
         before = np.append(0, own.token[:-1])
         before[own.begin] = 0
         held = counts[before].astype(float)
-        for k in range(2, order + 1):
-            x, w, _, group = _entries(own, k)
-            dealt, _ = _dealt(x, w, shards)
-            codes = np.empty(len(x), np.int64)
-            codes[dealt] = np.concatenate([unpack_numbers(a) for a in told(got, k)]).astype(np.int64)
-            n = count_of(codes)[group]
+        codes = [unpack_parts(a) for a in told(got, 2)]
+        for k, grams in enumerate(_grams(own, order, shards)[1]):
+            n = np.zeros(len(own.token))
+            n[grams.where] = count_of(np.concatenate([unpack_numbers(c[k]) for c in codes]))[grams.group]
             # Rounded counts of a long context may pass those of its own tokens' sum by the quantum.
             p = (np.minimum(n, held) + mu * p) / (held + mu)
             held = np.append(0.0, n[:-1])
