@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from wattsift.llm import html_text, near_copies, ngram_model
+from wattsift.llm import html_text, near_copies, ngram_model, spotsigs
 from wattsift.llm.queries import QUERIES
 
 
@@ -83,3 +83,15 @@ def test_trie_walks_from_level_to_level(tmp_path):
     three = ngram_model.Level(f"{tmp_path}/3", places[[0, 2]], np.array([4, 6], np.uint64), np.array([2, 3], np.uint64), parents=3)
     assert three.lookup(places, np.array([4, 4, 6, 4], np.uint64)).tolist() == [2, 0, 3, 0]
     assert three.pointers.get(np.arange(4)).tolist() == [0, 1, 1, 2]
+
+
+def test_texts_without_common_words_look_like_their_edits(spark, docs):
+    english = "this is the story of a king and the queen that was in her castle on the hill near some river " * 5
+    numbers = " ".join(f"k{i},{i * i}" for i in range(150))
+    russian = " ".join(f"слово{i % 50} дело{i}" for i in range(100))
+    chinese = "".join(chr(0x4E00 + i * i % 3000) for i in range(300))
+    texts = [numbers, russian, chinese, "again hello world " * 60]
+    got = {r.doc_id: r for r in spotsigs.fingerprints_and_edits(docs(
+        [(2 * k + 1, t) for k, t in enumerate(texts)] + [(2 * k, english) for k in range(len(texts))])).collect()}
+    for k in range(len(texts)):
+        assert got[2 * k + 1].near_edited > (0.4 if k < 3 else 0.0) and got[2 * k + 1].near_next < got[2 * k + 1].near_edited

@@ -1,10 +1,11 @@
 """SpotSigs document fingerprints, with DataFrame functions only.
 
 Every common word of a text is an anchor. Its signature is the anchor with the chain of the
-next two words that are not common, looked for among the eight words after it. The fingerprint
+next two words that are not common, looked for among the eight words after it. Where no signature begins within
+eight words to both sides, as in tables, repeated words and other languages, each word is an anchor, chained to the next two.
+The fingerprint
 of a text is the set of its signatures, 32-bit hashes in ascending order, written as eight hex
-digits each. A text without a signature has one of its whole content, so equal texts have equal
-fingerprints and different ones without anchors do not look alike.
+digits each. Only a text of one or two words has no chain; it has one signature of its whole content.
 
 Fingerprints are compared by Jaccard similarity. Sets whose lengths differ too much for the
 wanted similarity are never compared: the smaller over the larger length bounds it from above.
@@ -32,6 +33,8 @@ COMMON = (
     "al como con cuando del donde el ella ellos entre era esta este fue ha hay las lo los más me mi muy no o para pero por "
     "porque se según si sin sobre su sus también te tu una unos ya y"
 ).split()
+# Scripts that put no blanks between words: Thai to Myanmar, Khmer, Chinese, Japanese, Korean.
+UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff]"
 CHAIN = 2
 REACH = 8
 # Rows of a block in which next documents are found; there are never more blocks than the second.
@@ -40,15 +43,28 @@ MAX_BLOCKS = 16_384
 PIECES = 64
 
 
+def parts(text: Column) -> Column:
+    """The words of a text; characters of scripts without blanks are words of their own."""
+    return words(F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text))
+
+
 def signatures(found: Column, text: Column) -> Column:
     """The sorted set of signatures of an array of words."""
     spots = F.transform(places(F.size(found)), lambda i: F.when(
         F.get(found, i - 1).isin(*COMMON),
         _chain(F.get(found, i - 1), F.filter(F.slice(found, i + 1, F.lit(REACH)), lambda w: ~w.isin(*COMMON)))))
-    kept = F.array_sort(F.array_distinct(F.filter(spots, lambda s: s.isNotNull())))
+    # One element, so that the spots are worked out once and not for every word.
+    kept = F.get(F.transform(F.array(spots), lambda spots: F.array_sort(F.array_distinct(F.filter(
+        F.concat(spots, _bare(found, spots)), lambda s: s.isNotNull())))), F.lit(0))
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.hash(F.lit("whole"), text)))
 
 
+def _bare(found: Column, spots: Column) -> Column:
+    return F.transform(places(F.size(found) - CHAIN), lambda i: F.when(
+        F.forall(F.slice(spots, F.greatest(i - REACH, F.lit(1)), F.lit(2 * REACH + 1)), lambda s: s.isNull()),
+        F.hash(F.lit("bare"), *(F.get(found, i + k - 1) for k in range(CHAIN + 1)))))
+
+
 def _chain(anchor: Column, after: Column) -> Column:
     return F.when(F.size(after) >= CHAIN, F.hash(anchor, *(F.get(after, F.lit(k)) for k in range(CHAIN))))
 
@@ -66,7 +82,7 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 
 def with_signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text and signatures of every row."""
-    return texts(docs).withColumn("words", words(F.col("text"))).select(
+    return texts(docs).withColumn("words", parts(F.col("text"))).select(
         "doc_id", "text", signatures(F.col("words"), F.col("text")).alias("sigs"))
 
 
@@ -152,7 +168,7 @@ def fingerprints_and_edits(docs: DataFrame) -> DataFrame:
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sigs", "next_sigs")
-    rows = rows.withColumn("words", words(F.col("edited"))).select(
+    rows = rows.withColumn("words", parts(F.col("edited"))).select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sigs", "next_sigs",
         signatures(F.col("words"), F.col("edited")).alias("edited_sigs"))
     return rows.select(
