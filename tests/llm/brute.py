@@ -101,3 +101,92 @@ def model_scores(docs, in_training, order, mu):
             score += math.log10(p)
         out.append((d, len(x), known, total, base, score))
     return out
+
+
+def jaccard_components(docs, size=5, least=0.8):
+    """The smallest id reachable over links of that likeness of the sets of shingles; equal sets are linked."""
+    sets = []
+    for d, text in docs:
+        w = (text or "").translate(LOW).encode().split()
+        sets.append((d, frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()))
+    root = {d: d for d, _ in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    holders: dict = {}
+    for k, (_, s) in enumerate(sets):
+        for x in s or [None]:
+            holders.setdefault(x, []).append(k)
+    tried = set()
+    for k, (a, s) in enumerate(sets):
+        for j in {j for x in s or [None] for j in holders[x] if j < k}:
+            t = sets[j][1]
+            pair = min(a, sets[j][0]), max(a, sets[j][0])
+            if pair not in tried and (s == t or len(s & t) >= least * len(s | t)):
+                tried.add(pair)
+                x, y = find(a), find(sets[j][0])
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in root}
+
+
+def fill_middle(docs):
+    out = []
+    for d, text in docs:
+        text = text or ""
+        w = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+        h = sha(f"1:{'' if d is None else d}")
+        h1, h2, h3, h4 = (int(h[i : i + 8], 16) for i in (0, 8, 16, 24))
+        if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+            out.append((d, len(w), "plain", None, None, sha(text), sha(text)))
+            continue
+        a, b = sorted((h1 % (len(w) + 1), h2 % (len(w) + 1)))
+        p, m, s = "".join(w[:a]), "".join(w[a:b]), "".join(w[b:])
+        form = "spm" if h4 % 100 < 20 else "psm"
+        made = f"<S>{s}<P>{p}<M>{m}" if form == "spm" else f"<P>{p}<S>{s}<M>{m}"
+        out.append((d, len(w), form, len(p), len(m), sha(made), sha(text)))
+    return out
+
+
+def best_fit_decreasing(lengths, window):
+    """How many windows plain best-fit decreasing needs."""
+    from bisect import bisect_left, insort
+
+    room: list[int] = []
+    n = 0
+    for x in sorted(lengths, reverse=True):
+        k = bisect_left(room, x)
+        left = room.pop(k) if k < len(room) else window
+        n += left == window
+        if left > x:
+            insort(room, left - x)
+    return n
+
+
+def divergence(docs, top=200):
+    """Every kept term for every group, as the definition says; docs are (lang, source, text)."""
+    docs = [(lang or "", source or "", re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", (text or "").translate(LOW))) for lang, source, text in docs]
+    out = []
+    for lang in {d[0] for d in docs}:
+        own = [d for d in docs if d[0] == lang]
+        holders = Counter(t for _, _, w in own for t in set(w))
+        kept = {t for t, n in holders.items() if n >= 3}
+        counts = {s: Counter(t for _, x, w in own if x == s for t in w if t in kept) for s in {d[1] for d in own}}
+        whole = sum(counts.values(), Counter())
+
+        def shares(count):
+            total = sum(count.values()) + len(kept)
+            return {t: 1 + 10**9 * (count[t] + 1) // total for t in kept}
+
+        f = lambda p, q: (p - q) ** 2 // q
+        p, q = {s: shares(c) for s, c in counts.items()}, shares(whole)
+        for s in counts:
+            parts = {
+                "pair": [(x, sum(f(p[s][t], p[x][t]) for t in kept)) for x in counts if x != s],
+                "term": [(t, f(p[s][t], q[t])) for t in kept if counts[s][t] and p[s][t] > q[t]]}
+            for part, rows in parts.items():
+                rows = sorted(rows, key=lambda r: (-r[1], r[0].encode()))
+                out += [(lang, s, part, x, v, k) for k, (x, v) in enumerate(rows, 1) if part == "pair" or k <= top]
+    return out

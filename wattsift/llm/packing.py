@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wattsift.llm.tables import slices, texts
-from wattsift.llm.tokens import with_end, word_ids
+from wattsift.llm.tokens import text_ids, with_end
 
 WINDOW = 2048
 END_ID = 1
@@ -94,7 +94,7 @@ def pack_batches(
     batches: Iterator[pa.RecordBatch], task: int, tokenizer: str | None, window: int, end_id: int, buffer_tokens: int,
 ) -> Iterator[list[tuple[int, list[tuple], np.ndarray]]]:
     """Lists of (sequence id, pieces, ids) of what a task reads."""
-    encoder = word_ids(tokenizer)
+    encoder = text_ids(tokenizer)
     count = 0
     pieces: list[tuple] = []  # doc_id, start, length, doc_tokens, ids
     held = 0

@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from wattsift.llm.anchors import remove_repeats
 from wattsift.llm.chat import chat_digests
 from wattsift.llm.decontaminate import contamination
+from wattsift.llm.divergence import divergence
+from wattsift.llm.fill_middle import fill_in_middle_digests
 from wattsift.llm.html_text import main_text
 from wattsift.llm.ngram_model import score_texts
 from wattsift.llm.packing import packed_pieces
+from wattsift.llm.pair_packing import packed_pieces as pair_packed_pieces
 from wattsift.llm.quality import classify
 from wattsift.llm.simhash import near_duplicates
 from wattsift.llm.spotsigs import fingerprints_and_edits
@@ -62,6 +65,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_pair_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_packed_pieces(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -73,4 +88,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_anchors": op9_anchors,
     "op10_token_files": op10_token_files,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_pair_packing": op12_pair_packing,
+    "op13_divergence": op13_divergence,
 }

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattsift.llm.tables import slices, texts
-from wattsift.llm.tokens import with_end, word_ids
+from wattsift.llm.tokens import text_ids, with_end
 from wattsift.sources.staging import staging_folder
 
 MAGIC = b"WSBP"
@@ -126,7 +126,7 @@ def write_token_files(
         names: list = []
         sizes: list[np.ndarray] = []
         held: list[np.ndarray] = []
-        encoder = word_ids(tokenizer)
+        encoder = text_ids(tokenizer)
 
         def image():
             nonlocal number, start

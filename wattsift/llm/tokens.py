@@ -1,89 +1,232 @@
 """Token ids of whole texts by a public tokenizer file.
 
-The tokenizer never looks across a space or a line feed, so every distinct word is encoded once
-per worker and texts are put together from the words' ids. The cache is emptied when it is full.
+Texts are cut into segments at blanks where the file's rules never look across. A segment that is seen again
+is looked up; a new one of plain letters, digits and signs is cut further, by the file's own rule, into
+units, which are looked up in their turn, and only new units reach the tokenizer. What was used
+last is kept in two generations: when the newer one is full it becomes the older one, and
+what is found in the older one moves over. A file whose rules are not known here gets whole texts.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import re
+from collections import defaultdict
+from collections.abc import Callable
+from itertools import chain, count, islice
+from typing import NamedTuple
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from wattsift.llm.tables import kept
 
-WORD_FILE = "word_bpe_49k.json"
-CACHED_WORDS = 700_000
-# Stands between words that are encoded together. No word holds it: those that do go alone.
-MARK = "\x01"
-
-
-class WordIds:
-    def __init__(self, path: str, limit: int = CACHED_WORDS):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if MARK not in w] if len(self.mark) == 1 else []
-        alone = [w for w in words if MARK in w] if plain else words
-        # Many words in one text, with a mark between any two; a few thousand words a text.
-        parts = [plain[i : i + 4000] for i in range(0, len(plain), 4000)]
-        joined = [f" {MARK} ".join(p) for p in parts]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(found.ids, np.uint32)
-            cut = np.flatnonzero(ids == self.mark[0])
-            begin, end = np.append(0, cut + 1), np.append(cut, len(ids))
-            self._add(part, ids, begin, end - begin)
-        for word in alone:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
-            self._add([word], ids, np.zeros(1, np.int64), np.array([len(ids)]))
-
-    def _add(self, words: list[str], ids: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> None:
-        first = len(self.place)
-        while first + len(words) > len(self.starts):
+WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
+# Characters of a generation's keys, each key counted with so many more.
+SEGMENT_CHARS, UNIT_CHARS, KEY_CHARS = 12_000_000, 9_000_000, 26
+# Letters here are those of ASCII and Latin-1; what has others is left to the tokenizer.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+# No sign that begins a special token either.
+PLAIN = re.compile(f"[\x01-;=-\x7f{LETTERS}]*")
+# Stands between units; no unit holds it. So many units are encoded as one text.
+MARK, JOINED = "\0", 2000
+SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+WORD_UNIT = re.compile(rf"{SHORT}|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9\x00]+|\x00", re.A)
+BYTE_UNIT = re.compile(
+    rf"{SHORT}| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9\x00]+|\s+(?![^\s\x00])|\s+|\x00", re.A)
+# What the byte-level rule does not split at every blank: other blanks and control characters, runs of blanks.
+_BYTE_ODD = (
+    r"[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]{3}|[ \n]{2}\z")
+_BEFORE_WORD = re.compile(r"(?= \S)")
+# The rules of the two files, as they state them.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+WORD_RULES = (
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True}, _BYTES | {"use_regex": False}]})
+BYTE_RULES = (None, _BYTES | {"use_regex": True})
+
+
+def word_segments(texts: pa.StringArray) -> pa.ListArray:
+    return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
+
+def byte_segments(texts: pa.StringArray) -> pa.ListArray:
+    """A blank belongs to the word after it; a line feed is a segment of its own."""
+    return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0"), MARK)
+
+
+class Rules(NamedTuple):
+    """`odd` texts are cut by `odd_segments`, all others by `segments`."""
+
+    segments: Callable[[pa.StringArray], pa.ListArray] | None = None
+    unit: re.Pattern | None = None
+    lower: bool = False
+    odd: str | None = None
+    odd_segments: Callable[[str], list[str]] = lambda text: [text]
+
+
+class Generation:
+    """Ids by key. A key that is looked up has a place from then on, and gets its ids by `add`."""
+
+    def __init__(self):
+        self.place: dict[str, int] = defaultdict(count().__next__)
+        self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.flat, self.used, self.load = np.zeros(1 << 14, np.uint32), 0, 0
+
+    def places(self, keys: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The keys' places, and those that are new."""
+        before = len(self.place)
+        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+        new = list(islice(reversed(self.place), len(self.place) - before))
+        while len(self.place) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes))
+        return at, new
+
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.place.update(zip(words, range(first, first + len(words))))
-        self.starts[first : first + len(words)] = begin + self.used
-        self.sizes[first : first + len(words)] = sizes
+        self.starts[at], self.sizes[at] = np.cumsum(sizes) - sizes + self.used, sizes
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
+        self.load += KEY_CHARS * len(keys) + sum(map(len, keys))
 
-    def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after the other, and how many each text has."""
-        split = [t.replace("\n", " ").split(" ") for t in found]
-        words = [w for ws in split for w in ws]
-        new = set(words).difference(self.place)
-        if len(self.place) + len(new) > self.limit:
-            self.clear()
-            new = set(words)
-        if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
-        last = np.cumsum([len(ws) for ws in split])
-        upto = ends[last - 1] if len(last) else np.zeros(0, np.int64)
-        return ids, np.diff(upto, prepend=0)
+        return self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)], sizes
+
+
+class Known:
+    """Ids by key; `learn` gives (keys, ids, sizes) for keys that are in neither generation."""
 
+    def __init__(self, learn: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], chars: int):
+        self.learn, self.chars = learn, chars
+        self.new, self.old = Generation(), Generation()
 
-def word_ids(path: str | None = None) -> WordIds:
-    """The worker's encoder for a tokenizer file; None: the public file that is installed."""
+    def places(self, keys: list[str]) -> np.ndarray:
+        """Where in the newer generation all keys are."""
+        if self.new.load > self.chars:
+            self.old, self.new = self.new, Generation()
+        at, missing = self.new.places(keys)
+        if again := [k for k in missing if k in self.old.place]:
+            self.new.add(again, *self.old.ids(self.old.places(again)[0]))
+            missing = [k for k in missing if k not in self.old.place]
+        if missing:
+            self.new.add(*self.learn(missing))
+        return at
+
+
+def _counts(sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Sums of consecutive sizes, so many at a time as `groups` says."""
+    upto = np.append(0, np.cumsum(sizes))
+    return np.diff(upto[np.append(0, np.cumsum(groups))])
+
+
+class TextIds:
+    def __init__(self, path: str, segment_chars: int = SEGMENT_CHARS, unit_chars: int = UNIT_CHARS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        stated = json.loads(self.tokenizer.to_str())
+        self.special = [t["content"] for t in stated["added_tokens"]]
+        rules = stated["normalizer"], stated["pre_tokenizer"]
+        self.rules = Rules()
+        if rules == WORD_RULES:
+            self.rules = Rules(word_segments, WORD_UNIT, True)
+        elif rules == BYTE_RULES:
+            self.rules = Rules(byte_segments, BYTE_UNIT, False, _BYTE_ODD, _BEFORE_WORD.split)
+        # Units are cut, and made small, already.
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.normalizer = normalizers.Sequence([])
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(MARK, "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.mark = self.pieces.encode(MARK, add_special_tokens=False).ids
+        if len(self.mark) != 1 or not all("<" in s for s in self.special):
+            self.rules = self.rules._replace(unit=None)
+        self.units = Known(self._learn_units, unit_chars)
+        self.segments = Known(self._learn, segment_chars)
+
+    def _encoded(self, tokenizer, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+    def _learn_units(self, keys: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        # A mark after every unit.
+        ids, _ = self._encoded(self.pieces, [
+            MARK.join([*keys[i : i + JOINED], ""]) for i in range(0, len(keys), JOINED)])
+        marked = ids == self.mark[0]
+        return keys, ids[~marked], np.diff(np.flatnonzero(marked), prepend=-1) - 1
+
+    def _learn(self, keys: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        unit, odd = self.rules.unit, keys
+        plain: list[str] = []
+        if unit:
+            plain = list(filter(PLAIN.fullmatch, keys))
+            odd = list(set(keys).difference(plain)) if len(plain) < len(keys) else []
+        ids, sizes = self._encoded(self.tokenizer, odd)
+        if not plain:
+            return odd, ids, sizes
+        joined = MARK.join(plain)
+        cut = unit.findall(joined.lower() if self.rules.lower else joined)
+        marks = np.flatnonzero(np.fromiter((u == MARK for u in cut), bool, len(cut)))
+        units = [u for u in cut if u != MARK]
+        # Units between the marks.
+        groups = np.diff(np.concatenate([[-1], marks, [len(cut)]])) - 1
+        at = self.units.places(units)
+        more, each = self.units.new.ids(at)
+        return odd + plain, np.concatenate([ids, more]), np.concatenate([sizes, _counts(each, groups)])
+
+    def _odd(self, texts: pa.StringArray) -> np.ndarray:
+        odd = np.full(len(texts), self.rules.segments is None)
+        for found in [pc.match_substring(texts, s) for s in self.special] + (
+                [pc.match_substring_regex(texts, self.rules.odd)] if self.rules.odd else []):
+            odd |= found.to_numpy(zero_copy_only=False)
+        return odd
+
+    def _cut(self, text: str) -> list[str]:
+        return [text] if any(s in text for s in self.special) else self.rules.odd_segments(text)
+
+    def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, and how many each text has."""
+        texts = pa.array(found, pa.string())
+        odd = self._odd(texts)
+        lists = [self._cut(t) for t, o in zip(found, odd) if o] if odd.any() else []
+        keys, at, groups = list(chain.from_iterable(lists)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not odd.all():
+            cut = self.rules.segments(texts.filter(pa.array(~odd)) if lists else texts)
+            groups = np.diff(cut.offsets.to_numpy())
+            coded = cut.flatten().dictionary_encode()
+            words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            places = self.segments.places(words + keys)
+            at = np.concatenate([places[coded.indices.to_numpy()], places[len(words) :]])
+        elif keys:
+            at = self.segments.places(keys)
+        ids, sizes = self.segments.new.ids(at)
+        sizes = _counts(sizes, np.concatenate([groups, np.fromiter(map(len, lists), np.int64, len(lists))]))
+        if not lists:
+            return ids, sizes
+        # Back from the others, then the odd, to the order given.
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        back = np.argsort(np.argsort(odd, kind="stable"), kind="stable")
+        return np.concatenate([parts[i] for i in back]), sizes[back]
+
+
+def text_ids(path: str | None = None, name: str = WORD_FILE) -> TextIds:
+    """The worker's encoder for a tokenizer file; None: the public file of that name that is installed."""
     if path is None:
         import public_tokenizers
 
-        path = public_tokenizers.path(WORD_FILE)
-    return kept(f"word_ids_{path}", lambda: WordIds(path))
+        path = public_tokenizers.path(name)
+    return kept(f"text_ids_{path}", lambda: TextIds(path))
 
 
 def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
