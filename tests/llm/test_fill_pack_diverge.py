@@ -213,8 +213,10 @@ def test_rows_of_a_chunk_meet_once(spark, small):
 def test_merged_batches_hold_back_rows_that_go_on():
     import pyarrow as pa
 
-    made = [divergence.count_chunks(["en", "en", "en", "de"], ["a", "b", "a", "c"], [b"x y x", b"x", b"y z", b"y z"], [at, at + 1, at + 2, at + 3]) for at in (0, 10)]
-    rows = sorted((r for b in made for r in b.to_pylist()), key=lambda r: (r["word"], r["lang"]))
+    made = [divergence.count_chunks(pa.table({
+        "lang": ["en", "en", "en", "de"], "source": ["a", "b", "a", "c"], "text": ["X y x", "x", "y\tz", " y z "],
+        "row": [at, at + 1, at + 2, at + 3]})) for at in (0, 10)]
+    rows = sorted((r for b in made for r in b.to_pylist() if r["word"]), key=lambda r: (r["word"], r["lang"]))
     batches = [pa.RecordBatch.from_pylist(rows[i : i + 2], schema=made[0].schema) for i in range(0, len(rows), 2)]
     got = [r for b in divergence.merged(iter(batches)) for r in b.to_pylist()]
     assert [(r["word"], r["lang"], r["documents"], {u["source"]: u["n"] for u in r["uses"]}) for r in got] == [

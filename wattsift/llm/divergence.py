@@ -24,14 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattsift.llm.tables import ASCII_LOWER, give_back
+from wattsift.llm.tables import give_back
 from wattsift.sources.staging import stage
 
 SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCUMENTS = 3
 TOP = 200
 UNIT = 1_000_000_000
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 16_000_000
 GATHERED = "word string, lang string, documents array<long>, uses array<struct<source: string, n: long>>"
 
 
@@ -60,10 +60,12 @@ def gathered(
     words: pa.Array, langs: pa.Array, owner: np.ndarray, document_owner: np.ndarray, documents: np.ndarray,
     use_owner: np.ndarray, sources: pa.Array, n: np.ndarray,
 ) -> pa.RecordBatch:
-    """One row per owner 0, 1, ...: `owner` is sorted, one for each word and lang; documents and uses have owners of their own."""
+    """One row per owner 0, 1, ...: `owner` is sorted, one for each word and lang; documents and uses have sorted owners of their own."""
     first = np.flatnonzero(_begins(owner))
-    order = np.lexsort((documents, document_owner))
-    of, document = document_owner[order], documents[order]
+    of, document = document_owner, documents
+    if ((of[1:] == of[:-1]) & (document[1:] < document[:-1])).any():
+        order = np.lexsort((document, of))
+        of, document = of[order], document[order]
     new = _begins(of, document)
     of, document = of[new], document[new]
     # The place of a document among those of its owner.
@@ -109,42 +111,44 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def count_chunks(langs: list[str], sources: list[str], found: list[bytes], rows: list[int]) -> pa.RecordBatch:
-    """The chunks of some documents, by language."""
-    split = [t.translate(ASCII_LOWER).split() for t in found]
-    flat = [w for words in split for w in words]
-    place = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-    code = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
-    doc = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
-    # The chunks of every document, counted.
-    key, n = np.unique(code * len(split) + doc, return_counts=True)
-    code, doc = key // len(split), key % len(split)
-    lang = pa.array(langs, pa.string())
-    order = np.lexsort((_codes(lang)[doc], code))
-    code, doc, n = code[order], doc[order], n[order]
+def count_chunks(given: pa.Table) -> pa.RecordBatch:
+    """The chunks of some documents (lang, source, text, row), by language."""
+    given = given.sort_by([("lang", "ascending"), ("source", "ascending")]).combine_chunks()
+    lang, source, text, row = (given.column(c).combine_chunks() for c in ("lang", "source", "text", "row"))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    coded = split.flatten().dictionary_encode()
+    doc = _owners(split, np.arange(len(split)))
+    # The chunks of every document, counted. Documents stand by language and source, so equal groups are neighbours.
+    key, n = np.unique(coded.indices.to_numpy().astype(np.int64) * max(1, len(split)) + doc, return_counts=True)
+    del split, doc
+    code, doc = key // max(1, len(lang)), key % max(1, len(lang))
     owner = np.cumsum(_begins(code, _codes(lang)[doc])) - 1
     at = pa.array(doc)
     return gathered(
-        pa.array(list(place), pa.binary()).cast(pa.string()).take(pa.array(code)), lang.take(at), owner, owner, np.array(rows, np.int64)[doc],
-        owner, pa.array(sources, pa.string()).take(at), n)
+        coded.dictionary.take(pa.array(code)), lang.take(at), owner, owner, row.to_numpy()[doc], owner, source.take(at), n)
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
     """Chunks by language, several rows of each; every row of the documents is a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).to_pylist()]
-            for lang, source, text, row in zip(*columns):
-                held.append((lang, source, text.as_py(), row))
-                size += len(held[-1][2])
-                if size >= SLICE_BYTES:
-                    yield count_chunks(*map(list, zip(*held)))
+            at = 0
+            # Batches may hold many long texts.
+            ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64))
+            while at < batch.num_rows:
+                done = int(ends[at - 1]) if at else 0
+                upto = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES - size, side="right")))
+                held.append(batch.slice(at, upto - at))
+                size += int(ends[upto - 1]) - done
+                at = upto
+                if size >= SLICE_BYTES or at < batch.num_rows:
+                    yield count_chunks(pa.Table.from_batches(held))
                     held, size = [], 0
         if held:
-            yield count_chunks(*map(list, zip(*held)))
+            yield count_chunks(pa.Table.from_batches(held))
         give_back()
 
     given = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")),
