@@ -432,6 +432,9 @@ ORACLE |= {
         ORDER BY res.anomaly_score DESC, consumer_id LIMIT 1000""", "res"),
     "json_round_trip": _sql("SELECT * FROM raw", "raw"),
     "csv_round_trip": _sql("SELECT * REPLACE (nullif(KWH, '') AS KWH) FROM raw", "raw"),
+    "csv_malformed": _sql(
+        """SELECT * REPLACE (nullif(KWH, '') AS KWH, CASE WHEN KWH LIKE '%3' THEN NULL ELSE Consumer_Type END AS Consumer_Type),
+        (SELECT count(*) FROM raw WHERE KWH LIKE '%7') AS removed_malformed FROM raw WHERE KWH IS NULL OR KWH NOT LIKE '%7'""", "raw"),
     "labels_round_trip": _sql(
         "SELECT consumer_id AS Consumer_ID, is_anomaly AS Is_Anomaly, status AS Anomaly_Type FROM res", "res"),
     "runs_round_trip": _sql(

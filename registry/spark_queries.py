@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import replace
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,16 +25,17 @@ from wattsift.operators import forest as M
 from wattsift.operators import readings as D
 from wattsift.operators import results as G
 from wattsift.operators import scoring as S
+from wattsift.operators.quantiles import exact_quantiles
 from wattsift.operators.scaling import fit_scaler
 from wattsift.plans.analyze import analyze
 from wattsift.sources.files import (
-    preview, preview_rows, read_json, read_readings_csv, write_csv, write_json, write_labels_csv,
+    malformed_lines, preview, preview_rows, read_json, read_readings_csv, write_csv, write_json, write_labels_csv,
 )
 from wattsift.sources.layouts import standardize_columns
-from wattsift.operators.quantiles import exact_quantiles
+from wattsift.sources.pages import store_pages, stored_page
 from wattsift.sources.reports import report_tables, summary_table
 from wattsift.sources.runs import (
-    read_consumers, run_by_id, run_row, save_consumers, save_run, stored_consumers_page, user_runs,
+    read_consumers, read_runs, record_run, run_by_id, run_row, save_consumers, save_run, stored_consumers_page, user_runs,
 )
 from wattsift.sources.staging import stage, staging_folder
 from wattsift.sources.stored import read_readings, save_readings
@@ -214,7 +216,7 @@ def q_region_counts(spark, sf):
 
 
 def q_region_map(spark, sf):
-    return U.region_map(consumers(spark, sf)).select(F.explode("regions").alias("region", "consumers"))
+    return U.region_map(consumers(spark, sf))
 
 
 def q_feature_summary(spark, sf):
@@ -246,11 +248,11 @@ def q_population_thresholds(spark, sf):
 
 
 def q_quantiles_counted(spark, sf):
-    """The population's quantiles by counting, as beyond the size of the built-in percentile."""
+    """The population's quantiles by themselves."""
     wanted = {
         "q10_avg": ("avg_consumption", 0.1), "q70_avg": ("avg_consumption", 0.7), "q90_avg": ("avg_consumption", 0.9),
         "q90_cv": ("cv_consumption", 0.9), "q95_night": ("night_day_ratio", 0.95)}
-    found = exact_quantiles(staged_features(spark, sf), wanted, small_rows=0)
+    found = exact_quantiles(staged_features(spark, sf), wanted)
     return rounded(spark.createDataFrame(sorted(found.items()), "name string, value double"))
 
 
@@ -434,10 +436,9 @@ def q_summary_counts(spark, sf):
 
 def q_summary(spark, sf):
     """The whole summary, its lists as text."""
-    df = G.summarize(results(spark, sf))
-    counts = F.array_sort(F.transform(
-        F.map_entries("zone_anomaly_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
-    return rounded(df.withColumn("zone_anomaly_counts", F.array_join(counts, ",")).withColumn(
+    found = results(spark, sf)
+    counts = ",".join(f"{r['region']}={r['flagged']}" for r in G.zone_flag_counts(found).orderBy("region").collect())
+    return rounded(G.summarize(found).withColumn("zone_anomaly_counts", F.lit(counts)).withColumn(
         "high_risk_zones", F.array_join("high_risk_zones", ",")))
 
 
@@ -458,8 +459,10 @@ def q_results_page(spark, sf):
 
 
 def q_deep_page(spark, sf):
-    """The same page by the way of deep pages."""
-    return G.results_page(results(spark, sf), PAGE, PAGE_ROWS, deep_rows=0)
+    """The same page of stored results."""
+    path = scratch(spark, "pages")
+    store_pages(results(spark, sf), path)
+    return G.page_rows(stored_page(spark, path, PAGE, PAGE_ROWS)[0])
 
 
 def q_results_filtered(spark, sf):
@@ -513,7 +516,7 @@ def q_stored_consumers_long_page(spark, sf):
     """A stored page of more than 500 rows."""
     path = scratch(spark, "stored")
     save_consumers(results(spark, sf), "run-1", path)
-    page, total = stored_consumers_page(read_consumers(spark, path), "run-1", 1, 1000)
+    page, total = stored_consumers_page(spark, path, "run-1", 1, 1000)
     return rounded(page.select("consumer_id", "anomaly_score").withColumn("total", F.lit(total)))
 
 
@@ -538,23 +541,50 @@ def q_labels_round_trip(spark, sf):
     return spark.read.option("header", True).csv(path).withColumn("Is_Anomaly", F.col("Is_Anomaly").cast("boolean"))
 
 
+def _stored_runs(spark, path):
+    row = run_by_id(read_runs(spark, f"{path}/analyses"), "a1", "u1")
+    stored = read_consumers(spark, f"{path}/consumers").filter("analysis_ref = 'a1'").groupBy("analysis_ref").agg(
+        F.count(F.lit(1)).alias("stored"), F.count_if("is_anomaly").alias("flagged"))
+    return rounded(row.join(stored, row["analysis_id"] == stored["analysis_ref"]).select(
+        "user_id", "analysis_id", "filename", "total_consumers", "anomalies_detected", "contamination", "stored", "flagged"))
+
+
 def q_runs_round_trip(spark, sf):
     """A run's row and its consumers, stored and read back by id."""
     path = scratch(spark, "runs")
     found = results(spark, sf)
-    save_run(run_row(G.summarize(found), "u1", "a1", "f.csv", CONTAMINATION, False), f"{path}/analyses")
     save_consumers(found, "a1", f"{path}/consumers")
-    row = run_by_id(spark.read.parquet(f"{path}/analyses"), "a1", "u1")
-    stored = read_consumers(spark, f"{path}/consumers").filter("analysis_ref = 'a1'").groupBy("analysis_ref").agg(
-        F.count(F.lit(1)).alias("stored"), F.count_if("is_anomaly").alias("flagged"))
-    return rounded(row.join(stored, row["analysis_id"] == stored["analysis_ref"]).select(
-        "user_id", "analysis_id", "filename", "total_consumers", "anomalies_detected", "contamination", "stored", "flagged"))
+    save_run(run_row(G.summarize(found), "u1", "a1", "f.csv", CONTAMINATION, False), "a1", f"{path}/analyses")
+    return _stored_runs(spark, path)
+
+
+def q_runs_recorded_twice(spark, sf):
+    """The same after a job that was repeated: each row is there once."""
+    path = scratch(spark, "runs")
+    found = stage(results(spark, sf), "results")
+    finished = SimpleNamespace(
+        analysis_id="a1", results=found, summary=G.summarize(found), contamination=CONTAMINATION, used_autoencoder=False)
+    for _ in range(2):
+        record_run(finished, "u1", "f.csv", path)
+    return _stored_runs(spark, path)
+
+
+def q_csv_malformed(spark, sf):
+    """Lines of other lengths than the header: longer ones are quarantined and counted, shorter ones lack values."""
+    path = scratch(spark, "csv")
+    given = raw(spark, sf)
+    line = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in given.columns])
+    line = F.when(F.col("KWH").endswith("7"), F.concat(line, F.lit(",more"))).when(
+        F.col("KWH").endswith("3"), F.substring_index(line, ",", len(given.columns) - 1)).otherwise(line)
+    # A separator that no line holds leaves the lines as they are.
+    given.select(line.alias(",".join(given.columns))).write.option("header", True).option("sep", "\x01").csv(path)
+    return C.with_malformed(read_readings_csv(spark, path), malformed_lines(spark, path))
 
 
 def q_stored_consumers_page(spark, sf):
     path = scratch(spark, "stored")
     save_consumers(results(spark, sf), "run-1", path)
-    page, _ = stored_consumers_page(read_consumers(spark, path), "run-1", PAGE, PAGE_ROWS, "Normal")
+    page, _ = stored_consumers_page(spark, path, "run-1", PAGE, PAGE_ROWS, "Normal")
     return rounded(page.withColumn("cv_consumption", F.col("features")["cv_consumption"]).drop("features"))
 
 

@@ -136,3 +136,12 @@ def test_one_part_and_four_train_alike(spark):
     assert four < 0.1 * np.median(list(errors(df, A.Autoencoder(fitted.params, scaler, A.first_state(fitted.params))).values()))
     top = [set(sorted(f, key=f.get)[-100:]) for f in found]
     assert len(top[0] & top[1]) >= 50 and {f"c{i:05d}" for i in range(5)} <= top[0] & top[1]
+
+
+def test_every_task_has_one_part(spark):
+    """The rows of a part are placed by its number; a hash of it would leave tasks without any."""
+    df = spark.range(4000).selectExpr("id", "CAST(id % 16 AS INT) AS part").repartitionById(16, "part")
+    placed = df.select("part", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(placed) == len({r.task for r in placed}) == 16
+    plan = df.groupBy("part").applyInPandas(lambda x: x[:1], "id long, part int")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

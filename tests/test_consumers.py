@@ -4,7 +4,9 @@ import statistics
 
 import pytest
 
+from wattsift.operators import cleaning as C
 from wattsift.operators import consumers as U
+from wattsift.plans.analyze import count_consumers
 
 T0 = dt.datetime(2024, 1, 5, 23)  # a Friday night
 SCHEMA = "consumer_id string, timestamp timestamp_ntz, consumption double, region string"
@@ -69,7 +71,37 @@ def test_readings_are_hash_aggregated(spark):
     plan = U.aggregate_consumers(df)._jdf.queryExecution().executedPlan().toString()
     # The level that sees readings, below the lowest exchange, must not sort them.
     lowest = plan.split("Exchange")[-1]
-    assert "partial_var_pop" in lowest and "SortAggregate" not in lowest
+    assert "partial_var_pop" in lowest and "SortAggregate" not in plan
+
+
+def test_readings_cross_the_network_once(spark):
+    raw = spark.createDataFrame(
+        [("a", "2024-01-05 23:00:00", "1.0", "UP")], "Consumer_ID string, Timestamp string, KWH string, State string")
+    plan = count_consumers(raw, False)._jdf.queryExecution().executedPlan().toString()
+    # The levels of the consumer aggregate, and the distinct, lie between the one shuffle of readings and that of their days.
+    days, readings = plan.split("Exchange hashpartitioning")[1:]
+    assert "partial_var_pop" in days and "partial_count" in days and "FileScan" not in days and "SortAggregate" not in plan
+    assert readings.startswith("(consumer_id") and "_slot" in readings.split(",")[1] and "Aggregate" not in readings
+
+
+def test_slots_do_not_change_consumers(spark):
+    import random
+
+    rng = random.Random(4)
+    stamps = [f"2024-0{rng.randint(1, 3)}-{rng.randint(1, 28):02d} {rng.randint(0, 23):02d}:30:00" for _ in range(150)] + [None, "soon", "2024-01-01"]
+    rows = [(rng.choice(["a", "b", "hot", "hot", "hot", None]), rng.choice(stamps), str(rng.choice([1.5, 2, -1, "x", 1e6, None])),
+             rng.choice(["UP", "KA", "??", None])) for _ in range(4000)]
+    raw = spark.createDataFrame(rows, "Consumer_ID string, Timestamp string, KWH string, State string").repartition(7)
+    counted = count_consumers(raw, False).collect()
+    assert len({r.consumer_id for r in counted}) == len(counted) == 4
+    plain = {r.consumer_id: r for r in U.aggregate_consumers(C.clean_readings(raw, False)).collect()}
+    for r in counted:
+        if r.consumer_id is None:
+            continue
+        for name in plain[r.consumer_id].asDict():
+            want = plain[r.consumer_id][name]
+            assert r[name] == (pytest.approx(want, rel=1e-12) if isinstance(want, float) else want), name
+    assert C.report_from_counts(spark.createDataFrame(counted), 4).first() == C.clean_report(raw, False).first()
 
 
 def test_dataset_statistics_and_region_map(spark):
@@ -78,7 +110,7 @@ def test_dataset_statistics_and_region_map(spark):
         "consumer_id string, avg_consumption double, reading_count long, region string")
     r = U.dataset_statistics(df).first()
     assert (r.total_consumers, r.avg_consumption_mean, r.avg_consumption_std, r.total_readings) == (3, 3.0, 2.0, 16)
-    assert U.region_map(df).first().regions == {"X": 2}
+    assert [tuple(r) for r in U.region_map(df).collect()] == [("X", 2)]
     assert U.dataset_statistics(df.limit(0)).first().avg_consumption_mean == 0.0
 
 

@@ -1,11 +1,12 @@
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from wattsift.operators.readings import consumer_timeseries
-from wattsift.operators.results import summarize
-from wattsift.sources import files, runs
+from wattsift.operators.results import sort_results, summarize
+from wattsift.sources import files, pages, runs
 from wattsift.sources.layouts import standard_names
 from wattsift.sources.staging import stage, staging_folder, unstage
 from wattsift.sources.stored import read_readings, save_readings
@@ -96,8 +97,8 @@ def results(spark):
 def test_run_history(spark, folder, results):
     path = f"{folder}/analyses"
     for user, run in (("u1", "r1"), ("u2", "r2"), ("u1", "r3")):
-        runs.save_run(runs.run_row(summarize(results), user, run, "f.csv", 0.05, False), path)
-    table = spark.read.parquet(path)
+        runs.save_run(runs.run_row(summarize(results), user, run, "f.csv", 0.05, False), run, path)
+    table = runs.read_runs(spark, path)
     mine = runs.user_runs(table, "u1").collect()
     assert [r.analysis_id for r in mine] == ["r3", "r1"]
     assert mine[0].summary.high_risk_zones == ["X"] and mine[0].total_consumers == 30
@@ -108,17 +109,78 @@ def test_run_history(spark, folder, results):
 
 def test_stored_consumers(spark, folder, results):
     path = f"{folder}/consumers"
-    runs.save_consumers(results, "0012", path)
-    runs.save_consumers(results.limit(3), "other", path)
+    for _ in range(2):
+        runs.save_consumers(results, "0012", path)
+    runs.save_consumers(results.limit(3), "other run/1", path)
     table = runs.read_consumers(spark, path)
-    page, total = runs.stored_consumers_page(table, "0012", 2, 4, "Normal")
+    assert {tuple(r) for r in table.groupBy("analysis_ref").count().collect()} == {("0012", 30), ("other run/1", 3)}
+    page, total = runs.stored_consumers_page(spark, path, "0012", 2, 4, "Normal")
     rows = page.collect()
     assert total == 15 and [r.consumer_id for r in rows] == ["c21", "c19", "c17", "c15"]
     assert rows[0].features == {"cv_consumption": 31.5} and rows[0].analysis_ref == "0012"
-    assert "PartitionFilters: [isnotnull(analysis_ref" in page._jdf.queryExecution().executedPlan().toString()
+    assert runs.stored_consumers_page(spark, path, "other run/1", 1, 2)[1] == 3
     assert runs.page_count(15, 4) == 4
 
 
+def test_a_page_reads_its_files_only(spark, folder):
+    df = spark.range(0, 4000, 1, 8).selectExpr(
+        "concat('c', id) AS consumer_id", "IF(id % 7 = 0, NULL, CAST(id % 13 AS DOUBLE)) AS anomaly_score",
+        "IF(id % 3 = 0, 'Normal', IF(id = 4, NULL, 'High Risk')) AS status")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pages.store_pages(df, folder, descending=False)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    whole = [tuple(r) for r in sort_results(df, descending=False).collect()]
+    files = len(spark.read.parquet(f"{folder}/rows").inputFiles())
+    assert files == 8
+    for status in (None, "Normal", "none"):
+        want = [r for r in whole if status is None or r[2] == status]
+        for page, limit in ((1, 10), (2, 130), (9, 130), (31, 130), (1, 5000), (390, 10), (500, 100)):
+            found, total = pages.stored_page(spark, folder, page, limit, status)
+            assert [tuple(r) for r in found.collect()] == want[(page - 1) * limit : page * limit] and total == len(want)
+            if limit <= 130 and found.count():
+                assert len(found.inputFiles()) <= 2
+                assert "Exchange range" not in found._jdf.queryExecution().executedPlan().toString()
+    pages.store_pages(df.limit(0), f"{folder}/none")
+    assert pages.stored_page(spark, f"{folder}/none")[1] == 0 and pages.stored_page(spark, f"{folder}/none")[0].count() == 0
+    with pytest.raises(ValueError):
+        pages.stored_page(spark, folder, 0)
+
+
+def test_a_run_is_listed_only_with_its_consumers(spark, folder, results, monkeypatch):
+    done = SimpleNamespace(analysis_id="r1", results=results, summary=summarize(results), contamination=0.05, used_autoencoder=False)
+    other = SimpleNamespace(**(done.__dict__ | {"analysis_id": "r2"}))
+    for _ in range(2):
+        runs.record_run(done, "u1", "f.csv", folder)
+
+    def lost(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(runs, "store_sorted", lost)
+    with pytest.raises(OSError):
+        runs.record_run(other, "u1", "f.csv", folder)
+    assert [r.analysis_id for r in runs.user_runs(runs.read_runs(spark, f"{folder}/analyses"), "u1").collect()] == ["r1"]
+    assert runs.read_consumers(spark, f"{folder}/consumers").count() == 30
+    assert [tuple(r) for r in runs.read_zones(spark, f"{folder}/zones").collect()] == [("X", 1, "r1")]
+
+
+def test_malformed_lines_are_quarantined(spark, folder):
+    lines = ["LCLid,kwh,tstp", "a,1,t", 'b,"1,5",t', "c,2", 'd,3,t,"x,y"', "e,4,t,,", "f,5,", '"g,g,g,g",6,t', "h"]
+    path = write(f"{folder}/r.csv", "\n".join(lines) + "\n")
+    found = files.read_readings_csv(spark, path)
+    assert found.columns == ["LCLid", "kwh", "tstp"]
+    assert [tuple(r) for r in found.collect()] == [
+        ("a", "1", "t"), ("b", "1,5", "t"), ("c", "2", None), ("f", "5", None), ("g,g,g,g", "6", "t"), ("h", None, None)]
+    assert [tuple(r) for r in files.malformed_lines(spark, path).collect()] == [("r.csv", lines[4]), ("r.csv", lines[5])]
+    assert found.select("kwh").count() == 6 and [r[0] for r in found.select("tstp").collect()] == ["t", "t", None, None, "t", None]
+    with pytest.raises(ValueError, match="more than 3 fields"):
+        files.read_readings_csv(spark, path, malformed="raise")
+    clean = write(f"{folder}/c.csv", "\n".join(lines[:4]) + "\n")
+    assert files.read_readings_csv(spark, clean, malformed="raise").count() == 3
+    assert files.malformed_lines(spark, clean).count() == 0
+
+
 def test_stored_readings_are_clustered_by_consumer(spark, folder):
     rows = spark.range(0, 20_000, 1, 4).selectExpr(
         "IF(id % 2 = 0, 'hot', CONCAT('c', id % 500)) AS consumer_id",

@@ -301,11 +301,11 @@ def fit_autoencoder(
     ``df`` should be staged; ``inputs`` are finite, and unscaled if a scaler is given.
     """
     fitted = train_autoencoder(df, inputs, params, scaler, key, rows)
-    return set_threshold(fitted, stage(fitted.error(df, inputs).select("ae_error"), "errors"), rows)
+    return set_threshold(fitted, stage(fitted.error(df, inputs).select("ae_error"), "errors"))
 
 
-def set_threshold(fitted: Autoencoder, errors: DataFrame, rows: int | None = None) -> Autoencoder:
-    cut = error_threshold(errors, "ae_error", fitted.params.percentile, rows=rows)
+def set_threshold(fitted: Autoencoder, errors: DataFrame) -> Autoencoder:
+    cut = error_threshold(errors, "ae_error", fitted.params.percentile)
     return replace(fitted, threshold=cut)
 
 
@@ -327,7 +327,8 @@ def train_autoencoder(
     steps = math.ceil(min(rows * (1 - params.held_out), params.round_rows) / params.batch)
     rounds = min(params.rounds, params.epochs)
     # Every round reads the same rows. What an executor loses is computed again from `df`.
-    training = training.repartition(parts, "part").persist(StorageLevel.MEMORY_AND_DISK)
+    # One part in every task; a hash of the part would leave a third of the tasks without any.
+    training = training.repartitionById(parts, "part").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for turn in range(rounds):
             state = _round(training, params, state, turn, math.ceil(steps * params.epochs / rounds), parts)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from wattsift.functions.calendar import is_night_hour, is_peak_hour, is_weekend
 from wattsift.functions.parsing import nan_to_null
-from wattsift.operators.cleaning import COPIES, NEGATIVE, NO_TIME, NO_VALUE, REJECT
+from wattsift.operators.cleaning import COPIES, NEGATIVE, NO_TIME, NO_VALUE, REJECT, SLOT
 from wattsift.operators.quantiles import exact_quantiles
 
 REJECT_COUNTS = ["raw_rows", "distinct_rows", "rejected_null", "rejected_negative", "rejected_timestamp"]
@@ -40,10 +40,10 @@ def aggregate_tagged(
 def _per_consumer(
     readings: DataFrame, region: str | None, classify: Callable[[Column], Column] | None, tagged: bool
 ) -> DataFrame:
-    # Two levels. The first has only fixed-width buffers, so it hash-aggregates on the map side
-    # (a first-region buffer holds text and would sort all readings instead), and a consumer
-    # with a third of all readings leaves each map task as one row per region. After a distinct,
-    # readings of most consumers meet only behind the shuffle, so the buffers are kept few.
+    # Two levels, both with fixed-width buffers only, so both hash-aggregate: a first-region buffer
+    # would hold text and sort instead. The first is by consumer, region and, after a distinct by consumer and
+    # day, the slot, so that it needs no shuffle. Elsewhere it combines on the map side, and a consumer with a third of
+    # all readings leaves each map task as one row per region.
     timed = "timestamp" in readings.columns
     valid = F.col(REJECT).isNull() if tagged else None
 
@@ -72,31 +72,33 @@ def _per_consumer(
             F.count_if(reject == NEGATIVE).alias("rejected_negative"),
             F.count_if(reject == NO_TIME).alias("rejected_timestamp"),
         ]
-    by_region = readings.groupBy("consumer_id", code.alias("code")).agg(*first_level)
+    slot = [SLOT] if SLOT in readings.columns else []
+    by_region = readings.groupBy("consumer_id", *slot, code.alias("code")).agg(*first_level)
     zone = F.col("code") if classify is None else classify(F.col("code"))
-    # Deviations of the regions are merged about the consumer's mean; a difference of large squares would lose them.
-    # The window needs the same clustering as the second level, so it costs no shuffle of its own.
+    # Deviations of the parts are merged about the consumer's mean; a difference of large squares would lose them.
+    # The region is that of the earliest reading; equal times go to the smaller name. The windows need the same
+    # clustering as the second level, so they cost no shuffle of their own; a consumer has a row per region and slot there.
     whole = Window.partitionBy("consumer_id")
     own = F.try_divide("total", "n") - F.try_divide(F.sum("total").over(whole), F.sum("n").over(whole))
-    by_region = by_region.withColumns({"zone": zone, "away": own})
+    order = [F.col("first_ts"), F.col("zone")] if timed else [F.col("zone")]
+    in_time = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by_region = by_region.withColumn("zone", zone)
+    first_zone = F.first(F.when(F.col("n") > 0, F.col("zone")), ignorenulls=True).over(in_time)
+    by_region = by_region.withColumns({"away": own, "region": first_zone})
     if tagged:
         rows = F.col("n") + F.col("rejected_null") + F.col("rejected_negative") + F.col("rejected_timestamp")
         by_region = by_region.withColumn("distinct_rows", rows)
 
-    # The region of the earliest reading; equal times go to the smaller name.
-    dated = F.struct(F.col("first_ts"), F.col("zone")) if timed else F.struct(F.col("zone"))
-    first_zone = F.min(F.when(F.col("zone").isNotNull() & (F.col("n") > 0), dated))
     second_level = [
         F.sum("n").alias("n"), F.sum("total").alias("total"),
         F.sum((F.col("var") + F.col("away") * F.col("away")) * F.col("n")).alias("spread"),
         F.min("low").alias("low"), F.max("high").alias("high"),
-        first_zone.getField("zone").alias("region"),
     ]
     if timed:
         second_level += [F.sum(c).alias(c) for c in ("night", "weekend", "peak")]
     if tagged:
         second_level += [F.sum(c).alias(c) for c in REJECT_COUNTS]
-    one = by_region.groupBy("consumer_id").agg(*second_level)
+    one = by_region.groupBy("consumer_id", "region").agg(*second_level)
 
     n = F.col("n")
     shares = [("night_usage_ratio", "night"), ("weekend_readings_ratio", "weekend"), ("peak_usage_ratio", "peak")]
@@ -130,9 +132,8 @@ def dataset_statistics(consumers: DataFrame) -> DataFrame:
 
 
 def region_map(consumers: DataFrame) -> DataFrame:
-    """One row: consumers of every region, as a map. A region is a zone or a utility."""
-    entries = F.collect_list(F.struct("region", "consumers"))
-    return region_counts(consumers).agg(F.map_from_entries(F.array_sort(entries)).alias("regions"))
+    """Consumers of every region, a row each by name. A region is a zone or any utility, so there is no bound on them."""
+    return region_counts(consumers).orderBy("region")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -58,7 +58,7 @@ class Population:
     q95_night: float | None = None
 
 
-def fit_population(features: DataFrame, rows: int | None = None, **quantile_options) -> Population:
+def fit_population(features: DataFrame) -> Population:
     """All population values in one go; ``features`` should be staged."""
     wanted = {
         "q10_avg": ("avg_consumption", 0.1), "q70_avg": ("avg_consumption", 0.7),
@@ -67,7 +67,7 @@ def fit_population(features: DataFrame, rows: int | None = None, **quantile_opti
     }
     wanted = {name: spec for name, spec in wanted.items() if spec[0] in features.columns}
     mean = {"mean_avg": F.avg("avg_consumption")} if "avg_consumption" in features.columns else {}
-    return Population(**exact_quantiles(features, wanted, rows, mean, **quantile_options)) if wanted else Population()
+    return Population(**exact_quantiles(features, wanted, mean)) if wanted else Population()
 
 
 def _value(number: float | None) -> Column:

@@ -1,193 +1,97 @@
-"""Exact quantiles with linear interpolation, at any number of rows."""
+"""Exact quantiles with linear interpolation, at any number of rows: selection by digits.
+
+All quantiles of all columns share the passes. A pass is one aggregate of fixed width that counts rows
+by digit (see ``radix``) and brings back a bounded number of counts. It ends where every wanted rank lies in a digit of one
+value: usually after two or three passes, and after six at the most.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many rows the built-in percentile, which keeps all distinct values in one task,
-# is the cheaper way.
-SMALL_ROWS = 200_000
-SKETCH_ACCURACY = 10_000
-# Rows of a bracket whose values one task sorts, and the bins of a pass that narrows a wider one.
-MOST_IN_BRACKET = 100_000
-BINS = 1000
+from wattsift.operators import radix
 
 
 def exact_quantiles(
-    df: DataFrame,
-    wanted: dict[str, tuple[str, float]],
-    rows: int | None = None,
-    also: dict[str, Column] | None = None,
-    small_rows: int = SMALL_ROWS,
-    accuracy: int = SKETCH_ACCURACY,
-) -> dict[str, object]:
+    df: DataFrame, wanted: dict[str, tuple[str, float]], also: dict[str, Column] | None = None,
+) -> dict[str, float | None]:
     """``{name: (column, p)}`` to ``{name: value}``; NULLs are ignored, no rows give None.
 
-    ``rows`` is the number of rows where the caller knows it, and ``also`` holds aggregates to
-    compute in the same pass. Makes several passes over ``df``: give it a staged table. Beyond
-    ``small_rows`` a sketch only says where to look, and exact counts of the rows there decide.
+    ``also`` holds aggregates to compute in the first pass, as doubles. Makes several passes over ``df``: give it a staged table.
     """
-    extra = [column.alias(name) for name, column in (also or {}).items()]
-    if rows is None:
-        rows = df.count()
-    if rows <= small_rows:
-        row = df.agg(*extra, *[
-            F.percentile(F.col(column).cast("double"), F.lit(float(p))).alias(name)
-            for name, (column, p) in wanted.items()
-        ]).first().asDict()
-        return {name: _number(row[name]) if name in wanted else row[name] for name in row}
     columns = sorted({column for column, _ in wanted.values()})
-    row = df.agg(*extra, *[F.count(F.col(c)).alias(f"_count_{c}") for c in columns]).first().asDict()
-    counts = {c: row.pop(f"_count_{c}") for c in columns}
-    return row | _from_counts(df, wanted, counts, accuracy)
+    first = _counted(df, [(c, radix.magnitude(_double(c)), None) for c in columns])
+    also = also or {}
+    if also:
+        # A row per aggregate, numbered from -1 downwards.
+        told = F.array(*[F.struct(F.lit(-1 - i).alias("window"), v.cast("double").alias("low")) for i, v in enumerate(also.values())])
+        extra = df.agg(told.alias("told")).select(F.inline("told")).select(
+            "window", F.lit(0).alias("digit"), F.lit(0).cast("long").alias("rows"), "low", F.lit(None).cast("double").alias("high"))
+        first = first.union(extra)
+    counts: dict[int, list] = {}
+    for row in first.collect():
+        counts.setdefault(row["window"], []).append(row)
+    found: dict[str, float | None] = {name: counts[-1 - i][0]["low"] for i, name in enumerate(also)}
+
+    sizes = [sum(r["rows"] for r in counts.get(i, ())) for i in range(len(columns))]
+    places = {name: p * (sizes[columns.index(c)] - 1) for name, (c, p) in wanted.items()}
+    ranks = {(columns.index(c), rank) for name, (c, _) in wanted.items() if sizes[columns.index(c)]
+             for rank in (math.floor(places[name]), math.ceil(places[name]))}
+    values = _select(df, columns, ranks, counts)
+    for name, (c, _) in wanted.items():
+        i, at = columns.index(c), places[name]
+        if not sizes[i]:
+            found[name] = None
+            continue
+        low, high = values[i, math.floor(at)], values[i, math.ceil(at)]
+        found[name] = _number(low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
+    return found
 
 
-def _number(value: float | None) -> float | None:
-    return None if value is None or math.isnan(value) else float(value)
+def _double(column: str) -> Column:
+    return F.col(column).cast("double")
 
 
-def _from_counts(
-    df: DataFrame, wanted: dict[str, tuple[str, float]], counts: dict[str, int], accuracy: int
-) -> dict[str, float | None]:
-    found: dict[str, float | None] = {name: None for name, (c, _) in wanted.items() if counts[c] == 0}
-    ranks = {n: p * (counts[c] - 1) for n, (c, p) in wanted.items() if counts[c] > 0}
-    margin = 4.0 / accuracy
-    while ranks:
-        todo = {n: wanted[n] for n in ranks}
-        brackets = _brackets(df, todo, margin, accuracy)
-        below = _counts_around(df, todo, brackets)
-        # A bracket is used only if it is seen to hold both neighbouring ranks.
-        sure = {
-            n: pos for n, pos in ranks.items()
-            if below[n][0] <= math.floor(pos) and below[n][1] >= math.ceil(pos) + 1
-        }
-        if sure:
-            own = {n: todo[n] for n in sure}
-            brackets, below = _narrowed(df, own, brackets, below, sure)
-            found.update(_select(df, own, brackets, below, sure))
-        ranks = {n: pos for n, pos in ranks.items() if n not in sure}
-        margin *= 8
-    return found
+def _number(value: float) -> float | None:
+    return None if math.isnan(value) else float(value)
 
 
-def _brackets(df, wanted, margin, accuracy):
-    """Lowest and highest value to look between; None where the side is open."""
-    points = {n: [p - margin, p + margin] for n, (_, p) in wanted.items()}
-    row = df.agg(*[
-        F.percentile_approx(
-            F.col(column).cast("double"), [min(max(x, 0.0), 1.0) for x in points[n]], accuracy
-        ).alias(n)
-        for n, (column, _) in wanted.items()
-    ]).first()
-    return {
-        n: (row[n][0] if points[n][0] > 0 else None, row[n][1] if points[n][1] < 1 else None) for n in wanted
-    }
-
-
-def _counts_around(df, wanted, brackets):
-    """Rows below the bracket, and rows below it or in it."""
-    aggs = []
-    for n, (column, _) in wanted.items():
-        low, high = brackets[n]
-        x = F.col(column).cast("double")
-        aggs.append((F.lit(0) if low is None else F.count_if(x < low)).alias(f"{n}_below"))
-        aggs.append((F.count(x) if high is None else F.count_if(x <= high)).alias(f"{n}_upto"))
-    row = df.agg(*aggs).first()
-    return {n: (row[f"{n}_below"], row[f"{n}_upto"]) for n in wanted}
-
-
-def _narrowed(df, wanted, brackets, below, ranks):
-    """Brackets of at most MOST_IN_BRACKET rows around the ranks, wherever values can be told apart.
-
-    Each pass counts the rows of all wide brackets in equal bins and keeps the bins that hold the two
-    ranks, so what one task has to sort at the end does not grow with the data.
-    """
-    brackets, below = dict(brackets), dict(below)
-    stuck: set[str] = set()
+def _counted(df: DataFrame, windows: list[tuple[str, Column, tuple[float, float] | None]]) -> DataFrame:
+    """Rows, least and greatest value by digit of each window: a column, its digit, and the values that take part."""
+    entries = []
+    for i, (column, digit, span) in enumerate(windows):
+        x = _double(column)
+        inside = x.isNotNull() if span is None else x.between(*span)
+        entries.append(F.when(inside, F.struct(F.lit(i).alias("window"), digit.alias("digit"), x.alias("x"))))
+    rows = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+    return rows.groupBy(F.col("e.window").alias("window"), F.col("e.digit").alias("digit")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("e.x").alias("low"), F.max("e.x").alias("high"))
+
+
+def _select(
+    df: DataFrame, columns: list[str], ranks: set[tuple[int, int]], counts: dict[int, list]
+) -> dict[tuple[int, int], float]:
+    """The value at each (column, rank)."""
+    found: dict[tuple[int, int], float] = {}
+    # By window: its column and how many rows of that column lie below it.
+    windows = {i: (i, 0) for i in range(len(columns))}
     while True:
-        wide = [n for n in ranks if n not in stuck and below[n][1] - below[n][0] > MOST_IN_BRACKET]
-        if not wide:
-            return brackets, below
-        brackets |= _closed(df, {n: wanted[n] for n in wide}, brackets)
-        bins = []
-        for i, n in enumerate(wide):
-            low, high = brackets[n]
-            x = F.col(wanted[n][0]).cast("double")
-            at = F.least(F.lit(BINS - 1), F.floor((x - low) / (high - low or 1.0) * BINS))
-            bins.append(F.when(x.between(low, high), F.struct(F.lit(i).alias("i"), at.cast("int").alias("bin"))))
-        # At most BINS rows per quantile.
-        counts = df.select(F.explode(F.array_compact(F.array(*bins))).alias("c")).groupBy("c.i", "c.bin").agg(
-            F.count(F.lit(1)).alias("rows")).collect()
-        narrower = {}
-        for i, n in enumerate(wide):
-            low, high = brackets[n]
-            upto, held = below[n][0], []
-            for _, at, rows in sorted(tuple(r) for r in counts if r["i"] == i):
-                if upto <= math.ceil(ranks[n]) and upto + rows > math.floor(ranks[n]):
-                    held.append(at)
-                upto += rows
-            step = (high - low) / BINS
-            # A little more on either side, for what rounding puts into the next bin.
-            narrower[n] = (
-                (max(low, low + step * (held[0] - 0.01)), min(high, low + step * (held[-1] + 1.01)))
-                if held and math.isfinite(step) else (low, high))
-        after = _counts_around(df, {n: wanted[n] for n in wide}, narrower)
-        for n in wide:
-            holds = after[n][0] <= math.floor(ranks[n]) and after[n][1] >= math.ceil(ranks[n]) + 1
-            if holds and after[n][1] - after[n][0] < below[n][1] - below[n][0]:
-                brackets[n], below[n] = narrower[n], after[n]
-            else:
-                stuck.add(n)
-
-
-def _closed(df, wanted, brackets):
-    """The same brackets with the lowest or highest value where a side is open."""
-    names = [n for n in wanted if None in brackets[n]]
-    if not names:
-        return {}
-    row = df.agg(*[
-        f(F.col(wanted[n][0]).cast("double")).alias(f"{n}_{side}")
-        for n in names for side, f in (("low", F.min), ("high", F.max))
-    ]).first()
-    return {
-        n: tuple(row[f"{n}_{side}"] if end is None else end for side, end in zip(("low", "high"), brackets[n]))
-        for n in names
-    }
-
-
-def _select(df, wanted, brackets, below, ranks):
-    """Values at the two ranks next to each position, from counts per distinct value."""
-    names = list(wanted)
-    candidates = []
-    for i, n in enumerate(names):
-        x = F.col(wanted[n][0]).cast("double")
-        low, high = brackets[n]
-        inside = x.isNotNull()
-        inside = inside if low is None else inside & (x >= low)
-        inside = inside if high is None else inside & (x <= high)
-        candidates.append(F.when(inside, F.struct(F.lit(i).alias("i"), x.alias("x"))))
-    values = (
-        df.select(F.explode(F.array_compact(F.array(*candidates))).alias("c"))
-        .groupBy(F.col("c.i").alias("i"), F.col("c.x").alias("x")).agg(F.count(F.lit(1)).alias("rows"))
-    )
-    upto = F.sum("rows").over(Window.partitionBy("i").orderBy("x"))
-    spans = values.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("rows"))
-    hit = F.lit(False)
-    for i, n in enumerate(names):
-        first, last = (math.floor(ranks[n]) - below[n][0], math.ceil(ranks[n]) - below[n][0])
-        hit = hit | ((F.col("i") == i) & (F.col("start") <= last) & (F.col("upto") > first))
-    # At most the two neighbours of each position come back.
-    rows = sorted(tuple(r) for r in spans.filter(hit).select("i", "x").collect())
-    found = {}
-    for i, n in enumerate(names):
-        values_here = [x for j, x in rows if j == i]
-        low, high = values_here[0], values_here[-1]
-        position = ranks[n]
-        if low == high:
-            found[n] = _number(low)
-        else:
-            found[n] = _number((math.ceil(position) - position) * low + (position - math.floor(position)) * high)
-    return found
+        spans: dict[tuple[int, float, float], int] = {}
+        for number, (column, below) in windows.items():
+            for row in sorted(counts.get(number, ()), key=lambda r: r["digit"]):
+                inside = [rank for i, rank in ranks if i == column and below <= rank < below + row["rows"]]
+                if inside and (row["low"] == row["high"] or math.isnan(row["high"])):
+                    found.update({(column, rank): row["high"] for rank in inside})
+                elif inside:
+                    spans[column, row["low"], row["high"]] = below
+                below += row["rows"]
+        if not spans:
+            return found
+        windows = {i: (column, below) for i, ((column, _, _), below) in enumerate(spans.items())}
+        ranks = ranks.difference(found)
+        counts = {}
+        for row in _counted(df, [(columns[c], radix.step(_double(columns[c]), low, high), (low, high)) for c, low, high in spans]).collect():
+            counts.setdefault(row["window"], []).append(row)

@@ -5,12 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattsift.sources.staging import stage
-
 MAX_PAGE_ROWS = 500
 TOP_ZONES = 5
-# Up to here a page is a top-k, whose rows the driver holds.
-DEEP_ROWS = 100_000
 
 
 def with_status(results: DataFrame, status: str) -> DataFrame:
@@ -61,20 +57,19 @@ def _totals(zones: DataFrame, *extra: Column) -> DataFrame:
 
 
 def summarize(results: DataFrame) -> DataFrame:
-    """The whole summary in one row and one pass.
+    """The summary in one row: totals, and the zones with the most flagged consumers.
 
-    The lists are over regions, so their length does not grow with the consumers.
+    A region may be any utility, so the flagged consumers of all zones are rows of their own
+    (``zone_flag_counts``). The first zones are a top-k: no task sees a list of regions.
     """
-    counted = F.col("region").isNotNull() & (F.col("flagged") > 0)
-    ranked = F.array_sort(F.collect_list(F.when(
-        counted, F.struct((-F.col("flagged")).alias("rank"), F.col("region").alias("region")))))
-    full = _totals(_zone_totals(results), ranked.alias("_ranked"))
-    return full.select(
-        "*",
-        F.transform(F.slice("_ranked", 1, TOP_ZONES), lambda z: z["region"]).alias("high_risk_zones"),
-        F.map_from_entries(F.transform(
-            "_ranked", lambda z: F.struct(z["region"], -z["rank"]))).alias("zone_anomaly_counts"),
-    ).drop("_ranked")
+    zones = _zone_totals(results)
+    ranked = zones.filter(F.col("region").isNotNull() & (F.col("flagged") > 0)).orderBy(F.desc("flagged"), "region").limit(TOP_ZONES)
+    # The zones of the top are marked a second time, with nothing to add up.
+    nothing = [F.lit(0).cast(f.dataType).alias(f.name) for f in zones.schema if f.name not in ("region", "flagged")]
+    again = ranked.select(F.struct((-F.col("flagged")).alias("rank"), "region").alias("top"), *nothing, F.lit(0).cast("long").alias("flagged"))
+    both = zones.select(F.lit(None).cast(again.schema["top"].dataType).alias("top"), *[c for c in again.columns if c != "top"]).unionByName(again)
+    full = _totals(both, F.array_sort(F.collect_list("top")).alias("_top"))
+    return full.select("*", F.transform("_top", lambda z: z["region"]).alias("high_risk_zones")).drop("_top")
 
 
 def zone_flag_counts(results: DataFrame) -> DataFrame:
@@ -119,35 +114,12 @@ def sort_results(results: DataFrame, sort_by: str = "anomaly_score", descending:
 
 
 def page_of(
-    results: DataFrame, sort_by: str = "anomaly_score", descending: bool = True, page: int = 1, limit: int = 50,
-    deep_rows: int = DEEP_ROWS,
+    results: DataFrame, sort_by: str = "anomaly_score", descending: bool = True, page: int = 1, limit: int = 50
 ) -> DataFrame:
-    """One page, counted from 1. Below ``deep_rows`` rows from the top it is a top-k."""
+    """One page, counted from 1, as a top-k. Many pages, or deep ones, are read from stored results (``sources.pages``)."""
     if page < 1 or limit < 1:
         raise ValueError(f"page and limit start at 1, not {page} and {limit}")
-    start, order = (page - 1) * limit, _order(results, sort_by, descending)
-    if start + limit > deep_rows:
-        return _deep_page(results, order, start, limit)
-    return results.orderBy(*order).offset(start).limit(limit)
-
-
-def _deep_page(results: DataFrame, order: list[Column], start: int, limit: int) -> DataFrame:
-    """A page far down, which a top-k would hold together with all rows before it.
-
-    The sorted rows are staged with a number that tells their partition and their place in it;
-    the partitions' row counts then say which numbers the page has.
-    """
-    bits = 33  # monotonically_increasing_id keeps the partition above these
-    numbered = stage(results.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "pages")
-    counts = numbered.groupBy(F.shiftright("_at", bits).alias("part")).agg(F.count(F.lit(1)).alias("rows"))
-    wanted, before = F.lit(False), 0
-    for part, rows in sorted(tuple(r) for r in counts.collect()):
-        low, high = max(start - before, 0), min(start + limit - before, rows)
-        if low < high:
-            first = part << bits
-            wanted = wanted | F.col("_at").between(first + low, first + high - 1)
-        before += rows
-    return numbered.filter(wanted).orderBy("_at").drop("_at")
+    return sort_results(results, sort_by, descending).offset((page - 1) * limit).limit(limit)
 
 
 def _or(name: str, default: object, results: DataFrame) -> Column:
@@ -169,12 +141,12 @@ def page_rows(results: DataFrame) -> DataFrame:
 
 def results_page(
     results: DataFrame, page: int = 1, limit: int = 50, status: str | None = None, region: str | None = None,
-    sort_by: str = "anomaly_score", descending: bool = True, deep_rows: int = DEEP_ROWS,
+    sort_by: str = "anomaly_score", descending: bool = True,
 ) -> DataFrame:
     if not 1 <= limit <= MAX_PAGE_ROWS:
         raise ValueError(f"limit must be 1 to {MAX_PAGE_ROWS}, not {limit}")
     chosen = filtered_results(results, status, region)
-    return page_rows(page_of(chosen, sort_by, descending, page, limit, deep_rows))
+    return page_rows(page_of(chosen, sort_by, descending, page, limit))
 
 
 def filtered_results(results: DataFrame, status: str | None = None, region: str | None = None) -> DataFrame:

@@ -33,16 +33,16 @@ def normalize_scores(df: DataFrame, raw: str, out: str = "anomaly_score", low_is
     return df.withColumn(out, normalized(F.col(raw), low, high, low_is_anomalous))
 
 
-def forest_threshold(df: DataFrame, raw: str, contamination: float, **options) -> float | None:
+def forest_threshold(df: DataFrame, raw: str, contamination: float) -> float | None:
     """Raw score below which a consumer is flagged."""
-    return score_statistics(df, raw, contamination, **options)["cut"]
+    return score_statistics(df, raw, contamination)["cut"]
 
 
-def score_statistics(df: DataFrame, raw: str, contamination: float, **options) -> dict[str, float | None]:
+def score_statistics(df: DataFrame, raw: str, contamination: float) -> dict[str, float | None]:
     """``low`` and ``high`` of the raw score, and the ``cut`` below which it is flagged."""
     p = check_contamination(contamination)
     both = {"low": F.min(raw), "high": F.max(raw)}
-    return exact_quantiles(df, {"cut": (raw, p)}, also=both, **options)
+    return exact_quantiles(df, {"cut": (raw, p)}, also=both)
 
 
 def label_by_contamination(
@@ -63,8 +63,8 @@ def outlier_label(df: DataFrame, raw: str, contamination: float = 0.05) -> DataF
     return flagged.withColumn("label", F.when(F.col("_flag"), -1).otherwise(1)).drop("_flag")
 
 
-def error_threshold(df: DataFrame, error: str, percentile: float = 95.0, **options) -> float | None:
-    return exact_quantiles(df, {"cut": (error, percentile / 100.0)}, **options)["cut"]
+def error_threshold(df: DataFrame, error: str, percentile: float = 95.0) -> float | None:
+    return exact_quantiles(df, {"cut": (error, percentile / 100.0)})["cut"]
 
 
 def label_errors(

@@ -77,7 +77,7 @@ def analyze(
         raise ValueError("no consumers after aggregation")
 
     ratios = ratio_features(counted.filter(used).drop(*REJECT_COUNTS))
-    population = fit_population(ratios, rows)
+    population = fit_population(ratios)
     features = anomaly_flags(ratios, population)
     names, inputs = model_columns(features), model_inputs(features)
     # One scaler serves both models; a forest does not react to scaling.
@@ -91,7 +91,7 @@ def analyze(
         scored = autoencoder.error(scored, inputs)
     scored = stage(scored, "scored")
 
-    found = score_statistics(scored, "raw_score", contamination, rows=rows)
+    found = score_statistics(scored, "raw_score", contamination)
     forest = replace(forest, offset=found["cut"])
     raw_score = F.col("raw_score")
     results = scored.withColumns({
@@ -100,7 +100,7 @@ def analyze(
     })
     if autoencoder is not None:
         # The blend replaces score and status; the flag stays the forest's.
-        autoencoder = set_threshold(autoencoder, scored, rows)
+        autoencoder = set_threshold(autoencoder, scored)
         results = label_errors(results, "ae_error", autoencoder.threshold)
         results = results.withColumn("ensemble_score", blend(F.col("anomaly_score"), F.col("ae_anomaly_score")))
         results = results.withColumn("anomaly_score", F.col("ensemble_score"))
@@ -125,4 +125,5 @@ def count_consumers(raw: DataFrame, day_first: bool | None = None) -> DataFrame:
         raise ValueError(f"no column for {', '.join(missing)} among {raw.columns}")
     source = region_source(columns, layout)
 
-    return aggregate_tagged(tag_readings(raw, day_first), source, lambda code: region_of(source, layout, code))
+    tagged = tag_readings(raw, day_first, by_consumer=True)
+    return aggregate_tagged(tagged, source, lambda code: region_of(source, layout, code))
