@@ -56,7 +56,8 @@ def signatures(found: Column, text: Column) -> Column:
     # One element, so that the spots are worked out once and not for every word.
     kept = F.get(F.transform(F.array(spots), lambda spots: F.array_sort(F.array_distinct(F.filter(
         F.concat(spots, _bare(found, spots)), lambda s: s.isNotNull())))), F.lit(0))
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.hash(F.lit("whole"), text)))
+    whole = F.array(F.hash(F.lit("whole"), text))
+    return F.get(F.transform(F.array(kept), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(whole)), F.lit(0))
 
 
 def _bare(found: Column, spots: Column) -> Column:
