@@ -13,8 +13,8 @@ hashes of that many words are all kept. The benchmark is read in full; nothing i
 unless Spark finds its staged fingerprints small enough.
 
 Null texts have no words. Rows without doc_id keep a row. Rows of equal id and text are each
-reported alike; rows of equal id and different text each for itself. Items without an id count as
-items, but cannot be named, so they are left out; repeated items count once.
+reported alike; rows of equal id and different text each for itself. Items without an id mark words like
+all others, but are in no number or list of items; repeated items count once.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def _same(left: DataFrame, right: DataFrame) -> Column:
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """All documents with their numbers of words, and all (document, start, size, item_id) that occur."""
     items = stage(
-        benchmark.where("item_id IS NOT NULL").select(
+        benchmark.select(
             F.col("item_id").cast("string").alias("item_id"), words(F.coalesce("text", F.lit(""))).alias("words")).where(
             F.size("words") > 0).distinct(),
         "benchmark-words")
