@@ -23,15 +23,14 @@ def contamination(docs, items, window=10):
         w = ITEM_WORD.findall((text or "").translate(LOW))
         n = min(window, len(w))
         for i in range(len(w) - n + 1 if w else 0):
-            if item is not None:
-                pieces.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+            pieces.setdefault(tuple(w[i : i + n]), set()).update([] if item is None else [str(item)])
     out = []
     for doc, text in docs:
         w = ITEM_WORD.findall((text or "").translate(LOW))
         hit, found = set(), set()
         for n in {len(p) for p in pieces}:
             for i in range(len(w) - n + 1):
-                if own := pieces.get(tuple(w[i : i + n])):
+                if (own := pieces.get(tuple(w[i : i + n]))) is not None:
                     found |= own
                     hit.update(range(i, i + n))
         out.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
@@ -103,35 +102,6 @@ def model_scores(docs, in_training, order, mu):
     return out
 
 
-def jaccard_components(docs, size=5, least=0.8):
-    """The smallest id reachable over links of that likeness of the sets of shingles; equal sets are linked."""
-    sets = []
-    for d, text in docs:
-        w = (text or "").translate(LOW).encode().split()
-        sets.append((d, frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()))
-    root = {d: d for d, _ in sets}
-
-    def find(a):
-        while root[a] != a:
-            a = root[a]
-        return a
-
-    holders: dict = {}
-    for k, (_, s) in enumerate(sets):
-        for x in s or [None]:
-            holders.setdefault(x, []).append(k)
-    tried = set()
-    for k, (a, s) in enumerate(sets):
-        for j in {j for x in s or [None] for j in holders[x] if j < k}:
-            t = sets[j][1]
-            pair = min(a, sets[j][0]), max(a, sets[j][0])
-            if pair not in tried and (s == t or len(s & t) >= least * len(s | t)):
-                tried.add(pair)
-                x, y = find(a), find(sets[j][0])
-                root[max(x, y)] = min(x, y)
-    return {d: find(d) for d in root}
-
-
 def fill_middle(docs):
     out = []
     for d, text in docs:

@@ -5,29 +5,40 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from wattsift.llm import html_text, near_copies, ngram_model, spotsigs
+from wattsift.llm import html_text, ngram_model, spotsigs
 from wattsift.llm.queries import QUERIES
 
 
-def test_pipeline_drops_planted_copies_from_0_8(spark, docs, small):
+def test_pipeline_keeps_one_of_each_group(spark, docs, small):
     rng = np.random.default_rng(5)
-    made, planted = [], 0
+    made, first = [], []
     for i in range(40):
-        words = [f"v{x}" for x in rng.integers(0, 5000, 400)]
-        made.append((i, " ".join(words)))
-        for k, edits in enumerate((2, 6, 8)):
-            other = list(words)
-            for at in rng.choice(np.arange(5, 395, 6), edits, replace=False):
-                other[at] = f"new{at}"
-            a, b = (near_copies.shingle_set(" ".join(w)) for w in (words, other))
-            assert 0.8 <= near_copies.jaccard(a, b) <= 0.96
-            made.append((1000 + 10 * i + k, " ".join(other)))
-            planted += 1
-        other = words[:200] + [f"q{x}" for x in rng.integers(0, 5000, 200)]
-        made.append((5000 + i, " ".join(other)))
-    made += [(9000, ""), (9001, None), (9002, "short text"), (9003, "short text")]
-    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(made), small).collect())
-    assert got == [*range(40), *range(5000, 5040), 9000, 9002] and planted == 120
+        words = [f"v{x}" for x in rng.integers(0, 5000, 4000)]
+        group = [(i, " ".join(words)), (1000 + i, " ".join(words).upper()), (2000 + i, "\n".join(words))]
+        # A word more changes three shingles of four thousand.
+        group.append((3000 + i, " ".join([*words, "more"])))
+        roots = {c for _, _, c in brute.near_duplicates(group)}
+        made += group
+        first += sorted(roots)
+    made += [(9000, ""), (9001, None), (9002, "short text"), (9003, "short text"), (9004, "short text here")]
+    # Repeated rows, one id with two texts, and rows without an id.
+    made += [(5, made[4 * 5][1])] * 3 + [(9002, "short text")] * 2 + [(9100, "one text of it"), (9100, "quite another one")]
+    made += [(None, "nobody's text")] * 3 + [(None, "short text")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs(made), small).collect()]
+    assert len(got) == len(set(got)) and sum(d == 9100 for d, _ in got) == 1
+    assert sorted(d for d, _ in got if d is not None) == sorted([*first, 9000, 9002, 9004, 9100])
+    assert [t for d, t in got if d is None] == ["nobody's text"] and len(first) < 80
+
+
+def test_end_tags_of_elements_that_are_not_open_are_cheap():
+    import time
+
+    start = time.perf_counter()
+    page = "<div>" * 60_000 + "</table></nav>" * 60_000 + "<p>text"
+    assert [x for x, _ in html_text.lines_of(page)] == ["text"]
+    assert time.perf_counter() - start < 10
+    nested = "<article><section><div><p>a</section><p>b</nav><p>c</article><p>d"
+    assert [x for x, _ in html_text.lines_of(nested)] == ["a", "b", "c", "d"]
 
 
 def html_texts(spark, pages):

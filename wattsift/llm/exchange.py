@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattsift.llm.tables import give_back
+from wattsift.llm.tables import forget, give_back
 
 BLOCK_CHARS = 5_000_000
 # Blocks to a shard: what a shard gathers is smaller than a block's text and words.
@@ -113,6 +113,7 @@ def ask(blocks: DataFrame, make: Callable[[pa.Table], list[tuple[int, int, bytes
     """Every block's questions: `make` gives (shard, kind, asked) for the rows of a block."""
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         block = table.column("block")[0].as_py()
         made = rows_of(["shard", "block", "kind", "asked"], [(s, block, k, a) for s, k, a in make(table)])
         give_back()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattsift.llm.tables import slices, texts
+from wattsift.llm.tables import forget, slices, texts
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -184,6 +184,7 @@ def score_quality(docs: DataFrame, trees: Trees) -> DataFrame:
     """doc_id and score of every row; only the text is read for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for ids, found in slices(batches):
             x = np.array([statistics(t) for t in found], float)
             scores = np.concatenate([trees.probability(x[k : k + 2000]) for k in range(0, len(x), 2000)])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattsift.llm.tables import ASCII_LOWER, kept, slices, texts
+from wattsift.llm.tables import ASCII_LOWER, forget, kept, slices, texts
 from wattsift.sources.staging import stage, unstage
 
 SHINGLE = 3
@@ -154,14 +154,20 @@ def forest(members: np.ndarray, most: int = BITS, look_up: int = LOOK_UP) -> tup
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (a signed long) of every whole text."""
+    """doc_id, fingerprint (a signed long) and a hash of the text, of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        forget()
         for ids, found in slices(batches):
             made = np.array([fingerprint(t) for t in found], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+            texts_ = np.array([xxh64_intdigest(t.encode(), SEED) for t in found], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(made.view(np.int64)), pa.array(texts_.view(np.int64))],
+                names=["doc_id", "fp", "text_hash"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -235,12 +241,8 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that is reachable.
-
-    A null text has no words, like an empty one. Rows of equal id each have a row. A null id is
-    never the smallest; a component of null ids only has a null component_id.
-    """
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, text_hash and component_id of every row."""
     found = stage(fingerprints(docs), "fingerprints")
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = components(links(nodes))
@@ -249,15 +251,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     # A fingerprint may be that of a third of all documents: the join can be split, unlike a window.
     known = placed.select("fp", "root").join(first, "root").select("fp", "component_id")
-    return found.join(known, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.join(known, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that is reachable.
+
+    A null text has no words, like an empty one. Rows of equal id each have a row. A null id is
+    never the smallest; a component of null ids only has a null component_id.
+    """
+    return grouped(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """All columns of the document with the smallest id of each group (default: of near_duplicates).
+def keep_one(docs: DataFrame) -> DataFrame:
+    """All columns of one row of each group: that of the smallest id.
 
-    Rows that repeat the kept id all stay. Rows without an id stay only where their whole group has none.
+    Where that id has several rows, the text of the smallest hash stays, once. Rows without an id
+    stay only where their whole group has none; of those, equal texts stay once.
     """
-    groups = near_duplicates(docs) if groups is None else groups
-    found = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
+    first = grouped(docs).where("doc_id <=> component_id")
+    # Ids are in one group only, but for ids that have several texts.
+    wanted = stage(
+        first.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("of_text")).agg(
+            F.min("text_hash").alias("wanted"), F.count("*").alias("rows")), "kept-ids")
+    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    def of(chosen: DataFrame) -> DataFrame:
+        same = hashed["doc_id"].cast("long").eqNullSafe(chosen["doc_id"]) & (hashed["_text_hash"] == chosen["wanted"])
+        return hashed.join(chosen, same, "left_semi")
+
+    # Only rows of ids that occur again are compared as a whole.
+    several = of(wanted.where("rows > 1")).dropDuplicates(["doc_id", "_text_hash"])
+    return of(wanted.where("rows = 1")).unionByName(several).drop("_text_hash")

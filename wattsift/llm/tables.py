@@ -35,6 +35,14 @@ def kept(name: str, make: Callable):
     return getattr(store, name)
 
 
+def forget() -> None:
+    """Drop the values kept by earlier stages, whose workers are used again."""
+    store = sys.modules.get("wattsift_worker_values")
+    if store:
+        for name in [n for n in vars(store) if not n.startswith("__")]:
+            delattr(store, name)
+
+
 def give_back() -> None:
     """Return freed memory to the system: idle workers of earlier stages stand beside those at work."""
     try:
