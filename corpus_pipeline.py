@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattsift.llm.anchors import remove_repeats
 from wattsift.llm.decontaminate import clean
-from wattsift.llm.near_copies import near_copies
 from wattsift.llm.packing import packed_pieces
 from wattsift.llm.quality import fit_quality, keep_good
 from wattsift.llm.simhash import keep_one
@@ -24,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 0.8 or more of their five-word shingles, the document of the smallest id."""
-    return keep_one(docs, near_copies(docs))
+    """One document of each group of near duplicates (three-word shingles, two bits at most): that of the smallest id."""
+    return keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
