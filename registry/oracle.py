@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from registry.fixtures import RAW, READINGS, RUNS
-from registry.spark_queries import CONTAMINATION, FIRST_READINGS, PAGE, PAGE_ROWS, THRESHOLD
+from registry.spark_queries import CONTAMINATION, FIRST_READINGS, PAGE, PAGE_ROWS, PLANTED, THRESHOLD
 from wattsift import fixed_values as V
 
 
@@ -435,6 +435,8 @@ ORACLE |= {
     "csv_malformed": _sql(
         """SELECT * REPLACE (nullif(KWH, '') AS KWH, CASE WHEN KWH LIKE '%3' THEN NULL ELSE Consumer_Type END AS Consumer_Type),
         (SELECT count(*) FROM raw WHERE KWH LIKE '%7') AS removed_malformed FROM raw WHERE KWH IS NULL OR KWH NOT LIKE '%7'""", "raw"),
+    **{f"{model}_planted": f"SELECT 'planted-' || k AS consumer_id FROM range(1, {PLANTED + 1}) AS t(k)"
+       for model in ("forest", "autoencoder", "analyze", "blend")},
     "labels_round_trip": _sql(
         "SELECT consumer_id AS Consumer_ID, is_anomaly AS Is_Anomaly, status AS Anomaly_Type FROM res", "res"),
     "runs_round_trip": _sql(

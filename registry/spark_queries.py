@@ -44,6 +44,7 @@ CONTAMINATION = 0.05
 THRESHOLD = 0.6
 FIRST_READINGS = 20
 PAGE, PAGE_ROWS = 2, 20
+PLANTED = 5
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -734,6 +735,57 @@ def q_analyze_with_autoencoder_facts(spark, sf):
     return _analysis_facts(both).withColumns({k: F.lit(v) for k, v in joined.asDict().items()})
 
 
+def planted(spark, sf):
+    """The raw readings, and consumers made of those of one of them, all at night and at some fifty times the level.
+
+    No other consumer is near them in level, range or share of the night: each of them lies as many deviations away as
+    so few of so many can, in most features at once.
+    """
+    given = raw(spark, sf)
+    chosen = given.filter(F.col("KWH").try_cast("double") > 0).agg(F.min("Consumer_ID")).first()[0]
+    level = F.col("KWH").try_cast("double")
+    base = given.filter((F.col("Consumer_ID") == chosen) & (level > 0))
+    night = F.regexp_replace("DateTime", "[ T][0-9]{2}:", " 02:")
+    made = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(PLANTED))).alias("k")).withColumns({
+        "Consumer_ID": F.concat(F.lit("planted-"), F.col("k").cast("string")), "DateTime": night,
+        "KWH": (level * (50 + F.col("k"))).cast("string")})
+    return given.unionByName(made.drop("k"))
+
+
+def _planted_inputs(spark, sf):
+    found = stage(E.ratio_features(U.aggregate_consumers(C.clean_readings(planted(spark, sf)))), "planted")
+    df = stage(E.anomaly_flags(found, E.fit_population(found)), "planted-flagged")
+    names, inputs = E.model_columns(df), E.model_inputs(df)
+    return df, names, inputs, fit_scaler(df, names, inputs)
+
+
+def _first(scores, column, descending):
+    """As many consumers as were planted, from the most anomalous one on."""
+    order = F.col(column).desc() if descending else F.col(column)
+    return scores.orderBy(order, "consumer_id").limit(PLANTED).select("consumer_id")
+
+
+def q_forest_planted(spark, sf):
+    df, names, inputs, scaler = _planted_inputs(spark, sf)
+    columns = scaler.columns(inputs)
+    return _first(M.fit_forest(df, names, columns).score(df, columns), "raw_score", False)
+
+
+def q_autoencoder_planted(spark, sf):
+    df, names, inputs, scaler = _planted_inputs(spark, sf)
+    fitted = A.fit_autoencoder(df, inputs, A.AutoencoderParams(names, epochs=10), scaler)
+    return _first(stage(fitted.error(df, inputs), "errors"), "ae_error", True)
+
+
+def q_analyze_planted(spark, sf):
+    return _first(analyze(planted(spark, sf)).results, "anomaly_score", True)
+
+
+def q_blend_planted(spark, sf):
+    found = analyze(planted(spark, sf), use_autoencoder=True, autoencoder_params={"epochs": 10})
+    return _first(found.results, "anomaly_score", True)
+
+
 def q_analyzed_consumers(spark, sf):
     """What a whole analysis says of every consumer apart from the scores."""
     found = analyze(raw(spark, sf)).results
