@@ -106,3 +106,39 @@ def test_texts_without_common_words_look_like_their_edits(spark, docs):
         [(2 * k + 1, t) for k, t in enumerate(texts)] + [(2 * k, english) for k in range(len(texts))])).collect()}
     for k in range(len(texts)):
         assert got[2 * k + 1].near_edited > (0.4 if k < 3 else 0.0) and got[2 * k + 1].near_next < got[2 * k + 1].near_edited
+
+
+def test_ngrams_spread_evenly_over_many_shards():
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    text = pa.array([t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()])
+    own = ngram_model.Tokens(pa.table({"text": text, "training": pa.array([True] * len(text))}))
+    counts = np.bincount(own.token)
+    shards = 2000
+    _, levels = ngram_model._grams(own, own.high, counts, len(own.token), 3, shards)
+    pairs, triples = levels
+    at = np.bincount(triples.shard, minlength=shards)
+    assert at.max() <= 2 * at.mean()
+    # An n-gram stands where those are that continue it, and few stand twice.
+    assert (triples.at == pairs.at[triples.above]).all() and (pairs.gram[triples.above] == triples.parent[triples.gram]).all()
+    assert len(pairs.at) <= 1.25 * len(pairs.shard) and len(triples.at) == len(triples.shard)
+    assert (pairs.own(pairs.gram) == np.arange(len(pairs.shard))).all()
+
+
+def test_shards_without_keys_are_not_asked(spark, docs):
+    from wattsift.llm import exchange
+
+    blocks, number, shards = exchange.in_blocks(docs([(k, f"word{k}") for k in range(3)]))
+    keys = np.array([5, 2**63], np.uint64)
+
+    def questions(table):
+        cut = exchange.shard_cuts(keys, shards).tolist()
+        return [(s, 1, exchange.pack_sorted(keys[b:e])) for s, (b, e) in enumerate(zip(cut, cut[1:])) if e > b]
+
+    asked = exchange.ask(blocks, questions)
+    held = blocks.select("block").distinct().count()
+    assert asked.count() == 2 * held
+    told = exchange.to_all_blocks(asked, lambda a: (len(a), 1), 0, number).collect()
+    assert sorted(r.block for r in told) == list(range(number)) and {bytes(r.answer) for r in told} == {f"{2 * held},2".encode()}
+    assert exchange.shard_of(keys, shards).tolist() == [0, shards // 2]

@@ -159,7 +159,7 @@ def remove_repeats(
     given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
         *([F.struct(*others).alias("others")] if others else []))
-    blocks, shards = in_blocks(given)
+    blocks, _, shards = in_blocks(given)
     def anchor_questions(table: pa.Table):
         own = Windows(table, window, period, cover)
         cut = shard_cuts(own.keys, shards).tolist()

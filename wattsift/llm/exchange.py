@@ -6,7 +6,7 @@ dealt into blocks of a bounded number of characters by a hash of their row. A bl
 distinct key once, however often it holds it, so a key that a third of all documents hold costs one
 entry per block and cannot make a task heavy. The keys of a block go sorted to the shards that
 own them; a shard sees all blocks, and answers each with one small value per key, in the
-block's order, so that keys need not travel back. All steps are Spark group-bys over plain rows:
+block's order, so that keys need not travel back. A shard of which a block has no key is not asked, so there are never more rows than keys. All steps are Spark group-bys over plain rows:
 
     docs by block -> (shard, block, kind, asked) by shard -> (block, shard, kind, answer) by block, with docs
 
@@ -92,12 +92,17 @@ def shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array([step * k for k in range(1, shards)], np.uint64)), [len(keys)]])
 
 
-def in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, int]:
-    """The rows with a block number, and how many shards there should be; `text` must not be null."""
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of 64-bit keys, as `shard_cuts` has it."""
+    return np.minimum(keys // np.uint64((1 << 64) // shards), np.uint64(shards - 1))
+
+
+def in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, int, int]:
+    """The rows with a block number, and how many blocks and shards there should be; `text` must not be null."""
     chars = docs.agg(F.sum(F.length("text").cast("long"))).collect()[0][0] or 0
     blocks = max(LEAST_BLOCKS, math.ceil(chars / block_chars))
     shards = max(LEAST_BLOCKS, blocks // BLOCKS_TO_A_SHARD)
-    return docs.withColumn("block", block_of(F.col("doc_id"), F.col("text"), blocks)), shards
+    return docs.withColumn("block", block_of(F.col("doc_id"), F.col("text"), blocks)), blocks, shards
 
 
 def block_of(doc_id: Column, text: Column, blocks: int) -> Column:
@@ -137,6 +142,23 @@ def answer(asked: DataFrame, reply: Callable[[int, list[bytes]], list[bytes]]) -
     return asked.groupBy("shard").applyInArrow(run, ANSWER)
 
 
+def to_all_blocks(asked: DataFrame, count: Callable[[list[bytes]], tuple[int, int]], kind: int, blocks: int) -> DataFrame:
+    """An answer to every block: two sums over all shards of what `count` finds, as text with a comma between."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = count([r["asked"] for r in sorted(table.to_pylist(), key=lambda r: r["block"])])
+        give_back()
+        return pa.table({"a": [found[0]], "b": [found[1]]})
+
+    sums = asked.groupBy("shard").applyInArrow(run, "a long, b long").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    many = 4096
+    far = sums.withColumn("far", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // many))))
+    every = far.withColumn("near", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    every = every.withColumn("block", F.col("far") * many + F.col("near")).where(F.col("block") < blocks)
+    said = F.encode(F.concat_ws(",", F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))), "utf-8")
+    return every.select("block", F.lit(-1).alias("shard"), F.lit(kind).alias("kind"), said.alias("answer"))
+
+
 def told(table: pa.Table, kind: int) -> list[bytes]:
     """The answers of one kind that came to a block, in the order of shards."""
     return [r["answer"] for r in sorted((r for r in table.to_pylist() if r["kind"] == kind), key=lambda r: r["shard"])]

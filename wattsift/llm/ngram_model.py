@@ -13,11 +13,13 @@ Smoothing is Dirichlet's: P(w | h) = (c(h w) + mu P(w | h')) / (c(h) + mu), down
 all unknown words share one. The code of an entry is its numerator's logarithm: counts are exact up to 64 and in steps of
 2 % above. Denominators are counts of one order less, which the scorer has anyway.
 
-Nothing is held whole. Counts of single tokens and n-grams are asked from shards as in `exchange`: a shard
-adds up what all blocks bring, builds its part of the trie in memory-mapped files, looks up what each
-block asks, and deletes the files. An n-gram is asked where its first two tokens are, so that a block sends its own trie, without
-contexts above level 2. Successors of one token are dealt to several shards, so a
-very common word is no burden. What the blocks bring grows with the corpus.
+Nothing is held whole. Counts are asked from shards as in `exchange`, first those of single tokens: a token's shard adds up
+what all blocks bring and numbers its tokens, so that n-grams travel as short numbers that no two tokens share. Then blocks ask for
+n-grams: a shard adds them up, builds its part of the trie in memory-mapped files, looks every distinct n-gram up
+in it, and deletes the files. An n-gram is asked where the one that it continues is, so that a block sends its own trie, without
+contexts above level 2. Successors are dealt to more shards the more often their context can occur, which the counts of its tokens
+bound, so a very common word or pair is no burden; a rare one stays in one shard. A context stands in every shard of its successors.
+What the blocks bring grows with the corpus.
 """
 
 from __future__ import annotations
@@ -27,22 +29,25 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattsift.llm.anchors import mix
 from wattsift.llm.exchange import (
-    answer, ask, conclude, in_blocks, pack_numbers, pack_parts, pack_sorted, shard_cuts, told, unpack_numbers, unpack_parts,
-    unpack_sorted,
+    ASKED, answer, ask, conclude, in_blocks, pack_numbers, pack_parts, pack_sorted, rows_of, shard_cuts, shard_of, to_all_blocks, told,
+    unpack_numbers, unpack_parts, unpack_sorted,
 )
-from wattsift.llm.tables import ASCII_LOWER, texts
+from wattsift.llm.tables import texts
 
 ORDER = 3
 MU = 200.0
-# Shards that share the successors of a context.
-SPREAD = 16
-# Bits of the hashes by which contexts and tokens travel to a trie.
-ID_BITS = 40
+# Successors of a context go to so many shards that each gets at most this part of what a shard has on average.
+PARTS = 16
+# N-grams that are looked up at once.
+SLICE = 500_000
+# Kinds of questions and answers: sums over all shards, single tokens, n-grams.
+SUMS, TOKENS, GRAMS = 0, 1, 2
 EXACT_COUNTS, STEP = 64, 1.02
 SCORES = "doc_id long, n_tokens long, n_known long, log_counts double, vocabulary long, train_tokens long, score double"
 
@@ -148,18 +153,28 @@ class EliasFano:
 class Level:
     """Contexts, pointers, successors and codes of one order in memory-mapped files."""
 
-    def __init__(self, folder: str, contexts: np.ndarray, tokens: np.ndarray, counts: np.ndarray, parents: int | None = None):
-        """With `parents`, contexts are the places of that many entries of the level below."""
+    def __init__(
+        self, folder: str, contexts: np.ndarray, tokens: np.ndarray, counts: np.ndarray, parents: int | None = None,
+        vocabulary: np.ndarray | None = None,
+    ):
+        """With `parents`, contexts are the places of that many entries of the level below. With `vocabulary`, tokens are places in
+        that sorted list, and entries rise and do not repeat."""
         os.makedirs(folder, exist_ok=True)
-        order = np.lexsort((tokens, contexts))
-        c, w, n = contexts[order], tokens[order], counts[order]
-        new = np.ones(len(c), bool)
-        new[1:] = (np.diff(c) != 0) | (np.diff(w) != 0)
-        c, w, n = c[new], w[new], np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n
-        vocabulary, number = np.unique(w, return_inverse=True)
+        if vocabulary is None:
+            order = np.lexsort((tokens, contexts))
+            c, w, n = contexts[order], tokens[order], counts[order]
+            new = np.ones(len(c), bool)
+            new[1:] = (np.diff(c) != 0) | (np.diff(w) != 0)
+            c, w, n = c[new], w[new], np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n
+            vocabulary, number = np.unique(w, return_inverse=True)
+        else:
+            c, n = contexts, counts
+            used = np.bincount(tokens, minlength=len(vocabulary)) > 0
+            vocabulary, number = vocabulary[used], (np.cumsum(used) - 1)[tokens]
         self.size = max(1, len(vocabulary))
         if parents is None:
-            known, first = np.unique(c, return_index=True)
+            first = np.flatnonzero(np.diff(c, prepend=~c[:1]))
+            known = c[first]
             owner = np.repeat(np.arange(len(known)), np.diff(first, append=len(c)))
             np.save(f"{folder}/contexts.npy", known)
             self.contexts = np.load(f"{folder}/contexts.npy", mmap_mode="r")
@@ -221,72 +236,132 @@ class Tokens:
     def __init__(self, table: pa.Table):
         from xxhash import xxh3_128_digest
 
-        place: dict[bytes, int] = {b"": 0}  # no word is empty: the end
-        number: list[int] = []
-        sizes = []
-        for text in table.column("text").to_pylist():
-            words = text.encode().translate(ASCII_LOWER).split()
-            number += [place.setdefault(w, len(place)) for w in words]
-            number.append(0)
-            sizes.append(len(words) + 1)
-        self.sizes = np.array(sizes, np.int64)
-        self.token = np.array(number, np.int64)
-        seen = np.frombuffer(b"".join(map(xxh3_128_digest, place)), np.uint64).reshape(-1, 2)
+        # Arrow lower-cases A-Z only and splits at the same six blanks.
+        split = pc.ascii_split_whitespace(pc.ascii_lower(table.column("text").cast(pa.large_string())))
+        words = pc.list_flatten(split).combine_chunks()
+        there = np.asarray(pc.binary_length(words)) > 0
+        owner = np.repeat(np.arange(table.num_rows), np.asarray(pc.list_value_length(split), np.int64))
+        self.sizes = np.bincount(owner[there], minlength=table.num_rows) + 1
+        if not there.all():
+            words = words.filter(pa.array(there))
+        words = words.dictionary_encode()
+        # No word is empty: the end, after every text, is number 0.
+        self.token = np.zeros(len(words) + table.num_rows, np.int64)
+        inside = np.ones(len(self.token), bool)
+        inside[np.cumsum(self.sizes) - 1] = False
+        self.token[inside] = np.asarray(words.indices) + 1
+        # The bytes of all distinct words, one after the other.
+        distinct = words.dictionary
+        ends, joined = [0], b""
+        if len(distinct):
+            _, offsets, data = distinct.buffers()
+            ends = np.frombuffer(offsets, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1].tolist()
+            joined = data.to_pybytes()
+        digests = [xxh3_128_digest(joined[b:e]) for b, e in zip(ends, ends[1:])]
+        seen = np.frombuffer(b"".join([xxh3_128_digest(b""), *digests]), np.uint64).reshape(-1, 2)
         self.high, self.low = seen[:, 0].copy(), seen[:, 1] >> np.uint64(32)
         self.training = np.repeat(table.column("training").to_numpy(zero_copy_only=False), self.sizes)
         self.begin = np.cumsum(self.sizes) - self.sizes
-        self.order = np.argsort(self.high, kind="stable")
+        self.order = _rising(self.high, self.low)
+
+
+def _rising(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Order by both numbers; equal `high` are so rare that mostly one sort is enough."""
+    by = np.argsort(high)
+    again = np.flatnonzero(np.diff(high[by]) == 0)
+    return np.lexsort((low, high)) if (low[by[again]] > low[by[again + 1]]).any() else by
 
 
 class Grams:
-    """Distinct n-grams of one order in a block, in the order in which they are asked."""
+    """Distinct n-grams of one order in a block, rising, and the entries that ask for them: one in the shard of the
+    n-gram, and one in every other shard that has n-grams which continue it."""
 
-    def __init__(self, parent: np.ndarray, token: np.ndarray, counts: np.ndarray, shard: np.ndarray, where: np.ndarray, group: np.ndarray):
+    def __init__(self, parent: np.ndarray, token: np.ndarray, counts: np.ndarray, shard: np.ndarray, least: np.ndarray):
         self.parent, self.token, self.counts, self.shard = parent, token, counts, shard
+        # Occurrences of the rarest token in all training texts: the n-gram has no more.
+        self.least = least
         # Positions of the block that end such an n-gram, and which one.
-        self.where, self.group = where, group
-
-    def cut(self, shards: int) -> list[int]:
-        return np.searchsorted(self.shard, np.arange(shards + 1)).tolist()
+        self.where = self.group = np.zeros(0, np.int64)
+        # Entries by shard, and the entry of the n-gram that each continues.
+        self.at = self.gram = self.above = np.zeros(0, np.int64)
+
+    def enter(self, below: Grams | None, shards: int) -> None:
+        self.at, self.gram = self.shard, np.arange(len(self.shard))
+        if below is not None:
+            context = below.parent[below.gram]
+            away = below.at != self.shard[context]
+            more = np.unique(below.at[away] * len(self.shard) + context[away])
+            if len(more):
+                gram = np.concatenate([self.gram, more % len(self.shard)])
+                by = np.argsort(gram, kind="stable")
+                self.at, self.gram = np.concatenate([self.at, more // len(self.shard)])[by], gram[by]
+        by = np.argsort(self.at.astype(np.uint16 if shards < 1 << 16 else np.int64), kind="stable")
+        self.at, self.gram = self.at[by], self.gram[by]
+        if below is not None:
+            keys = self.at * len(self.shard) + self.gram
+            below.above = np.searchsorted(keys, below.at * len(self.shard) + below.parent[below.gram])
+
+    def own(self, of_entries: np.ndarray) -> np.ndarray:
+        """Values of the n-grams from those of their entries."""
+        mine = self.at == self.shard[self.gram]
+        out = np.zeros(len(self.shard), of_entries.dtype)
+        out[self.gram[mine]] = of_entries[mine]
+        return out
 
 
-def _grams(own: Tokens, order: int, shards: int) -> tuple[np.ndarray, list[Grams]]:
-    """Sorted hashes of a block's tokens, and its n-grams of orders 2 to `order`, each under the one it continues.
+def _grams(own: Tokens, ids: np.ndarray, counts: np.ndarray, total: int, order: int, shards: int) -> tuple[np.ndarray, list[Grams]]:
+    """Sorted numbers of a block's tokens, and its n-grams of orders 2 to `order`, each under the one it continues.
 
-    Nothing here depends on the order of a block's rows: tokens are numbered by their hashes.
+    Nothing here depends on the order of a block's rows: tokens are named by the numbers that their shards gave them.
     """
-    hashes, rank = np.unique(own.high >> np.uint64(64 - ID_BITS), return_inverse=True)
-    token = rank[own.token].astype(np.int64)
+    by = np.argsort(ids)
+    known, often = ids[by], counts[by]
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    token = rank[own.token]
     at = np.arange(len(token)) - np.repeat(own.begin, own.sizes)
     # Before the first token stands the end.
-    parent = np.append(rank[0], token[:-1]).astype(np.int64)
+    parent = np.append(rank[0], token[:-1])
     parent[own.begin] = rank[0]
     where = np.arange(len(token))
     levels: list[Grams] = []
     for k in range(2, order + 1):
-        found, group = np.unique(parent[where] * len(hashes) + token[where], return_inverse=True)
-        counts = np.bincount(group, own.training[where], len(found)).astype(np.uint64)
-        above, last = found // len(hashes), found % len(hashes)
-        if k == 2:
-            shard = _shard_of(hashes[above], hashes[last], shards)
-            by = np.argsort(shard, kind="stable")
-            place = np.empty(len(by), np.int64)
-            place[by] = np.arange(len(by))
-            above, last, counts, shard, group = above[by], last[by], counts[by], shard[by], place[group]
-        else:
-            shard = levels[-1].shard[above]
-        levels.append(Grams(above, last, counts, shard, where, group))
+        found, group = np.unique(parent[where] * len(known) + token[where], return_inverse=True)
+        seen = np.bincount(group, own.training[where], len(found)).astype(np.uint64)
+        above, last = found // len(known), found % len(known)
+        home, least = (_first_shard(known[above], shards), often[above]) if k == 2 else (levels[-1].shard[above], levels[-1].least[above])
+        shard = (home + _slice_of(known[last], k, spread(least, total, shards))) % shards
+        levels.append(Grams(above, last, seen, shard, np.minimum(least, often[last])))
+        levels[-1].where, levels[-1].group = where, group
         ends = np.full(len(token), -1)
         ends[where] = group
         parent = np.append(-1, ends[:-1])
         where = np.flatnonzero(at >= k - 1)
-    return hashes, levels
+    below = None
+    for g in reversed(levels):
+        g.enter(below, shards)
+        below = g
+    return known, levels
+
+
+def spread(counts: np.ndarray, total: int, shards: int) -> np.ndarray:
+    """How many shards have the successors of contexts that occur at most so often among `total` tokens."""
+    return np.clip(np.ceil(PARTS * shards * (counts / max(1, total))), 1, shards).astype(np.int64)
+
+
+def _scaled(h: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
+    return ((mix(h) >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64)
+
+
+def _first_shard(first: np.ndarray, shards: int) -> np.ndarray:
+    return _scaled(mix(first + np.uint64(1)), np.uint64(shards))
 
 
-def _shard_of(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
-    """A token's successors go to several shards."""
-    spread = mix(first) + (second % np.uint64(SPREAD)) * np.uint64((1 << 64) // SPREAD)
-    return ((spread >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def _slice_of(token: np.ndarray, order: int, slices: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(token), np.int64)
+    many = np.flatnonzero(slices > 1)
+    out[many] = _scaled(mix(token[many] + np.uint64(order << 56)), slices[many].astype(np.uint64))
+    return out
 
 
 def _log_sums(values: np.ndarray, own: Tokens) -> np.ndarray:
@@ -300,75 +375,110 @@ def score_texts(docs: DataFrame, order: int = ORDER, mu: float = MU, training: C
     one: its only token is the end. Every row counts for itself, also with an id that others have.
     """
     given = texts(docs).withColumn("training", trained(F.col("doc_id")) if training is None else training)
-    blocks, shards = in_blocks(given)
+    blocks, number, shards = in_blocks(given)
 
-    def questions(table: pa.Table):
+    def token_questions(table: pa.Table):
         own = Tokens(table)
-        counts = np.bincount(own.token, own.training, len(own.high)).astype(np.uint64)
+        seen = np.bincount(own.token, own.training, len(own.high)).astype(np.uint64)
         o = own.order
         cut = shard_cuts(own.high[o], shards).tolist()
-        out = [(s, 1, pack_parts([pack_sorted(own.high[o[b:e]]), pack_numbers(own.low[o[b:e]]), pack_numbers(counts[o[b:e]])]))
-               for s, (b, e) in enumerate(zip(cut, cut[1:]))]
-        hashes, levels = _grams(own, order, shards)
-        cuts = [g.cut(shards) for g in levels]
-        for s in range(shards if levels else 0):
-            parts = [slice(c[s], c[s + 1]) for c in cuts]
-            # Tokens are sent once; entries name them by their places.
-            used, place = np.unique(np.concatenate([g.token[p] for g, p in zip(levels, parts)]), return_inverse=True)
-            known, sizes = np.unique(levels[0].parent[parts[0]], return_counts=True)
-            sent = [pack_sorted(hashes[used]), pack_sorted(hashes[known])]
-            for k, (g, p) in enumerate(zip(levels, parts)):
-                if k:
-                    sizes = np.bincount(g.parent[p] - parts[k - 1].start, minlength=parts[k - 1].stop - parts[k - 1].start)
-                n = p.stop - p.start
-                sent += [pack_numbers(x.astype(np.uint64)) for x in (sizes, place[:n], g.counts[p])]
-                place = place[n:]
-            out.append((s, 2, pack_parts(sent)))
-        return out
+        return [(s, TOKENS, pack_parts([pack_sorted(own.high[o[b:e]]), pack_numbers(own.low[o[b:e]]), pack_numbers(seen[o[b:e]])]))
+                for s, (b, e) in enumerate(zip(cut, cut[1:])) if e > b]
 
-    def token_answers(asked: list[bytes]) -> list[bytes]:
+    def token_totals(asked: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Counts of a shard's distinct tokens, rising; which one each question is about, and where a block's questions end."""
         parts = [unpack_parts(a) for a in asked]
         high = [unpack_sorted(p[0]) for p in parts]
         flat = np.concatenate(high)
         low, n = (np.concatenate([unpack_numbers(p[k]) for p in parts]) for k in (1, 2))
-        by = np.lexsort((low, flat))
+        by = _rising(flat, low)
         new = np.ones(len(by), bool)
         new[1:] = (np.diff(flat[by]) != 0) | (np.diff(low[by]) != 0)
         group = np.empty(len(by), np.int64)
         group[by] = np.cumsum(new) - 1
-        totals = np.zeros(int(new.sum()), np.uint64)
-        np.add.at(totals, group, n)
-        # With the counts goes what the whole shard has, so that every block learns the sums of all shards.
-        shard = pack_numbers(np.array([totals.sum(), (totals > 0).sum()], np.uint64))
-        ends = np.cumsum([len(h) for h in high])
-        return [pack_parts([shard, pack_numbers(totals[group[e - len(h) : e]])]) for h, e in zip(high, ends)]
-
-    def trie_answers(asked: list[bytes]) -> list[bytes]:
-        # What a block asks is sorted by (context, token), as it was sent.
+        return np.add.reduceat(n[by], np.flatnonzero(new)), group, np.cumsum([len(h) for h in high]).tolist()
+
+    def token_answers(_: int, asked: list[bytes]) -> list[bytes]:
+        totals, group, ends = token_totals(asked)
+        own = [group[b:e] for b, e in zip([0, *ends], ends)]
+        return [pack_parts([pack_numbers(totals[g]), pack_sorted(g.astype(np.uint64))]) for g in own]
+
+    def token_sums(asked: list[bytes]) -> tuple[int, int]:
+        totals = token_totals(asked)[0]
+        return int(totals.sum()), int((totals > 0).sum())
+
+    def learnt(own: Tokens, got: pa.Table) -> tuple[int, int, np.ndarray, np.ndarray]:
+        """Training tokens, distinct ones, and the counts and numbers of a block's tokens."""
+        total, vocabulary = map(int, told(got, SUMS)[0].decode().split(","))
+        answers = [unpack_parts(a) for a in told(got, TOKENS)]
+        o = own.order
+        counts, ids = np.zeros((2, len(o)), np.uint64)
+        counts[o] = np.concatenate([unpack_numbers(a[0]) for a in answers])
+        # The place in its shard and the shard make a number that only one token has.
+        ids[o] = np.concatenate([unpack_sorted(a[1]) for a in answers]) * np.uint64(shards) + shard_of(own.high[o], shards)
+        return total, vocabulary, counts.astype(np.int64), ids
+
+    def gram_questions(table: pa.Table, got: pa.Table) -> pa.Table:
+        names = ["shard", "block", "kind", "asked"]
+        if not table.num_rows:
+            return rows_of(names, [])
+        own = Tokens(table)
+        total, _, counts, ids = learnt(own, got)
+        known, levels = _grams(own, ids, counts, total, order, shards)
+        rows = []
+        cuts = [np.searchsorted(g.at, np.arange(shards + 1)) for g in levels]
+        for s in np.flatnonzero(np.diff(cuts[0])).tolist() if levels else []:
+            parts = [slice(int(c[s]), int(c[s + 1])) for c in cuts]
+            grams = [g.gram[p] for g, p in zip(levels, parts)]
+            # Tokens are sent once; entries name them by their places.
+            used, place = np.unique(np.concatenate([g.token[own_] for g, own_ in zip(levels, grams)]), return_inverse=True)
+            heads, sizes = np.unique(levels[0].parent[grams[0]], return_counts=True)
+            sent = [pack_sorted(known[used]), pack_sorted(known[heads])]
+            for k, (g, p, own_) in enumerate(zip(levels, parts, grams)):
+                if k:
+                    sizes = np.bincount(g.above[p] - parts[k - 1].start, minlength=len(grams[k - 1]))
+                sent += [pack_numbers(x.astype(np.uint64)) for x in (sizes, place[: len(own_)], g.counts[own_])]
+                place = place[len(own_) :]
+            rows.append((s, table.column("block")[0].as_py(), GRAMS, pack_parts(sent)))
+        return rows_of(names, rows)
+
+    def gram_answers(_: int, asked: list[bytes]) -> list[bytes]:
+        # What a block asks is sorted by (context, token), as it was sent, and so are the numbers below.
         parts = [unpack_parts(a) for a in asked]
-        tokens = [unpack_sorted(p[0]) for p in parts]
-        contexts = [unpack_sorted(p[1]) for p in parts]
+        tokens, heads = ([unpack_sorted(p[k]) for p in parts] for k in (0, 1))
+        vocabulary, contexts = np.unique(np.concatenate(tokens)), np.unique(np.concatenate(heads))
+        tokens = [np.searchsorted(vocabulary, t) for t in tokens]
+        owners = [np.searchsorted(contexts, h) for h in heads]
         out: list[list[bytes]] = [[] for _ in parts]
         parents = None
         with tempfile.TemporaryDirectory() as folder:
             for k in range(2, order + 1):
                 sent = [[unpack_numbers(x).astype(np.int64) for x in p[3 * k - 4 : 3 * k - 1]] for p in parts]
-                contexts = [np.repeat(c, x[0]) for c, x in zip(contexts, sent)]
-                last = [t[x[1]] for t, x in zip(tokens, sent)]
-                seen = [x[2] > 0 for x in sent]
-                level = Level(
-                    f"{folder}/{k}", *(np.concatenate([v[y] for v, y in zip(every, seen)]) for every in (contexts, last, [x[2] for x in sent])),
-                    parents=parents)
+                keys = np.concatenate([np.repeat(o, x[0]) * len(vocabulary) + t[x[1]] for o, t, x in zip(owners, tokens, sent)])
+                ends = np.cumsum([len(x[1]) for x in sent]).tolist()
+                counts = np.concatenate([x[2] for x in sent])
+                del sent, owners
+                by = np.argsort(keys)
+                new = np.flatnonzero(np.diff(keys[by], prepend=-1))
+                group = np.empty(len(by), np.int64)
+                group[by] = np.repeat(np.arange(len(new)), np.diff(new, append=len(by)))
+                # Every distinct n-gram is looked up once, whichever blocks ask for it.
+                owner, word = np.divmod(keys[by[new]], len(vocabulary))
+                counts = np.add.reduceat(counts[by], new) if len(new) else counts
+                del keys, by
+                seen = counts > 0
+                c = contexts[owner]
+                level = Level(f"{folder}/{k}", c[seen], word[seen], counts[seen], parents=parents, vocabulary=vocabulary)
                 # The places found are the contexts of the next level.
-                contexts = [level.find(c, w) for c, w in zip(contexts, last)]
-                for o, c in zip(out, contexts):
-                    o.append(pack_numbers(level.codes_at(c).astype(np.uint64)))
+                contexts = np.concatenate([
+                    level.find(c[b : b + SLICE], vocabulary[word[b : b + SLICE]]) for b in range(0, len(c), SLICE)] or [c.astype(np.int64)])
+                codes = level.codes_at(contexts).astype(np.uint64)[group]
+                owners = [group[b:e] for b, e in zip([0, *ends], ends)]
+                for o, b, e in zip(out, [0, *ends], ends):
+                    o.append(pack_numbers(codes[b:e]))
                 parents = len(level.codes)
         return [pack_parts(o) for o in out]
 
-    def replies(kind: int, asked: list[bytes]) -> list[bytes]:
-        return token_answers(asked) if kind == 1 else trie_answers(asked)
-
     names = [f.split(" ")[0] for f in SCORES.split(", ")]
 
     def finish(table: pa.Table, got: pa.Table) -> pa.Table:
@@ -376,20 +486,17 @@ def score_texts(docs: DataFrame, order: int = ORDER, mu: float = MU, training: C
             kinds = [pa.int64()] * 3 + [pa.float64()] + [pa.int64()] * 2 + [pa.float64()]
             return pa.table({n: pa.array([], k) for n, k in zip(names, kinds)})
         own = Tokens(table)
-        answers = [[unpack_numbers(p) for p in unpack_parts(a)] for a in told(got, 1)]
-        total, vocabulary = (int(sum(int(a[0][k]) for a in answers)) for k in (0, 1))
-        counts = np.zeros(len(own.high), np.int64)
-        counts[own.order] = np.concatenate([a[1] for a in answers]).astype(np.int64)
+        total, vocabulary, counts, ids = learnt(own, got)
         c = counts[own.token]
         p = (c + 1.0) / (total + vocabulary + 1.0)
         # The context of a token is the one before it; before the first stands the end.
         before = np.append(0, own.token[:-1])
         before[own.begin] = 0
         held = counts[before].astype(float)
-        codes = [unpack_parts(a) for a in told(got, 2)]
-        for k, grams in enumerate(_grams(own, order, shards)[1]):
+        codes = [unpack_parts(a) for a in told(got, GRAMS)]
+        for k, grams in enumerate(_grams(own, ids, counts, total, order, shards)[1]):
             n = np.zeros(len(own.token))
-            n[grams.where] = count_of(np.concatenate([unpack_numbers(c[k]) for c in codes]))[grams.group]
+            n[grams.where] = count_of(grams.own(np.concatenate([unpack_numbers(c[k]) for c in codes])))[grams.group]
             # Rounded counts of a long context may pass those of its own tokens' sum by the quantum.
             p = (np.minimum(n, held) + mu * p) / (held + mu)
             held = np.append(0.0, n[:-1])
@@ -399,7 +506,10 @@ def score_texts(docs: DataFrame, order: int = ORDER, mu: float = MU, training: C
                 _log_sums(np.log10(p), own)]
         return pa.table(dict(zip(names, rows)))
 
-    scored = conclude(blocks, answer(ask(blocks, questions), replies), finish, SCORES)
+    asked = ask(blocks, token_questions)
+    first = answer(asked, token_answers).unionByName(to_all_blocks(asked, token_sums, SUMS, number))
+    second = answer(conclude(blocks, first, gram_questions, ASKED), gram_answers)
+    scored = conclude(blocks, first.unionByName(second), finish, SCORES)
     parts = F.log10(F.col("train_tokens").cast("double") + F.col("vocabulary") + 1.0)
     return scored.select(
         "doc_id", (~trained(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", "train_tokens",
