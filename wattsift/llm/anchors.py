@@ -164,7 +164,7 @@ def remove_repeats(
         own = Windows(table, window, period, cover)
         cut = shard_cuts(own.keys, shards).tolist()
         return [(s, ANCHORS, pack_parts([pack_sorted(own.keys[b:e]), pack_flags(own.often[b:e])]))
-                for s, (b, e) in enumerate(zip(cut, cut[1:]))]
+                for s, (b, e) in enumerate(zip(cut, cut[1:])) if e > b]
 
     def anchor_answers(_: int, asked: list[bytes]) -> list[bytes]:
         parts = [unpack_parts(a) for a in asked]
@@ -190,7 +190,9 @@ def remove_repeats(
         cut = shard_cuts(high, shards).tolist()
         rows = []
         for s, (x, y) in enumerate(zip(cut, cut[1:])):
-            least = ids[x:y].min(initial=np.uint64(2**64 - 1))
+            if x == y:
+                continue
+            least = ids[x:y].min()
             rows.append((s, number, WINDOWS, pack_parts([
                 pack_sorted(high[x:y]), pack_numbers(low[x:y]), pack_numbers(ids[x:y] - least),
                 pack_numbers(np.array([least])), pack_numbers(b.at[first[x:y]].astype(np.uint64))])))
