@@ -47,13 +47,40 @@ def test_clean(raw):
 
 
 def test_one_pass_gives_the_same_report_and_consumers(raw):
-    counted = count_consumers(raw)
+    counted = C.in_one_order(count_consumers(raw))
     assert C.report_from_counts(counted, 4).first() == C.clean_report(raw).first()
     used = counted.filter("consumer_id IS NOT NULL AND reading_count > 0")
     apart = aggregate_consumers(C.clean_readings(raw))
     assert sorted(used.select(apart.columns).collect()) == sorted(apart.collect())
 
 
+SLASHED = [
+    ("a", "5/10/2024 01:00", "1.0", "UP"), ("a", "5/10/2024 02:00", "2.0", "Delhi"), ("a", "2024-01-09 10:00:00", "3.0", "UP"),
+    ("b", "2/3/2024 23:00", "4.0", "UP"), ("b", "3/2/2024 23:00", "5.0", "Delhi"), ("b", "31/12/2024", "6.0", "UP"),
+    ("b", "12/31/2024", "7.0", "UP"), ("c", "99/99/2024", "1.0", "UP"), (None, "1/2/2024", "x", "UP"), ("d", "2024-01-01", "1", "UP")]
+
+
+@pytest.mark.parametrize("rows", [SLASHED, [r for r in SLASHED if not r[1].startswith(("31", "99"))]])
+def test_both_orders_of_the_date_in_one_scan(spark, rows):
+    """What the dates of the whole column show chooses, and the raw readings are read once."""
+    raw = spark.createDataFrame(rows + rows[:2], SCHEMA).repartition(3)
+    known = C.find_day_first(C.rename_standard(raw))
+    assert known == (len(rows) == len(SLASHED))
+    both = count_consumers(raw)
+    counted = C.in_one_order(both)
+    want = count_consumers(raw, known)
+    assert both.count() == 2 * want.count() and counted.columns == want.columns
+    assert sorted(counted.collect(), key=str) == sorted(want.collect(), key=str)
+    assert C.clean_report(raw).first() == C.clean_report(raw, known).first() == C.report_from_counts(counted, 4).first()
+    other = count_consumers(raw, not known)
+    assert sorted(other.collect(), key=str) != sorted(want.collect(), key=str)
+    assert plan_exchanges(count_consumers(raw)) == plan_exchanges(count_consumers(raw, known)) == 2
+
+
+def plan_exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
 def test_empty_input(spark):
     empty = spark.createDataFrame([], SCHEMA)
     row = C.clean_report(empty).first()

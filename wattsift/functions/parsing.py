@@ -69,10 +69,15 @@ def read_number(column: Column, kind: T.DataType) -> Column:
     return F.when(~text.rlike(NOT_A_DECIMAL), text.try_cast("double"))
 
 
-def day_comes_first(text: Column) -> Column:
-    """Aggregate: whether dates like 13/10/2024 occur, which settles the order for a whole column."""
+def only_day_first(text: Column) -> Column:
+    """Whether a date is one like 13/10/2024, which settles the order for a whole column."""
     first = F.regexp_extract(strip(text), SLASHED, 1)
-    return F.coalesce(F.bool_or(F.when(first != "", first.cast("int") > 12)), F.lit(False))
+    return F.coalesce(first != "", F.lit(False)) & F.coalesce(first.try_cast("int") > 12, F.lit(False))
+
+
+def day_comes_first(text: Column) -> Column:
+    """Aggregate: whether the dates of a column have the day first."""
+    return F.coalesce(F.bool_or(only_day_first(text)), F.lit(False))
 
 
 def _bound(value: Column, use) -> Column:

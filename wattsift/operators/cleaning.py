@@ -7,19 +7,25 @@ record per map task, and the removed copies are known without a second pass.
 Where readings are aggregated by consumer right after, they are shuffled by consumer and day instead.
 Copies meet there as well, and what is left of a consumer's day is aggregated in place: no reading
 crosses the network twice, and a consumer with a third of all readings is as many groups as it has days.
+
+Whether 5/10/2024 has the day or the month first is a question to the whole time column. Aggregates do not ask it before:
+they carry readings that depend on it in both orders, and what the column shows chooses between two results at the end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattsift.functions.parsing import blank_to_null, day_comes_first, is_time, read_number, read_timestamp
+from wattsift.functions.parsing import blank_to_null, day_comes_first, is_time, only_day_first, read_number, read_timestamp
 from wattsift.functions.zones import region_of, region_source
 from wattsift.sources.layouts import detect_layout, rename_standard
 
 COPIES, REJECT, SLOT = "_copies", "_reject", "_slot"
+# The order in which a reading's date was read, NULL where it does not matter; whether the date can only have the day first.
+ORDER, DAY_SHOWN = "_order", "_day_shown"
+MONTH_FIRST, DAY_FIRST = "month first", "day first"
 # Slots of readings that show no day or no consumer, for each consumer.
 SLOTS = 64
 NO_VALUE, NEGATIVE, NO_TIME = "null", "negative", "bad_timestamp"
@@ -59,12 +65,37 @@ def _distinct_in_slots(named: DataFrame) -> DataFrame:
     return placed.groupBy(*[F.col(f"`{c}`") for c in known.columns], SLOT).agg(F.count(F.lit(1)).alias(COPIES))
 
 
+def _has_text_times(named: DataFrame) -> bool:
+    kinds = {f.name: f.dataType for f in named.schema}
+    return isinstance(kinds.get("timestamp"), T.StringType)
+
+
 def find_day_first(named: DataFrame) -> bool:
     """Whether the day comes first in the time column: one aggregate over that column alone, all rows."""
-    kinds = {f.name: f.dataType for f in named.schema}
-    if not isinstance(kinds.get("timestamp"), T.StringType):
-        return False
-    return named.agg(day_comes_first(F.col("timestamp"))).first()[0]
+    return _has_text_times(named) and named.agg(day_comes_first(F.col("timestamp"))).first()[0]
+
+
+def _in_both_orders(frame: DataFrame) -> DataFrame:
+    """Readings once where the order of day and month makes no difference, else in each order."""
+    text = F.col("timestamp")
+    month, day = (read_timestamp(text, T.StringType(), first) for first in (False, True))
+    read = frame.withColumns({"_month": month, "_day": day, DAY_SHOWN: only_day_first(text)})
+
+    def of(order: str | None, time: str) -> Column:
+        return F.struct(F.lit(order).cast("string").alias(ORDER), F.col(time).alias("timestamp"))
+
+    rows = F.when(F.col("_month").eqNullSafe(F.col("_day")), F.array(of(None, "_month"))).otherwise(
+        F.array(of(MONTH_FIRST, "_month"), of(DAY_FIRST, "_day")))
+    rest = [F.col(f"`{c}`") for c in read.columns if c not in ("timestamp", "_month", "_day")]
+    return read.select(*rest, F.inline(rows))
+
+
+def in_one_order(counted: DataFrame) -> DataFrame:
+    """The rows of the order that the dates show, of rows that were counted in both: day first if any can only be that."""
+    if ORDER not in counted.columns:
+        return counted
+    order = DAY_FIRST if counted.agg(F.max(DAY_SHOWN)).first()[0] else MONTH_FIRST
+    return counted.filter(F.col(ORDER) == order).drop(ORDER, DAY_SHOWN)
 
 
 def typed_columns(df: DataFrame, day_first: bool = False) -> dict[str, Column]:
@@ -78,14 +109,14 @@ def tag_readings(raw: DataFrame, day_first: bool | None = None, by_consumer: boo
     """Distinct typed readings, each with the reason for which cleaning drops it, or NULL.
 
     The first reason that applies is kept: no consumption, negative consumption, no time. Dates like 5/10/2024
-    are read as ``day_first`` says, or as the column itself shows where that is None. ``by_consumer`` leaves them
-    together by consumer and slot, for an aggregate that follows.
+    are read as ``day_first`` says; where that is None, a reading whose time depends on it is there in both orders, with
+    the order as a column. ``by_consumer`` leaves readings together by consumer and slot, for an aggregate that follows.
     """
     named = rename_standard(raw)
-    if day_first is None:
-        day_first = find_day_first(named)
     frame = _distinct_in_slots(named) if by_consumer else _distinct(named)
-    frame = frame.withColumns(typed_columns(frame, day_first))
+    if day_first is None and _has_text_times(named):
+        frame = _in_both_orders(frame)
+    frame = frame.withColumns(typed_columns(frame, bool(day_first)))
     reasons = []
     if "consumption" in frame.columns:
         reasons.append(F.when(F.col("consumption").isNull(), NO_VALUE).when(F.col("consumption") < 0, NEGATIVE))
@@ -121,13 +152,21 @@ def clean_readings(raw: DataFrame, day_first: bool | None = None) -> DataFrame:
 def clean_report(raw: DataFrame, day_first: bool | None = None) -> DataFrame:
     """One row: rows before, rows removed by each rule, rows left."""
     reject = F.col(REJECT)
-    counts = tag_readings(raw, day_first).agg(
+    tagged = tag_readings(raw, day_first)
+    both = ORDER in tagged.columns
+    counts = tagged.groupBy(*[ORDER] * both).agg(
         F.sum(COPIES).alias("raw_rows"),
         F.count(F.lit(1)).alias("distinct_rows"),
         F.count_if(reject == NO_VALUE).alias("rejected_null"),
         F.count_if(reject == NEGATIVE).alias("rejected_negative"),
         F.count_if(reject == NO_TIME).alias("rejected_timestamp"),
+        *[F.max(DAY_SHOWN).alias(DAY_SHOWN)] * both,
     )
+    if both:
+        # Three rows at most: the window is over them, not over readings.
+        shown = F.coalesce(F.max(DAY_SHOWN).over(Window.partitionBy(F.lit(0))), F.lit(False))
+        wanted = F.when(shown, DAY_FIRST).otherwise(MONTH_FIRST)
+        counts = counts.withColumn("_wanted", wanted).filter(F.coalesce(ORDER, "_wanted") == F.col("_wanted"))
     return report_from_counts(counts, len(raw.columns))
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from wattsift.functions.calendar import is_night_hour, is_peak_hour, is_weekend
 from wattsift.functions.parsing import nan_to_null
-from wattsift.operators.cleaning import COPIES, NEGATIVE, NO_TIME, NO_VALUE, REJECT, SLOT
+from wattsift.operators.cleaning import (
+    COPIES, DAY_FIRST, DAY_SHOWN, MONTH_FIRST, NEGATIVE, NO_TIME, NO_VALUE, ORDER, REJECT, SLOT,
+)
 from wattsift.operators.quantiles import exact_quantiles
 
 REJECT_COUNTS = ["raw_rows", "distinct_rows", "rejected_null", "rejected_negative", "rejected_timestamp"]
@@ -32,7 +34,8 @@ def aggregate_tagged(
 
     Grouping is by the raw region column, and ``classify`` runs once per consumer and code
     instead of once per reading. Consumers without a valid reading have ``reading_count`` 0,
-    and readings without a consumer share one row whose id is NULL.
+    and readings without a consumer share one row whose id is NULL. Readings tagged in both orders of day and month give a
+    row for each order.
     """
     return _per_consumer(tagged, source, classify, tagged=True)
 
@@ -73,12 +76,19 @@ def _per_consumer(
             F.count_if(reject == NO_TIME).alias("rejected_timestamp"),
         ]
     slot = [SLOT] if SLOT in readings.columns else []
-    by_region = readings.groupBy("consumer_id", *slot, code.alias("code")).agg(*first_level)
+    order_key = [ORDER] if ORDER in readings.columns else []
+    if order_key:
+        first_level.append(F.max(DAY_SHOWN).alias(DAY_SHOWN))
+    by_region = readings.groupBy("consumer_id", *slot, *order_key, code.alias("code")).agg(*first_level)
+    if order_key:
+        # From here on a consumer's days are there in both orders; the shuffle carries them once where both are the same.
+        orders = F.when(F.col(ORDER).isNull(), F.array(F.lit(MONTH_FIRST), F.lit(DAY_FIRST))).otherwise(F.array(ORDER))
+        by_region = by_region.repartition("consumer_id").withColumn(ORDER, F.explode(orders))
     zone = F.col("code") if classify is None else classify(F.col("code"))
     # Deviations of the parts are merged about the consumer's mean; a difference of large squares would lose them.
     # The region is that of the earliest reading; equal times go to the smaller name. The windows need the same
     # clustering as the second level, so they cost no shuffle of their own; a consumer has a row per region and slot there.
-    whole = Window.partitionBy("consumer_id")
+    whole = Window.partitionBy("consumer_id", *order_key)
     own = F.try_divide("total", "n") - F.try_divide(F.sum("total").over(whole), F.sum("n").over(whole))
     order = [F.col("first_ts"), F.col("zone")] if timed else [F.col("zone")]
     in_time = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -98,7 +108,9 @@ def _per_consumer(
         second_level += [F.sum(c).alias(c) for c in ("night", "weekend", "peak")]
     if tagged:
         second_level += [F.sum(c).alias(c) for c in REJECT_COUNTS]
-    one = by_region.groupBy("consumer_id", "region").agg(*second_level)
+    if order_key:
+        second_level.append(F.max(DAY_SHOWN).alias(DAY_SHOWN))
+    one = by_region.groupBy("consumer_id", *order_key, "region").agg(*second_level)
 
     n = F.col("n")
     shares = [("night_usage_ratio", "night"), ("weekend_readings_ratio", "weekend"), ("peak_usage_ratio", "peak")]
@@ -113,6 +125,7 @@ def _per_consumer(
         "region",
         *([F.try_divide(F.col(c), n).alias(name) for name, c in shares] if timed else []),
         *(REJECT_COUNTS if tagged else []),
+        *([ORDER, DAY_SHOWN] if order_key else []),
     )
 
 

@@ -16,7 +16,7 @@ from wattsift.functions.zones import region_of, region_source
 from wattsift.operators.autoencoder import (
     Autoencoder, AutoencoderParams, set_threshold, train_autoencoder,
 )
-from wattsift.operators.cleaning import report_from_counts, tag_readings
+from wattsift.operators.cleaning import in_one_order, report_from_counts, tag_readings
 from wattsift.operators.consumers import REJECT_COUNTS, aggregate_tagged
 from wattsift.operators.features import (
     Population, add_profile, anomaly_flags, fit_population, model_columns, model_inputs, ratio_features,
@@ -61,14 +61,14 @@ def analyze(
 ) -> Analysis:
     """Analyse raw readings in either layout.
 
-    ``day_first`` settles dates like 5/10/2024; without it the time column is read once before, for those
-    that tell. ``bind="columns"`` lets the explanation use the consumer's own level, weekend ratio and
+    ``day_first`` settles dates like 5/10/2024; without it consumers are counted in both orders, and the dates of the column
+    that can only have the day first choose. ``bind="columns"`` lets the explanation use the consumer's own level, weekend ratio and
     deviation; otherwise those sentences work on their fixed defaults.
     """
     check_contamination(contamination)
     if bind not in ("defaults", "columns"):
         raise ValueError(f"bind must be defaults or columns, not {bind}")
-    counted = stage(count_consumers(raw, day_first), "consumers")
+    counted = in_one_order(stage(count_consumers(raw, day_first), "consumers"))
     used = F.col("consumer_id").isNotNull() & (F.col("reading_count") > 0)
     readings, rows = counted.agg(F.sum("reading_count"), F.count_if(used)).first()
     if not readings:
@@ -117,7 +117,11 @@ def analyze(
 
 
 def count_consumers(raw: DataFrame, day_first: bool | None = None) -> DataFrame:
-    """One row per consumer with its aggregate and its cleaning counts."""
+    """One row per consumer with its aggregate and its cleaning counts.
+
+    Where times are text and ``day_first`` is not given, a row for each order of day and month, of which ``in_one_order`` takes
+    one.
+    """
     layout = detect_layout(raw.columns)
     columns = rename_standard(raw, layout).columns
     missing = [c for c in ("consumer_id", "consumption") if c not in columns]
