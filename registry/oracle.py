@@ -461,3 +461,5 @@ ORACLE |= {
         {ALL_CONSUMERS} AS right_status, {ALL_CONSUMERS} AS explained, {ALL_CONSUMERS} AS blended,
         {ALL_CONSUMERS} AS same_flags""", "cr"),
 }
+# Where readings are stored must not change what is found.
+ORACLE |= {f"{name}_by_day": ORACLE[name] for name in ("reading_flags", "first_n_readings", "consumer_detail")}

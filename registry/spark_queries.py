@@ -38,7 +38,7 @@ from wattsift.sources.runs import (
     read_consumers, read_runs, record_run, run_by_id, run_row, save_consumers, save_run, stored_consumers_page, user_runs,
 )
 from wattsift.sources.staging import stage, staging_folder
-from wattsift.sources.stored import read_readings, save_readings
+from wattsift.sources.stored import open_by_day, read_readings, save_by_day, save_readings
 
 CONTAMINATION = 0.05
 THRESHOLD = 0.6
@@ -346,6 +346,25 @@ def q_stored_readings(spark, sf):
     return rounded(D.consumer_timeseries(stored, most["consumer_id"]).select("consumer_id", "timestamp", "consumption"))
 
 
+def _by_day(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "readings-by-day")
+    save_by_day(readings(spark, sf).select("consumer_id", "timestamp", "consumption"), path, buckets=16)
+    return open_by_day(spark, path)
+
+
+def q_reading_flags_by_day(spark, sf):
+    return rounded(D.flag_by_day(_by_day(spark, sf), consumers(spark, sf)))
+
+
+def q_first_n_readings_by_day(spark, sf):
+    return rounded(D.first_by_day(_by_day(spark, sf), FIRST_READINGS))
+
+
+def q_consumer_detail_by_day(spark, sf):
+    first = D.first_by_day(_by_day(spark, sf))
+    return D.consumer_detail(first, results(spark, sf)).drop("timeseries", "anomalous_records")
+
+
 def q_consumer_detail(spark, sf):
     return D.consumer_detail(readings(spark, sf), results(spark, sf)).drop("timeseries", "anomalous_records")
 

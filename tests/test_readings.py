@@ -1,9 +1,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from wattsift.fixed_values import READING_NIGHT, READING_ZERO
 from wattsift.operators import readings as D
+from wattsift.sources.stored import _table_name, open_by_day, save_by_day
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "consumer_id string, timestamp timestamp_ntz, consumption double"
@@ -90,3 +92,55 @@ def test_drill_down_over_all_readings(readings, results):
 def test_drill_down_does_not_sort_all_readings(readings, results):
     plan = D.drill_down(readings, results, "a")._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan
+
+
+def by_day(rows, folder, buckets=8):
+    save_by_day(rows, f"{folder}/by-day", buckets)
+    return open_by_day(rows.sparkSession, f"{folder}/by-day")
+
+
+@pytest.fixture
+def untidy(spark):
+    """A hot consumer, readings at equal times and without a time or a consumer, repeated rows, and an empty day."""
+    rows = [("hot", T0 + dt.timedelta(hours=h % 400), float(h % 7)) for h in range(2000)]
+    rows += [(None, T0, 1.0), (None, T0 + dt.timedelta(days=3), 2.0), ("b", None, 3.0), ("b", None, 4.0), ("b", None, None), ("b", T0, 1.0)]
+    rows += [("c'", T0 + dt.timedelta(days=d), float(d)) for d in (9, 1, 5, 5, -800)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+def test_readings_by_day_give_the_same_flags(spark, folder, untidy):
+    levels = spark.createDataFrame([("hot", 3.0, 0.5), ("b", 1.0, None), ("c'", 4.0, 1.0), ("none", 1.0, 1.0)],
+                                   "consumer_id string, avg_consumption double, std_consumption double")
+    stored = by_day(untidy, folder)
+    found, want = D.flag_by_day(stored, levels), D.flag_readings(untidy, levels)
+    assert found.columns == want.columns
+    assert sorted(found.collect(), key=str) == sorted(want.collect(), key=str)
+    assert D.flag_by_day(by_day(untidy.limit(0), f"{folder}/none"), levels).collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 30, 5000, None])
+def test_readings_by_day_give_the_same_first_readings(folder, untidy, n):
+    found, want = D.first_by_day(by_day(untidy, folder), n), D.first_readings(untidy, n)
+    assert found.columns == want.columns and sorted(found.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_readings_by_day_do_not_move(spark, folder, untidy):
+    """Neither the distinct days nor the join shuffle readings; the hot consumer has several buckets, the table outlives its session."""
+    stored = by_day(untidy, folder)
+    places = stored.filter("consumer_id = 'hot'").select(F.input_file_name()).distinct().count()
+    assert places >= 4
+    levels = spark.createDataFrame([("hot", 3.0, 0.5)], "consumer_id string, avg_consumption double, std_consumption double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for reopened in (False, True):
+            if reopened:
+                spark.sql(f"DROP TABLE {_table_name(folder + '/by-day')}")
+                stored = open_by_day(spark, f"{folder}/by-day")
+            assert stored.count() == untidy.count()
+            plan = D.flag_by_day(stored, levels)._jdf.queryExecution().executedPlan().toString()
+            # The days' side moves, by consumer and back by day; above the scan of the readings nothing does.
+            assert plan.count("Exchange") == 3 and plan.count("FileScan") == 2 and "SortMergeJoin" in plan
+            assert "Exchange" not in plan.split("FileScan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+

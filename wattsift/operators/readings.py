@@ -9,6 +9,8 @@ from wattsift.functions.calendar import iso_time
 from wattsift.functions.labels import reading_reason
 
 READINGS_SHOWN = 500
+# Column of readings that are stored by consumer and day.
+DAY = "_day"
 
 
 def of_consumer(readings: DataFrame, consumer_id: object) -> DataFrame:
@@ -57,18 +59,56 @@ def flag_readings(readings: DataFrame, consumers: DataFrame) -> DataFrame:
     A join on the consumer: adaptive execution broadcasts a small consumer side, and splits the
     readings of a consumer that holds a large share of them.
     """
-    levels = consumers.select(
+    return _flagged(readings.join(_levels(consumers), "consumer_id"))
+
+
+def _levels(consumers: DataFrame) -> DataFrame:
+    return consumers.select(
         "consumer_id", F.col("avg_consumption").alias("_avg"), F.col("std_consumption").alias("_std"))
+
+
+def _flagged(joined: DataFrame) -> DataFrame:
     reason = reading_reason(F.col("consumption"), F.col("timestamp"), F.col("_avg"), F.col("_std"))
     return (
-        readings.join(levels, "consumer_id")
-        .withColumn("anomaly_reason", reason)
+        joined.withColumn("anomaly_reason", reason)
         .withColumn("is_anomalous", F.col("anomaly_reason").isNotNull())
         .withColumn("consumption", F.round("consumption", 4))
         .drop("_avg", "_std")
     )
 
 
+def flag_by_day(stored: DataFrame, consumers: DataFrame) -> DataFrame:
+    """``flag_readings`` of readings stored by consumer and day, which stay where they are.
+
+    A level is laid out once for each day of its consumer, a fiftieth of the readings where they are half-hourly, so
+    that both sides of the join have the buckets of the readings.
+    """
+    days = stored.select("consumer_id", DAY).distinct()
+    return _flagged(stored.join(days.join(_levels(consumers), "consumer_id"), ["consumer_id", DAY])).drop(DAY)
+
+
+def first_by_day(stored: DataFrame, n: int | None = READINGS_SHOWN) -> DataFrame:
+    """``first_readings`` of readings stored by consumer and day.
+
+    Days are counted in place; only readings of days before which a consumer has fewer than ``n`` are sorted, and the others
+    do not leave their buckets. Readings without a time come first, as nulls do; they are one day here, wherever they are.
+    """
+    if n is None:
+        return stored.drop(DAY)
+    if "timestamp" not in stored.columns:
+        return first_readings(stored.drop(DAY), n)
+    day = F.when(F.col("first").isNotNull(), F.col(DAY)).otherwise(F.lit(None).cast("int"))
+    counted = stored.groupBy("consumer_id", DAY).agg(F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("first"))
+    earlier = Window.partitionBy("consumer_id").orderBy("_time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy("consumer_id", "_time")
+    seen = counted.withColumn("_time", day).withColumn(
+        "before", F.sum("rows").over(earlier) - F.sum("rows").over(same))
+    wanted = seen.filter(F.col("before") < n).select("consumer_id", DAY)
+    # A null consumer is a consumer of its own in a window; it is no key of a join.
+    key = (stored["consumer_id"].eqNullSafe(wanted["consumer_id"])) & (stored[DAY] == wanted[DAY])
+    return first_readings(stored.join(wanted, key, "left_semi").drop(DAY), n)
+
+
 def anomalous_readings(flagged: DataFrame) -> DataFrame:
     return flagged.filter("is_anomalous")
 
