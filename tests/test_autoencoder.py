@@ -145,3 +145,40 @@ def test_every_task_has_one_part(spark):
     assert len(placed) == len({r.task for r in placed}) == 16
     plan = df.groupBy("part").applyInPandas(lambda x: x[:1], "id long, part int")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_many_small_parts_train_in_teams(spark, monkeypatch):
+    """All rows train, none of the states makes fewer steps, and the work does not grow with the number of small parts."""
+    df, seen, average = frame(spark, 2000), [], A.average_states
+
+    def counted(states, n):
+        seen.append(states.agg(F.count(F.lit(1)), F.sum("rows"), F.min(F.element_at("state", -1)), F.max("part")).first())
+        return average(states, n)
+
+    monkeypatch.setattr(A, "average_states", counted)
+    params = A.AutoencoderParams(NAMES, epochs=2, rounds=2, part_rows=10, round_rows=320)
+    scaler = fit_scaler(df, NAMES, inputs())
+    fitted = A.train_autoencoder(df, inputs(), params, scaler)
+    held = A.train_autoencoder(df, inputs(), A.AutoencoderParams(NAMES, epochs=2, rounds=2, part_rows=2000), scaler)
+    rows = seen[-1][1]
+    assert [tuple(s) for s in seen[:2]] == [(64, rows, 10.0, 63), (64, rows, 20.0, 63)] and seen[-1][0] == 1
+    assert 1700 < rows < 1900 and len(held.state) == len(fitted.state)
+    # Teams of full size make one pass an epoch, however many they are; few parts are a team each.
+    assert A.teams_of(10_000_000, A.AutoencoderParams(NAMES, part_rows=40)) == (250_000, 200)
+    assert A.teams_of(10_000_000, A.AutoencoderParams(NAMES)) == (200, 200) and A.teams_of(2000, params) == (200, 64)
+    assert A.teams_of(1500, A.AutoencoderParams(NAMES, part_rows=40)) == (38, 38)
+
+
+def test_a_team_trains_all_its_parts_once_a_pass(monkeypatch):
+    import pandas as pd
+
+    seen, gradient = [], A.Network.gradient
+    monkeypatch.setattr(A.Network, "gradient", lambda net, x, *more: seen.append(x[:, 0].tolist()) or gradient(net, x, *more))
+    params = A.AutoencoderParams(["x0"], batch=4, dropout=0.0)
+    team = pd.DataFrame({"part": [1] * 6 + [4] * 5 + [7] * 2, "key": list("abcdefghijklm"), "x0": np.arange(13.0)})
+    # Batches of 4 and 2, of 5, and of 2.
+    after = A._trainer(params, A.first_state(params), 0, 8, 3)(team)
+    assert after["part"][0] == 1 and after["rows"][0] == 13 and after["state"][0][-1] == 8.0
+    for turn in (seen[:4], seen[4:]):
+        assert sorted(sum(turn, [])) == list(range(13)) and sorted(map(len, turn)) == [2, 2, 4, 5]
+        assert all(len({int(v >= 6) + int(v >= 11) for v in batch}) == 1 for batch in turn)

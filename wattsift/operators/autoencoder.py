@@ -1,13 +1,17 @@
 """Autoencoder trained by parallel SGD with weight averaging (Zinkevich et al., NIPS 2010).
 
-Consumers are split into parts by a hash of their id. In each round every part trains on its
-own rows from the common state, as one group of a grouped map, and the states are averaged with
-the parts' row counts as weights. A part has a bounded number of rows, and what reaches the
+Consumers are split into parts by a hash of their id, and parts into teams. In each round every team
+trains from the common state, as one group of a grouped map, and the states are averaged with
+the teams' row counts as weights. Within a team the state goes from part to part, and each part trains it on its own
+rows. A part has a bounded number of rows, so has a team, and what reaches the
 driver between rounds is one state of a few thousand numbers, whatever the number of rows.
 
 An epoch is as many steps as one pass over all rows has, or over ``round_rows`` where there are
-more, and every part makes as many. So the same data in one part or in four are trained alike, and a
-part of full size sees its rows once an epoch. The epochs are spread evenly over ``rounds``.
+more, and every team makes as many. So the same data in one part or in four are trained alike, and a
+team of full size sees its rows once an epoch. The epochs are spread evenly over ``rounds``.
+
+A few parts are a team each. There are never more than ``TEAMS`` teams of less than ``round_rows`` rows: if every
+small part made all steps of an epoch, work would grow with the parts times the rows.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from wattsift.sources.staging import stage
 STATE_SCHEMA = "part int, rows long, state array<double>"
 # States that one task averages at once.
 FAN_IN = 64
+# So many teams may be smaller than `round_rows`.
+TEAMS = 64
 
 
 @dataclass(frozen=True)
@@ -177,10 +183,17 @@ def first_state(params: AutoencoderParams) -> np.ndarray:
     return np.concatenate([net.trained, net.moving, np.zeros(2 * len(net.trained) + 1)])
 
 
-def _trainer(params: AutoencoderParams, state: np.ndarray, turn: int, steps: int):
-    def train(part: pd.DataFrame) -> pd.DataFrame:
-        number = int(part["part"].iloc[0])
-        ordered = part.sort_values("key")
+def teams_of(rows: int, params: AutoencoderParams) -> tuple[int, int]:
+    """Parts, and teams that they are dealt into."""
+    parts = math.ceil(rows / params.part_rows)
+    return parts, min(parts, max(TEAMS, math.ceil(rows / params.round_rows)))
+
+
+def _trainer(params: AutoencoderParams, state: np.ndarray, turn: int, steps: int, teams: int | None = None):
+    def train(team: pd.DataFrame) -> pd.DataFrame:
+        number = int(team["part"].iloc[0])
+        number = number if teams is None else number % teams
+        ordered = team.sort_values(["part", "key"])
         x = ordered[[f"x{i}" for i in range(len(params.names))]].to_numpy(dtype=np.float64)
         random = np.random.default_rng([params.seed, turn, number])
         net = Network(len(params.names), params.hidden, params.code)
@@ -189,16 +202,24 @@ def _trainer(params: AutoencoderParams, state: np.ndarray, turn: int, steps: int
         adam = Adam(size, params.learning_rate)
         adam.mean[:], adam.square[:] = state[held:held + size], state[held + size:held + 2 * size]
         adam.steps = float(state[-1])
-        edges = list(range(0, len(x), params.batch))
-        if len(edges) > 1 and len(x) - edges[-1] == 1:
-            edges.pop()  # a single row has no spread to normalise by
+        parts = []
+        for own in np.split(x, np.flatnonzero(np.diff(ordered["part"].to_numpy())) + 1):
+            edges = list(range(0, len(own), params.batch))
+            if len(edges) > 1 and len(own) - edges[-1] == 1:
+                edges.pop()  # a single row has no spread to normalise by
+            parts.append((own, list(zip(edges, [*edges[1:], len(own)]))))
         left = steps
         while left > 0:
-            mixed = x[random.permutation(len(x))]
-            for start, end in list(zip(edges, [*edges[1:], len(x)]))[:left]:
-                _, gradient = net.gradient(mixed[start:end], params.dropout, random)
-                adam.step(net.trained, gradient)
-            left -= len(edges)
+            # Parts in a new order in every pass.
+            for k in random.permutation(len(parts)):
+                own, batches = parts[k]
+                mixed = own[random.permutation(len(own))]
+                for start, end in batches[:left]:
+                    _, gradient = net.gradient(mixed[start:end], params.dropout, random)
+                    adam.step(net.trained, gradient)
+                left -= len(batches)
+                if left <= 0:
+                    break
         after = np.concatenate([net.trained, net.moving, adam.mean, adam.square, [adam.steps]])
         return pd.DataFrame({"part": [number], "rows": [len(x)], "state": [after]})
 
@@ -318,27 +339,28 @@ def train_autoencoder(
     rows = df.count() if rows is None else rows
     if rows == 0:
         raise ValueError("no rows to fit an autoencoder on")
-    parts = math.ceil(rows / params.part_rows)
+    parts, teams = teams_of(rows, params)
     vectors = df.select(F.col(key).alias("key"), *[c.alias(f"x{i}") for i, c in enumerate(columns)])
     share = F.pmod(F.xxhash64("key", F.lit(params.seed)), F.lit(10_000))
     training = vectors.filter(share >= int(params.held_out * 10_000)).withColumn(
-        "part", F.pmod(F.xxhash64("key", F.lit(params.seed + 1)), F.lit(parts)).cast("int"))
+        "part", F.pmod(F.xxhash64("key", F.lit(params.seed + 1)), F.lit(parts)).cast("int")).withColumn(
+        "team", F.pmod("part", F.lit(teams)).cast("int"))
     state = first_state(params)
     steps = math.ceil(min(rows * (1 - params.held_out), params.round_rows) / params.batch)
     rounds = min(params.rounds, params.epochs)
     # Every round reads the same rows. What an executor loses is computed again from `df`.
-    # One part in every task; a hash of the part would leave a third of the tasks without any.
-    training = training.repartitionById(parts, "part").persist(StorageLevel.MEMORY_AND_DISK)
+    # One team in every task; a hash of the team would leave a third of the tasks without any.
+    training = training.repartitionById(teams, "team").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for turn in range(rounds):
-            state = _round(training, params, state, turn, math.ceil(steps * params.epochs / rounds), parts)
+            state = _round(training, params, state, turn, math.ceil(steps * params.epochs / rounds), teams)
     finally:
         training.unpersist()
     return Autoencoder(params, scaler, state)
 
 
 def _round(
-    training: DataFrame, params: AutoencoderParams, state: np.ndarray, turn: int, steps: int, parts: int
+    training: DataFrame, params: AutoencoderParams, state: np.ndarray, turn: int, steps: int, teams: int
 ) -> np.ndarray:
-    states = training.groupBy("part").applyInPandas(_trainer(params, state, turn, steps), STATE_SCHEMA)
-    return average_states(states, parts)
+    states = training.groupBy("team").applyInPandas(_trainer(params, state, turn, steps, teams), STATE_SCHEMA)
+    return average_states(states, teams)
