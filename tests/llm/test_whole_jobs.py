@@ -77,6 +77,25 @@ def test_names_of_wrappers_and_sections_keep_their_text(spark):
     assert got[200] == "Text" and got[201] == "Found\n\nTeaser"
 
 
+def test_every_page_is_differenced_and_then_checked_by_markup(spark):
+    page = "<nav><a>Home<li>Own {0}</nav><div class=ad>Ad {0}</div><article><h1>Story {0}</h1><p>Same.<p>Text {0}</article><footer>Foot</footer>"
+    pages = [(i, f"http://h.org/a/{i}?x", page.format(i)) for i in (1, 2)] + [(3, "http://h.org/a/1?y", page.format(1))]
+    pages += [(4, "http://h.org/b", ""), (None, "http://h.org/c", "<p>Open<nav>Out</nav>"), (6, "http://one.org/", page.format(6))]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.main_text(table).collect()}
+    # A menu's line of this page only is out, the articles' common sentence is not.
+    for i, story in ((1, 1), (2, 2), (3, 1), (6, 6)):
+        assert got[i].text == f"Story {story}\n\nSame.\n\nText {story}" and got[i].n_chars == len(got[i].text)
+    assert {k: (r.n_lines, r.n_shared) for k, r in got.items()} == {
+        1: (7, 3), 2: (7, 3), 3: (7, 3), 4: (0, 0), None: (2, 0), 6: (7, 0)}
+    assert got[None].text == "Open" and len(got) == len(pages)
+
+
+def test_differencing_marks_given_pages(spark, small):
+    got = QUERIES["op8_html"](spark, small).agg({"n_lines": "sum", "n_shared": "sum", "page_id": "count"}).first().asDict()
+    assert 0 < got["sum(n_shared)"] < got["sum(n_lines)"] and got["count(page_id)"] == spark.read.parquet(f"{small}/pages.parquet").count()
+
+
 def test_model_query_has_three_orders(spark, small, given):
     import zlib
 

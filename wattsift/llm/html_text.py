@@ -1,19 +1,20 @@
 """Main text of web pages by differencing with the page of the nearest URL.
 
 A page is cut into lines: the text of one block, with character references decoded and white
-space made one space. Markup settles most lines. Scripts, styles, menus, headers of the
-page, footers, sidebars, forms and blocks with a class, id or role that is the name of an advert, a menu or
-comments are never text; what stands in an article or main element, besides those, is, whatever wraps that
-element. Names that only hold such a word, or that sections of a text have as well, settle nothing: their lines
-inside an article are in doubt. The lines of a page without such an element, and those outside of it, are open.
+space made one space. Every page is differenced, whatever its markup. Pages of a host with equal lines are one page; pages
+are ordered by the path of their URLs, one is paired with the neighbour of another path (of other lines, in a host of
+one path) that shares the longer beginning of the path with it (the one before in a tie), and their lines are
+aligned by longest common subsequence. Lines that both have are template, the others are text. A page alone in its host has only lines
+of its own.
 
-Open lines and those in doubt are settled by differencing. Pages of a host with equal lines are one page; pages are ordered
-by the path of their URLs, one is paired with the neighbour of another path (of other lines, in a host of one path)
-that shares the longer beginning of the path with it (the one before in a tie), their lines are
-aligned by longest common subsequence, and lines that both have are template, not text. Lines
-outside of an article never count where the page has one. A page alone in its host keeps its open lines.
+A check by markup follows, as two articles may share a short sentence, and menus change from page to page. Lines of menus, headers of the
+page, footers, sidebars, forms and blocks with a class, id or role that is the name of an advert, a menu or
+comments are taken out, though only this page has them; lines of an article or main element, besides those, come back, though
+the neighbour has them, whatever wraps that element. Names that only hold such a word, or that sections of a text have as well, settle nothing:
+of their lines inside an article, and of a page without such an element, differencing has the last word. Lines
+outside of an article never count where the page has one. Scripts and styles are no lines.
 
-Only the hashes of lines travel between pages, and only to pages that have open lines. Order is made by
+Only the hashes of lines travel between pages, and one bit for each line to the page's text. Order is made by
 a range partitioning of (host, path, id), so a host with a third of all pages is many partitions.
 """
 
@@ -32,6 +33,8 @@ from wattsift.sources.staging import stage
 
 OPEN, TEXT, DOUBT = 0, 1, 2
 _WRAPPED, _WRAPPED_TALK = 3, 4
+# Ruled out by markup.
+OUT = 5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(?:>|\Z)", re.S)
 # Elements whose content is no markup.
 _RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes")
@@ -79,7 +82,7 @@ def _names(attributes: str, inside: int) -> tuple[bool, bool, bool]:
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
-    """Lines of a page in order, each open, settled as text, or in doubt: inside an article, but perhaps not of it."""
+    """Lines of a page in order, each open, ruled out, settled as text, or in doubt: inside an article, but perhaps not of it."""
     out: list[tuple[str, int]] = []
     held: list[str] = []
     opened: dict[str, int] = {}  # how often an element is on the stack
@@ -92,7 +95,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if held:
             line = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             if line:
-                out.append((line, kind))
+                out.append((line, OUT if bad else kind))
             held.clear()
 
     while at < n:
@@ -100,14 +103,12 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if lt < 0:
             lt = n
         if lt > at:
-            if not bad:
-                held.append(page[at:lt])
+            held.append(page[at:lt])
             at = lt
             continue
         m = _TOKEN.match(page, at)
         if not m:
-            if not bad:
-                held.append("<")
+            held.append("<")
             at += 1
             continue
         at = m.end()
@@ -208,38 +209,65 @@ def _common_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([_common_places(a[:half], b[:split]), half + _common_places(a[half:], b[split:])])
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], list[list[tuple[str, int]]], pa.Array]]:
+    """Some pages, which are the last column, at a time: the other columns, the lines, and their hashes."""
     from xxhash import xxh64_intdigest
 
-    kind = pa.list_(pa.int64())
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            every = [lines_of(p.as_py()) for p in part.column(part.num_columns - 1)]
-            # Lines in a main element rule out the others; a neighbour is compared with all of them.
-            kinds = [[k for _, k in f] for f in every]
-            kinds = [[DOUBT] * len(k) if not any(k) else k for k in kinds]
-            differ = [DOUBT in k for k in kinds]
-            found = [[x for x, _ in f] if d else [x for x, k in f if k == TEXT] for f, d in zip(every, differ)]
+            *others, html_of = batch.slice(at, 500).columns
+            every = [lines_of(p.as_py()) for p in html_of]
             hashes = [np.array([xxh64_intdigest(x.encode()) for x, _ in f], np.uint64).view(np.int64) for f in every]
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(k) for k in range(part.num_columns - 1)), pa.array(found, pa.list_(pa.string())),
-                 pa.array([k if d else [] for k, d in zip(kinds, differ)], pa.list_(pa.int8())),
-                 pa.array(hashes, kind), pa.array(differ)],
-                names=[*part.schema.names[:-1], "lines", "kinds", "hashes", "open"])
+            yield others, every, pa.array(hashes, pa.list_(pa.int64()))
+
+
+def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for others, _, hashes in _cut(batches):
+        yield pa.RecordBatch.from_arrays([*others, hashes], names=["row", "key", "host", "path", "hashes"])
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines that may be text, as they travel, and what markup says of each."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1)
+    for others, every, hashes in _cut(batches):
+        kinds = [np.array([k for _, k in f], np.int8) for f in every]
+        # Lines in a main element rule out those outside of it.
+        kinds = [np.where(k == OPEN, OUT if np.isin(k, (TEXT, DOUBT)).any() else DOUBT, k) for k in kinds]
+        # No line holds a line feed.
+        lines = [pack.compress("\n".join("" if out else x for (x, _), out in zip(f, (k == OUT).tolist())).encode())
+                 for f, k in zip(every, kinds)]
+        yield pa.RecordBatch.from_arrays(
+            [*others, pa.array(lines, pa.binary()), pa.array([k.astype(np.int8).tobytes() for k in kinds], pa.binary()), hashes],
+            names=["page_id", "url", "host", "lines", "kinds", "hashes"])
+
+
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bit for each line of a page: the neighbour has it, too."""
+    for batch in batches:
+        pairs = zip(batch.column("hashes").to_pylist(), batch.column("other").to_pylist())
+        bits = [np.packbits(common(np.array(a, np.int64), np.array(b or [], np.int64))).tobytes() for a, b in pairs]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("host", "content")), pa.array(bits, pa.binary())], names=["host", "content", "shared"])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of a text, and those in doubt that are not shared with the neighbour."""
+    """Lines that the neighbour has not, but for those that markup rules out, and those of a text that it has, too."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        rows = batch.to_pylist()
-        kept = []
-        for r in rows:
-            shared = common(np.array(r["hashes"], np.int64), np.array(r["other"] or [], np.int64))
-            kept.append([x for x, k, s in zip(r["lines"], r["kinds"], shared) if k == TEXT or k == DOUBT and not s])
+        texts, counts = [], []
+        for lines, kinds, bits in zip(*(batch.column(c).to_pylist() for c in ("lines", "kinds", "shared"))):
+            shared = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(kinds)).tolist()
+            found = zip(unpack.decompress(lines).decode().split("\n"), kinds, shared)
+            texts.append("\n\n".join(x for x, k, s in found if (k != OUT if not s else k == TEXT)))
+            counts.append((len(kinds), sum(shared)))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("host", "content", "marked")), pa.array(kept, pa.list_(pa.string()))],
-            names=["host", "content", "marked", "lines"])
+            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
+             *(pa.array(c, pa.int64()) for c in (zip(*counts) if counts else ([], [])))],
+            names=["page_id", "url", "text", "n_lines", "n_shared"])
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
@@ -277,39 +305,37 @@ def neighbours(pages: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row.
+    """page_id, url, text, n_chars of every row; n_lines, and how many of them its neighbour has, too (n_shared).
 
     A null or empty html has the empty text. Pages without a URL are of one host of no name.
-    Repeated rows have a row each. Pages of a host with equal lines are one node and have one
-    result; a node is compared with one of the nearest other path, or, where its host has
-    only one path, with the nearest of other lines.
+    Repeated rows have a row each. Pages of a host with equal lines are one node and are differenced
+    once; a node is compared with one of the nearest other path, or, where its host has
+    only one path, with the nearest of other lines. Pages are read twice, so that only hashes are stored.
     """
     url = F.coalesce("url", F.lit(""))
-    given = pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url",
-        F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
-        F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
-        F.coalesce("html", F.lit("")).alias("html"))
-    cut = stage(given.mapInArrow(
-        _parse, "row long, page_id long, url string, host string, path string, lines array<string>, kinds array<tinyint>, "
-        "hashes array<long>, open boolean"),
-        "page-lines").withColumn("content", F.xxhash64("hashes"))
-    settled = cut.where(~F.col("open")).select("page_id", "url", "lines")
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host")
+    page, html = F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).alias("html")
+    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path")
+    cut = stage(
+        pages.select(F.monotonically_increasing_id().alias("row"), F.coalesce(page, F.lit(0)).alias("key"), host, path, html)
+        .mapInArrow(_line_hashes, "row long, key long, host string, path string, hashes array<long>")
+        .withColumn("content", F.xxhash64("hashes")), "page-lines")
     nodes = stage(cut.groupBy("host", "content").agg(F.min(F.struct("path", "row")).alias("first")).select(
         "host", "content", "first.path", "first.row"), "page-nodes")
     paths = nodes.groupBy("host", "path").agg(F.min("row").alias("row"))
     # The other path's page first, which no copy or version of the same page can be.
     across = neighbours(paths).join(paths, "row").select("host", "path", F.col("other").alias("far"))
     within = neighbours(nodes).select("row", F.col("other").alias("near"))
-    placed = nodes.join(within, "row").join(across, ["host", "path"]).select("host", "content", F.coalesce("far", "near").alias("other"))
-    # Pages of equal lines may still differ in what markup says of them.
-    asked = cut.where("open").withColumn("marked", F.xxhash64("kinds"))
-    single = asked.groupBy("host", "content", "marked").agg(F.min("row").alias("row")).join(placed, ["host", "content"]).select("row", "other")
-    others = single.join(cut.select(F.col("row").alias("other"), F.col("hashes").alias("there")), "other", "left").select(
-        "row", F.col("there").alias("other"))
-    differenced = asked.select("row", "host", "content", "marked", "lines", "kinds", "hashes").join(others, "row").mapInArrow(
-        _settle, "host string, content long, marked long, lines array<string>")
-    copies = asked.select("page_id", "url", "host", "content", "marked").join(differenced, ["host", "content", "marked"]).select(
-        "page_id", "url", "lines")
-    return settled.unionByName(copies).select("page_id", "url", F.concat_ws("\n\n", "lines").alias("text")).withColumn(
-        "n_chars", F.length("text").cast("long"))
+    placed = nodes.join(within, "row").join(across, ["host", "path"]).select(
+        "row", "host", "content", F.coalesce("far", "near").alias("other"))
+    theirs = cut.select(F.col("row").alias("other"), F.col("hashes").alias("there"))
+    shared = placed.join(theirs, "other", "left").select("row", "host", "content", F.col("there").alias("other")).join(
+        cut.select("row", "hashes"), "row").mapInArrow(_differ, "host string, content long, shared binary")
+    # By page as well, or all copies of a page would meet in one task with their texts.
+    each = cut.select("key", "host", "content").distinct().join(shared, ["host", "content"])
+    texts = pages.select(page, "url", host, html).mapInArrow(
+        _parse, "page_id long, url string, host string, lines binary, kinds binary, hashes array<long>").select(
+        F.coalesce("page_id", F.lit(0)).alias("key"), "page_id", "url", "host", "lines", "kinds", F.xxhash64("hashes").alias("content"))
+    return texts.join(each, ["host", "content", "key"]).select("page_id", "url", "lines", "kinds", "shared").mapInArrow(
+        _settle, "page_id long, url string, text string, n_lines long, n_shared long").select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")
