@@ -161,3 +161,16 @@ def test_shards_without_keys_are_not_asked(spark, docs):
     told = exchange.to_all_blocks(asked, lambda a: (len(a), 1), 0, number).collect()
     assert sorted(r.block for r in told) == list(range(number)) and {bytes(r.answer) for r in told} == {f"{2 * held},2".encode()}
     assert exchange.shard_of(keys, shards).tolist() == [0, shards // 2]
+
+
+def test_only_texts_with_special_tokens_go_whole_to_the_tokenizer():
+    import pyarrow as pa
+
+    from wattsift.llm.tokens import text_ids
+
+    encoder = text_ids()
+    found = ["x < y", "plain", "", f"a {encoder.special[0]} b", "<", f"{encoder.special[-1]}"]
+    assert encoder._odd(pa.array(found)).tolist() == [False, False, False, True, False, True]
+    ids, sizes = encoder.encode(found)
+    whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in found]
+    assert sizes.tolist() == list(map(len, whole)) and ids.tolist() == sum(whole, [])

@@ -45,6 +45,7 @@ def forget() -> None:
 
 def give_back() -> None:
     """Return freed memory to the system: idle workers of earlier stages stand beside those at work."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):

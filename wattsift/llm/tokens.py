@@ -177,7 +177,7 @@ class TextIds:
             return odd, ids, sizes
         joined = MARK.join(plain)
         cut = unit.findall(joined.lower() if self.rules.lower else joined)
-        marks = np.flatnonzero(np.fromiter((u == MARK for u in cut), bool, len(cut)))
+        marks = np.array([i for i, u in enumerate(cut) if u == MARK], np.int64)
         units = [u for u in cut if u != MARK]
         # Units between the marks.
         groups = np.diff(np.concatenate([[-1], marks, [len(cut)]])) - 1
@@ -187,9 +187,14 @@ class TextIds:
 
     def _odd(self, texts: pa.StringArray) -> np.ndarray:
         odd = np.full(len(texts), self.rules.segments is None)
-        for found in [pc.match_substring(texts, s) for s in self.special] + (
-                [pc.match_substring_regex(texts, self.rules.odd)] if self.rules.odd else []):
-            odd |= found.to_numpy(zero_copy_only=False)
+        if self.rules.odd:
+            odd |= pc.match_substring_regex(texts, self.rules.odd).to_numpy(zero_copy_only=False)
+        # Special tokens hold the sign that few texts have.
+        signed = all("<" in s for s in self.special)
+        at = np.flatnonzero(pc.match_substring(texts, "<").to_numpy(zero_copy_only=False)) if signed else np.arange(len(texts))
+        few = texts.take(pa.array(at))
+        for s in self.special:
+            odd[at] |= pc.match_substring(few, s).to_numpy(zero_copy_only=False)
         return odd
 
     def _cut(self, text: str) -> list[str]:
