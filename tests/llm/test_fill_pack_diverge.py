@@ -1,6 +1,9 @@
 """Fill-in-middle, packing by matching and the audit of sources against plain versions; the token cache."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import brute
@@ -53,6 +56,47 @@ def test_unknown_rules_get_whole_texts(tmp_path):
     assert ids.tolist() == [3, 3, 0] and sizes.tolist() == [1, 0, 2]
 
 
+KEEPS = """
+import random, re, sys
+from wattsift.llm.tokens import text_ids
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+
+encoder, rng, most = text_ids(None, sys.argv[1]), random.Random(5), 0
+encoder.encode(["a b"])
+begun = held()
+for _ in range(12):
+    encoder.encode([" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(80_000))])
+    most = max(most, held())
+print(most - begun)
+"""
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_worker_that_sees_many_words_stays_small(name):
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    found = subprocess.run([sys.executable, "-c", KEEPS, name], cwd=root, capture_output=True, text=True, check=True, timeout=300)
+    assert int(found.stdout) < 160
+
+
+def test_kept_segments_are_those_seen_last():
+    import pyarrow as pa
+
+    asked = []
+
+    def learn(keys):
+        asked.extend(keys)
+        return np.array([ord(k[0]) for k in keys for _ in k], np.uint32), np.array(list(map(len, keys)))
+
+    cache = tokens.Known(learn, 8 * (tokens.KEY_CHARS + 1))
+    for keys in ("abcd", "efgh", "ab", "ijk", "ab", "cd", "l"):
+        ids, sizes = cache.ids(cache.places(pa.array(list(keys))))
+        assert bytes(ids.tolist()).decode() == keys and sizes.tolist() == [1] * len(keys)
+    assert "".join(asked) == "abcdefghijkbcdl"  # i, j, k and a stayed
+    assert len(cache.keys) == len(cache.sizes) == len(cache.starts) == len(cache.seen) <= 9
+
+
 # Fill in the middle
 
 

@@ -26,7 +26,7 @@ from wattsift.sources.staging import stage
 
 WINDOW = 1024
 END_ID = 2
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 CUT = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 

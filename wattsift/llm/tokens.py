@@ -1,10 +1,10 @@
 """Token ids of whole texts by a public tokenizer file.
 
 Texts are cut into segments at blanks where the file's rules never look across. A segment that is seen again
-is looked up; a new one of plain letters, digits and signs is cut further, by the file's own rule, into
-units, which are looked up in their turn, and only new units reach the tokenizer. What was used
-last is kept in two generations: when the newer one is full it becomes the older one, and
-what is found in the older one moves over. A file whose rules are not known here gets whole texts.
+is looked up; new ones of plain letters, digits and signs are cut further, by the file's own rule, into
+units, and each distinct unit goes to the file's model once. Segments are kept as Arrow strings beside flat
+arrays, a fraction of what Python's own strings and dictionaries take; when they are too many, those that were
+seen last stay. A file whose rules are not known here gets whole texts.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ import pyarrow.compute as pc
 from wattsift.llm.tables import kept
 
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
-# Characters of a generation's keys, each key counted with so many more.
-SEGMENT_CHARS, UNIT_CHARS, KEY_CHARS = 12_000_000, 9_000_000, 26
+# Characters of the kept segments, each counted with so many more; characters of new ones that are encoded at a time.
+SEGMENT_CHARS, KEY_CHARS, LEARN_CHARS = 12_000_000, 26, 250_000
 # Letters here are those of ASCII and Latin-1; what has others is left to the tokenizer.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 # No sign that begins a special token either.
 PLAIN = re.compile(f"[\x01-;=-\x7f{LETTERS}]*")
-# Stands between units; no unit holds it. So many units are encoded as one text.
-MARK, JOINED = "\0", 2000
+# Stands between segments; no unit holds it.
+MARK = "\0"
 SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 WORD_UNIT = re.compile(rf"{SHORT}|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9\x00]+|\x00", re.A)
 BYTE_UNIT = re.compile(
@@ -70,58 +70,65 @@ class Rules(NamedTuple):
     odd_segments: Callable[[str], list[str]] = lambda text: [text]
 
 
-class Generation:
-    """Ids by key. A key that is looked up has a place from then on, and gets its ids by `add`."""
-
-    def __init__(self):
-        self.place: dict[str, int] = defaultdict(count().__next__)
-        self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.flat, self.used, self.load = np.zeros(1 << 14, np.uint32), 0, 0
-
-    def places(self, keys: list[str]) -> tuple[np.ndarray, list[str]]:
-        """The keys' places, and those that are new."""
-        before = len(self.place)
-        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
-        new = list(islice(reversed(self.place), len(self.place) - before))
-        while len(self.place) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes))
-        return at, new
-
-    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.starts[at], self.sizes[at] = np.cumsum(sizes) - sizes + self.used, sizes
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.load += KEY_CHARS * len(keys) + sum(map(len, keys))
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of `flat`, one after the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    where = np.repeat(starts - (ends - sizes), sizes)
+    where += np.arange(len(where))
+    return flat[where]
 
-    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)], sizes
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
 
 class Known:
-    """Ids by key; `learn` gives (keys, ids, sizes) for keys that are in neither generation."""
-
-    def __init__(self, learn: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], chars: int):
-        self.learn, self.chars = learn, chars
-        self.new, self.old = Generation(), Generation()
-
-    def places(self, keys: list[str]) -> np.ndarray:
-        """Where in the newer generation all keys are."""
-        if self.new.load > self.chars:
-            self.old, self.new = self.new, Generation()
-        at, missing = self.new.places(keys)
-        if again := [k for k in missing if k in self.old.place]:
-            self.new.add(again, *self.old.ids(self.old.places(again)[0]))
-            missing = [k for k in missing if k not in self.old.place]
-        if missing:
-            self.new.add(*self.learn(missing))
+    """Ids by key; `learn` gives (ids, sizes) of new keys in their order."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], chars: int):
+        self.learn, self.chars, self.round = learn, chars, 0
+        self.keys = pa.array([], pa.string())
+        self.flat = np.zeros(0, np.uint32)
+        self.starts, self.sizes, self.seen = np.zeros((3, 0), np.int32)
+
+    def places(self, keys: pa.StringArray) -> np.ndarray:
+        """Where the keys, all different, are from now on; places hold until the next call."""
+        self.round += 1
+        self._forget()
+        found = pc.index_in(keys, value_set=self.keys)
+        new = keys.filter(found.is_null())
+        at = found.fill_null(-1).to_numpy().copy()
+        if len(new):
+            at[at < 0] = np.arange(len(self.keys), len(self.keys) + len(new))
+            self._add(new)
+        self.seen[at] = self.round
         return at
 
+    def _add(self, new: pa.StringArray) -> None:
+        ids, sizes = self.learn(new.to_pylist())
+        starts = np.cumsum(sizes) - sizes + len(self.flat)
+        self.keys = pa.concat_arrays([self.keys, new])
+        self.flat = np.concatenate([self.flat, ids])
+        self.starts, self.sizes = (
+            np.concatenate([a, b.astype(np.int32)]) for a, b in ((self.starts, starts), (self.sizes, sizes)))
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int32)])
+
+    def _forget(self) -> None:
+        """When the keys are too many: those that were seen last stay, half of what is allowed."""
+        loads = pc.utf8_length(self.keys).to_numpy() + KEY_CHARS
+        if loads.sum(dtype=np.int64) <= self.chars:
+            return
+        last = np.argsort(-self.seen, kind="stable")
+        stay = np.sort(last[np.cumsum(loads[last], dtype=np.int64) <= self.chars // 2])
+        self.flat, self.sizes = self.ids(stay)
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+        self.keys, self.seen = self.keys.take(pa.array(stay)), self.seen[stay]
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[at]
+        return _gathered(self.flat, self.starts[at], sizes), sizes
+
 
 def _counts(sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """Sums of consecutive sizes, so many at a time as `groups` says."""
@@ -129,10 +136,15 @@ def _counts(sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
     return np.diff(upto[np.append(0, np.cumsum(groups))])
 
 
+def _places(odd: np.ndarray) -> np.ndarray:
+    """Where each is when the odd stand behind the others."""
+    return np.argsort(np.argsort(odd, kind="stable"), kind="stable")
+
+
 class TextIds:
-    def __init__(self, path: str, segment_chars: int = SEGMENT_CHARS, unit_chars: int = UNIT_CHARS):
+    def __init__(self, path: str, segment_chars: int = SEGMENT_CHARS, learn_chars: int = LEARN_CHARS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         stated = json.loads(self.tokenizer.to_str())
@@ -143,47 +155,51 @@ class TextIds:
             self.rules = Rules(word_segments, WORD_UNIT, True)
         elif rules == BYTE_RULES:
             self.rules = Rules(byte_segments, BYTE_UNIT, False, _BYTE_ODD, _BEFORE_WORD.split)
-        # Units are cut, and made small, already.
-        self.pieces = Tokenizer.from_file(path)
-        self.pieces.normalizer = normalizers.Sequence([])
-        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.Split(MARK, "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.mark = self.pieces.encode(MARK, add_special_tokens=False).ids
-        if len(self.mark) != 1 or not all("<" in s for s in self.special):
+        if not all("<" in s for s in self.special):
             self.rules = self.rules._replace(unit=None)
-        self.units = Known(self._learn_units, unit_chars)
+        # Units are cut, and made small, already; the model takes them in the byte-level spelling of plain characters.
+        self.model = self.tokenizer.model
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {i: spell(chr(i))[0][0] for i in range(1, 256)} | {0: MARK}
+        self.learn_chars = learn_chars
         self.segments = Known(self._learn, segment_chars)
 
-    def _encoded(self, tokenizer, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
-
-    def _learn_units(self, keys: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        # A mark after every unit.
-        ids, _ = self._encoded(self.pieces, [
-            MARK.join([*keys[i : i + JOINED], ""]) for i in range(0, len(keys), JOINED)])
-        marked = ids == self.mark[0]
-        return keys, ids[~marked], np.diff(np.flatnonzero(marked), prepend=-1) - 1
-
-    def _learn(self, keys: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        unit, odd = self.rules.unit, keys
-        plain: list[str] = []
-        if unit:
-            plain = list(filter(PLAIN.fullmatch, keys))
-            odd = list(set(keys).difference(plain)) if len(plain) < len(keys) else []
-        ids, sizes = self._encoded(self.tokenizer, odd)
-        if not plain:
-            return odd, ids, sizes
+    def _encoded(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat([e.ids for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)])
+
+    def _by_units(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain segments; each distinct unit is encoded once."""
         joined = MARK.join(plain)
-        cut = unit.findall(joined.lower() if self.rules.lower else joined)
-        marks = np.array([i for i, u in enumerate(cut) if u == MARK], np.int64)
-        units = [u for u in cut if u != MARK]
-        # Units between the marks.
-        groups = np.diff(np.concatenate([[-1], marks, [len(cut)]])) - 1
-        at = self.units.places(units)
-        more, each = self.units.new.ids(at)
-        return odd + plain, np.concatenate([ids, more]), np.concatenate([sizes, _counts(each, groups)])
+        cut = self.rules.unit.findall(joined.lower() if self.rules.lower else joined)
+        place: dict[str, int] = defaultdict(count().__next__)
+        # The mark is the first unit, and has no ids.
+        place[MARK]
+        at = np.fromiter(map(place.__getitem__, cut), np.int64, len(cut))
+        spelled = MARK.join(islice(place, 1, None)).translate(self.spelling).split(MARK)
+        ids, sizes = _flat([[], *([t.id for t in self.model.tokenize(u)] for u in spelled)])
+        each = sizes[at]
+        # Segments end with their marks.
+        ends = np.concatenate([[0], np.flatnonzero(at == 0) + 1, [len(at)]])
+        return _gathered(ids, (np.cumsum(sizes) - sizes)[at], each), _counts(each, np.diff(ends))
+
+    def _learn(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys))) // self.learn_chars
+        parts = np.split(np.arange(len(keys)), np.flatnonzero(np.diff(ends)) + 1)
+        learned = [self._learn_part(keys[p[0] : p[-1] + 1]) for p in parts]
+        return np.concatenate([ids for ids, _ in learned]), np.concatenate([sizes for _, sizes in learned])
+
+    def _learn_part(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.rules.unit:
+            return self._encoded(keys)
+        odd = np.fromiter((not PLAIN.fullmatch(k) for k in keys), bool, len(keys))
+        if not odd.any():
+            return self._by_units(keys)
+        ids, sizes = (np.concatenate(x) for x in zip(
+            self._by_units([k for k, o in zip(keys, odd) if not o]), self._encoded([k for k, o in zip(keys, odd) if o])))
+        # Without plain keys the units are those of one empty segment.
+        sizes = sizes[len(sizes) - len(keys) :]
+        back = _places(odd)
+        return _gathered(ids, (np.cumsum(sizes) - sizes)[back], sizes[back]), sizes[back]
 
     def _odd(self, texts: pa.StringArray) -> np.ndarray:
         odd = np.full(len(texts), self.rules.segments is None)
@@ -205,24 +221,19 @@ class TextIds:
         texts = pa.array(found, pa.string())
         odd = self._odd(texts)
         lists = [self._cut(t) for t, o in zip(found, odd) if o] if odd.any() else []
-        keys, at, groups = list(chain.from_iterable(lists)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        groups, parts = np.zeros(0, np.int64), []
         if not odd.all():
             cut = self.rules.segments(texts.filter(pa.array(~odd)) if lists else texts)
-            groups = np.diff(cut.offsets.to_numpy())
-            coded = cut.flatten().dictionary_encode()
-            words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-            places = self.segments.places(words + keys)
-            at = np.concatenate([places[coded.indices.to_numpy()], places[len(words) :]])
-        elif keys:
-            at = self.segments.places(keys)
-        ids, sizes = self.segments.new.ids(at)
+            groups, parts = np.diff(cut.offsets.to_numpy()), [cut.flatten()]
+        parts.append(pa.array(list(chain.from_iterable(lists)), pa.string()))
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        ids, sizes = self.segments.ids(self.segments.places(coded.dictionary)[coded.indices.to_numpy()])
         sizes = _counts(sizes, np.concatenate([groups, np.fromiter(map(len, lists), np.int64, len(lists))]))
         if not lists:
             return ids, sizes
         # Back from the others, then the odd, to the order given.
-        parts = np.split(ids, np.cumsum(sizes)[:-1])
-        back = np.argsort(np.argsort(odd, kind="stable"), kind="stable")
-        return np.concatenate([parts[i] for i in back]), sizes[back]
+        back = _places(odd)
+        return _gathered(ids, (np.cumsum(sizes) - sizes)[back], sizes[back]), sizes[back]
 
 
 def text_ids(path: str | None = None, name: str = WORD_FILE) -> TextIds:
