@@ -174,3 +174,39 @@ def test_only_texts_with_special_tokens_go_whole_to_the_tokenizer():
     ids, sizes = encoder.encode(found)
     whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in found]
     assert sizes.tolist() == list(map(len, whole)) and ids.tolist() == sum(whole, [])
+
+
+def test_elias_fano_selects_every_one_and_zero(tmp_path):
+    rng = np.random.default_rng(4)
+    # Sparse, dense, and with words that are all ones or all zeros.
+    for k, values in enumerate([rng.integers(0, 9000, 700), rng.integers(0, 40, 900), np.repeat([5, 90_000], 200), np.arange(300)]):
+        values = np.sort(values).astype(np.uint64)
+        found = ngram_model.EliasFano(str(tmp_path), f"s{k}", values, int(values[-1]) + 1)
+        bits = np.unpackbits(np.asarray(found.high).view(np.uint8), bitorder="little").astype(bool)
+        for one, places in ((True, np.flatnonzero(bits)), (False, np.flatnonzero(~bits))):
+            assert found._select(np.arange(len(places)), one).tolist() == places.tolist()
+        assert found.get(np.arange(len(values))).tolist() == values.tolist()
+
+
+def test_a_run_of_equal_contexts_asks_the_pointers_once(tmp_path, monkeypatch):
+    contexts = np.repeat(np.array([3, 7, 9], np.uint64), [400, 1, 300])
+    tokens = np.concatenate([np.arange(400), [5], np.arange(300)])
+    level = ngram_model.Level(str(tmp_path), contexts, tokens, np.ones(len(tokens), np.uint64), vocabulary=np.arange(500, dtype=np.uint64) * 2)
+    asked, get = [], ngram_model.EliasFano.get
+    monkeypatch.setattr(ngram_model.EliasFano, "get", lambda self, at: asked.append(len(at)) or get(self, at))
+    wanted = np.append(contexts, np.array([9, 9, 11], np.uint64))
+    places = np.append(tokens, [299, 450, 0])
+    found = level.find(wanted, places.astype(np.uint64) * np.uint64(2))
+    assert found.tolist() == [*range(701), 700, -1, -1]
+    assert sum(asked) <= 2 * 4
+    assert level.find(wanted, places, numbers=True).tolist() == found.tolist()
+
+
+@pytest.mark.parametrize("below", [1 << 20, 1 << 62])
+def test_keys_in_order(below):
+    keys = np.random.default_rng(2).integers(0, 300, 2000) * 3000
+    by, new, group = ngram_model._in_order(keys, below)
+    rising, places = np.unique(keys, return_inverse=True)
+    assert (np.diff(keys[by]) >= 0).all() and sorted(by.tolist()) == list(range(2000))
+    assert keys[by[new]].tolist() == rising.tolist() and group.tolist() == places.tolist()
+    assert [len(x) for x in ngram_model._in_order(keys[:0], below)] == [0, 0, 0]

@@ -49,6 +49,9 @@ SLICE = 500_000
 # Kinds of questions and answers: sums over all shards, single tokens, n-grams.
 SUMS, TOKENS, GRAMS = 0, 1, 2
 EXACT_COUNTS, STEP = 64, 1.02
+# A one in each byte of a word, and by 256 * rank + byte the place of the byte's one of that rank.
+EACH = 0x0101010101010101
+IN_BYTE = np.argsort(~np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(bool), axis=1, kind="stable").T.reshape(-1)
 SCORES = "doc_id long, n_tokens long, n_known long, log_counts double, vocabulary long, train_tokens long, score double"
 
 
@@ -101,13 +104,16 @@ class EliasFano:
         word = np.searchsorted(before, rank, side="right") - 1
         left = (rank - before[word]).astype(np.uint64)
         bits = self.high[word] if one else ~self.high[word]
-        at = np.zeros(len(rank), np.uint64)
-        for width in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count((bits >> at) & np.uint64((1 << width) - 1)).astype(np.uint64)
-            go = left >= count
-            left -= np.where(go, count, np.uint64(0))
-            at += np.where(go, np.uint64(width), np.uint64(0))
-        return word * 64 + at.astype(np.int64)
+        # Ones up to the end of each byte, all eight sums in one word.
+        sums = bits - ((bits >> np.uint64(1)) & np.uint64(0x55 * EACH))
+        sums = (sums & np.uint64(0x33 * EACH)) + ((sums >> np.uint64(2)) & np.uint64(0x33 * EACH))
+        sums = ((sums + (sums >> np.uint64(4))) & np.uint64(0x0F * EACH)) * np.uint64(EACH)
+        # Bytes whose sum is at most the rank lie before the one that is wanted.
+        most = ((left * np.uint64(EACH) | np.uint64(0x80 * EACH)) - sums) & np.uint64(0x80 * EACH)
+        at = np.bitwise_count(most).astype(np.uint64) << np.uint64(3)
+        left -= ((sums << np.uint64(8)) >> at) & np.uint64(0xFF)
+        inside = IN_BYTE[(left << np.uint64(8)) | ((bits >> at) & np.uint64(0xFF))]
+        return word * 64 + (at.astype(np.int64) + inside)
 
     def _low(self, at: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -167,10 +173,12 @@ class Level:
             new[1:] = (np.diff(c) != 0) | (np.diff(w) != 0)
             c, w, n = c[new], w[new], np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n
             vocabulary, number = np.unique(w, return_inverse=True)
+            self.number = np.arange(len(vocabulary))
         else:
             c, n = contexts, counts
             used = np.bincount(tokens, minlength=len(vocabulary)) > 0
-            vocabulary, number = vocabulary[used], (np.cumsum(used) - 1)[tokens]
+            self.number = np.where(used, np.cumsum(used) - 1, -1)
+            vocabulary, number = vocabulary[used], self.number[tokens]
         self.size = max(1, len(vocabulary))
         if parents is None:
             first = np.flatnonzero(np.diff(c, prepend=~c[:1]))
@@ -195,15 +203,19 @@ class Level:
         at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
         return np.where(sorted_values[at] == wanted, at, -1)
 
-    def find(self, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """Places of the wanted entries, -1 where there is none; a context that is the place -1 has none."""
-        c = contexts if self.contexts is None else self._place(self.contexts, contexts)
-        w = self._place(self.vocabulary, tokens)
+    def find(self, contexts: np.ndarray, tokens: np.ndarray, numbers: bool = False) -> np.ndarray:
+        """Places of the wanted entries, -1 where there is none; a context that is the place -1 has none. With `numbers`, tokens
+        are places in the vocabulary that the level was given. A run of equal contexts is looked up once."""
+        w = self.number[tokens] if numbers else self._place(self.vocabulary, tokens)
+        begins = np.flatnonzero(np.diff(contexts, prepend=~contexts[:1]))
+        runs = np.diff(begins, append=len(contexts))
+        c = contexts[begins] if self.contexts is None else self._place(self.contexts, contexts[begins])
+        known = np.maximum(c, 0)
+        least, until = (self.pointers.get(known + k).astype(np.int64) if len(self.codes) else known for k in (0, 1))
+        c, least, until = (np.repeat(x, runs) for x in (c, least, until))
         out = np.full(len(contexts), -1)
         there = np.flatnonzero((c >= 0) & (w >= 0))
-        c, w = c[there], w[there]
-        out[there] = self.successors.find(
-            (c * self.size + w).astype(np.uint64), self.pointers.get(c).astype(np.int64), self.pointers.get(c + 1).astype(np.int64))
+        out[there] = self.successors.find((c[there] * self.size + w[there]).astype(np.uint64), least[there], until[there])
         return out
 
     def codes_at(self, places: np.ndarray) -> np.ndarray:
@@ -250,21 +262,38 @@ class Tokens:
         inside = np.ones(len(self.token), bool)
         inside[np.cumsum(self.sizes) - 1] = False
         self.token[inside] = np.asarray(words.indices) + 1
-        # The bytes of all distinct words, one after the other.
-        distinct = words.dictionary
-        ends, joined = [0], b""
-        if len(distinct):
-            _, offsets, data = distinct.buffers()
-            ends = np.frombuffer(offsets, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1].tolist()
-            joined = data.to_pybytes()
-        digests = [xxh3_128_digest(joined[b:e]) for b, e in zip(ends, ends[1:])]
-        seen = np.frombuffer(b"".join([xxh3_128_digest(b""), *digests]), np.uint64).reshape(-1, 2)
+        distinct = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        seen = np.frombuffer(b"".join(map(xxh3_128_digest, [b"", *distinct])), np.uint64).reshape(-1, 2)
         self.high, self.low = seen[:, 0].copy(), seen[:, 1] >> np.uint64(32)
         self.training = np.repeat(table.column("training").to_numpy(zero_copy_only=False), self.sizes)
         self.begin = np.cumsum(self.sizes) - self.sizes
         self.order = _rising(self.high, self.low)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    rising = np.sort(values)
+    new = np.ones(len(rising), bool)
+    new[1:] = np.diff(rising) != 0
+    return rising[new]
+
+
+def _in_order(keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of keys from 0 to before `below`, the first place there of each distinct key, and which of these each key is."""
+    bits = len(keys).bit_length()
+    if int(below).bit_length() + bits < 64:
+        # Sorting numbers is several times faster than sorting their places.
+        by = np.sort(keys << bits | np.arange(len(keys)))
+        rising = by >> bits
+        by &= (1 << bits) - 1
+    else:
+        by = np.argsort(keys)
+        rising = keys[by]
+    new = np.flatnonzero(np.diff(rising, prepend=-1))
+    group = np.empty(len(by), np.int64)
+    group[by] = np.repeat(np.arange(len(new)), np.diff(new, append=len(by)))
+    return by, new, group
+
+
 def _rising(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Order by both numbers; equal `high` are so rare that mostly one sort is enough."""
     by = np.argsort(high)
@@ -326,7 +355,9 @@ def _grams(own: Tokens, ids: np.ndarray, counts: np.ndarray, total: int, order:
     where = np.arange(len(token))
     levels: list[Grams] = []
     for k in range(2, order + 1):
-        found, group = np.unique(parent[where] * len(known) + token[where], return_inverse=True)
+        keys = parent[where] * len(known) + token[where]
+        by, new, group = _in_order(keys, len(token) * len(known))
+        found = keys[by[new]]
         seen = np.bincount(group, own.training[where], len(found)).astype(np.uint64)
         above, last = found // len(known), found % len(known)
         home, least = (_first_shard(known[above], shards), often[above]) if k == 2 else (levels[-1].shard[above], levels[-1].least[above])
@@ -427,11 +458,15 @@ def score_texts(docs: DataFrame, order: int = ORDER, mu: float = MU, training: C
         known, levels = _grams(own, ids, counts, total, order, shards)
         rows = []
         cuts = [np.searchsorted(g.at, np.arange(shards + 1)) for g in levels]
+        place_of = np.zeros(len(known), np.int64)
         for s in np.flatnonzero(np.diff(cuts[0])).tolist() if levels else []:
             parts = [slice(int(c[s]), int(c[s + 1])) for c in cuts]
             grams = [g.gram[p] for g, p in zip(levels, parts)]
             # Tokens are sent once; entries name them by their places.
-            used, place = np.unique(np.concatenate([g.token[own_] for g, own_ in zip(levels, grams)]), return_inverse=True)
+            named = np.concatenate([g.token[own_] for g, own_ in zip(levels, grams)])
+            used = _distinct(named)
+            place_of[used] = np.arange(len(used))
+            place = place_of[named]
             heads, sizes = np.unique(levels[0].parent[grams[0]], return_counts=True)
             sent = [pack_sorted(known[used]), pack_sorted(known[heads])]
             for k, (g, p, own_) in enumerate(zip(levels, parts, grams)):
@@ -446,7 +481,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, mu: float = MU, training: C
         # What a block asks is sorted by (context, token), as it was sent, and so are the numbers below.
         parts = [unpack_parts(a) for a in asked]
         tokens, heads = ([unpack_sorted(p[k]) for p in parts] for k in (0, 1))
-        vocabulary, contexts = np.unique(np.concatenate(tokens)), np.unique(np.concatenate(heads))
+        vocabulary, contexts = _distinct(np.concatenate(tokens)), _distinct(np.concatenate(heads))
         tokens = [np.searchsorted(vocabulary, t) for t in tokens]
         owners = [np.searchsorted(contexts, h) for h in heads]
         out: list[list[bytes]] = [[] for _ in parts]
@@ -458,10 +493,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, mu: float = MU, training: C
                 ends = np.cumsum([len(x[1]) for x in sent]).tolist()
                 counts = np.concatenate([x[2] for x in sent])
                 del sent, owners
-                by = np.argsort(keys)
-                new = np.flatnonzero(np.diff(keys[by], prepend=-1))
-                group = np.empty(len(by), np.int64)
-                group[by] = np.repeat(np.arange(len(new)), np.diff(new, append=len(by)))
+                by, new, group = _in_order(keys, max(1, len(contexts)) * len(vocabulary))
                 # Every distinct n-gram is looked up once, whichever blocks ask for it.
                 owner, word = np.divmod(keys[by[new]], len(vocabulary))
                 counts = np.add.reduceat(counts[by], new) if len(new) else counts
@@ -471,7 +503,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, mu: float = MU, training: C
                 level = Level(f"{folder}/{k}", c[seen], word[seen], counts[seen], parents=parents, vocabulary=vocabulary)
                 # The places found are the contexts of the next level.
                 contexts = np.concatenate([
-                    level.find(c[b : b + SLICE], vocabulary[word[b : b + SLICE]]) for b in range(0, len(c), SLICE)] or [c.astype(np.int64)])
+                    level.find(c[b : b + SLICE], word[b : b + SLICE], numbers=True) for b in range(0, len(c), SLICE)] or [c.astype(np.int64)])
                 codes = level.codes_at(contexts).astype(np.uint64)[group]
                 owners = [group[b:e] for b, e in zip([0, *ends], ends)]
                 for o, b, e in zip(out, [0, *ends], ends):
