@@ -80,6 +80,33 @@ def test_a_worker_that_sees_many_words_stays_small(name):
     assert int(found.stdout) < 160
 
 
+PACKS = """
+import random, re, sys
+import pyarrow as pa
+from wattsift.llm.packing import pack_batches
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+
+def batches():
+    for i in range(12):
+        texts = [" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(800)) for _ in range(100)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts)], names=["doc_id", "text"])
+
+rng, most, pieces, begun = random.Random(5), 0, 0, held()
+for found in pack_batches(batches(), 0, None, 2048, 1, 400_000):
+    most, pieces = max(most, held()), pieces + sum(len(p) for _, p, _ in found)
+assert pieces >= 1200
+print(most - begun)
+"""
+
+
+def test_a_packing_task_that_sees_many_words_stays_small():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    found = subprocess.run([sys.executable, "-c", PACKS], cwd=root, capture_output=True, text=True, check=True, timeout=300)
+    assert int(found.stdout) < 220
+
+
 def test_kept_segments_are_those_seen_last():
     import pyarrow as pa
 
