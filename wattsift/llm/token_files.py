@@ -137,7 +137,7 @@ def write_token_files(
                 [pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
                 names=["part", "segment", "part_start", "n_ids", "image"])
 
-        for ids, found in slices(batches, 1_000_000):
+        for ids, found in slices(batches, 2_000_000):
             tokens, each = with_end(*encoder.encode(found), end_id)
             names += ids
             sizes.append(each)
